@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskflow.config import DriftLevels
 from riskflow.functions.prefix import ordered_totals, span_unit
+from riskflow.functions.quantiles import quantiles_of
 
 EPS = 1e-4
 EDGE_MARGIN = 1e-5
@@ -67,24 +68,8 @@ def ks_statistic(ordered: DataFrame) -> DataFrame:
 
 def quantile_edges(ordered: DataFrame, num_bins: int = 10) -> DataFrame:
     """Exact linear-interpolated quantiles of the baseline, distinct, ends widened."""
-    n = F.col("nb_total")
-    marks = F.array(*[F.lit(i / num_bins) for i in range(num_bins + 1)])
-    rank = (n - 1) * F.col("q")
-    first, last = F.col("nb_before"), F.col("nb_before") + F.col("nb") - 1
-    low, high = F.floor(rank), F.ceil(rank)
-    holds_low, holds_high = low.between(first, last), high.between(first, last)
-    quantiles = (
-        ordered.where("nb > 0")
-        .withColumn("q", F.explode(marks))
-        .where(holds_low | holds_high)
-        .groupBy("feature", "q")
-        .agg(
-            F.max(F.when(holds_low, F.col("v"))).alias("a"),
-            F.max(F.when(holds_high, F.col("v"))).alias("b"),
-            F.max(rank - low).alias("t"),
-        )
-        .select("feature", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("edge"))
-    )
+    marks = [i / num_bins for i in range(num_bins + 1)]
+    quantiles = quantiles_of(ordered, ["feature"], "v", "nb", marks).withColumnRenamed("quantile", "edge")
     widened = F.transform(
         F.col("e"),
         lambda x, i: F.when(i == 0, x - EDGE_MARGIN).when(i == F.size("e") - 1, x + EDGE_MARGIN).otherwise(x),

@@ -207,7 +207,13 @@ def _feature_columns(entity: str, windows: Mapping[str, int], prior: bool) -> di
 
 
 def feature_names(entities: Mapping[str, str] = ENTITIES, windows: Mapping[str, int] | None = None, prior: bool = True) -> list[str]:
-    return [name for e in entities for name in _feature_columns(e, windows or {}, prior)]
+    out: list[str] = []
+    for e in entities:
+        for w in windows or {}:
+            out += [f"{e}_txn_count_{w}", f"{e}_amount_sum_{w}"]
+        if prior:
+            out += [f"{e}_total_txn_count", f"{e}_avg_amount", f"{e}_std_amount", f"time_since_prev_{e}_txn_seconds", f"amount_zscore_{e}"]
+    return out
 
 
 def velocity(
