@@ -77,12 +77,12 @@ def drift_gauge(results: DataFrame, run_at: Column | None = None) -> DataFrame:
 
 
 def stream_progress(query: StreamingQuery) -> DataFrame:
-    """MON5: one row per source and recent micro-batch."""
-    rows = [
-        (p["name"], p["batchId"], s["description"], int(p["numInputRows"]), str(s.get("endOffset")), str(s.get("latestOffset")))
-        for p in query.recentProgress
-        for s in p["sources"]
-    ]
+    """MON5: one row per source and recent micro-batch, with the rows that came too late."""
+    rows = []
+    for p in query.recentProgress:
+        dropped = sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])
+        for s in p["sources"]:
+            rows.append((p["name"], p["batchId"], s["description"], int(p["numInputRows"]), dropped, str(s["endOffset"]), str(s["latestOffset"])))
     return SparkSession.active().createDataFrame(
-        rows, "query string, batch_id long, source string, input_rows long, end_offset string, latest_offset string"
+        rows, "query string, batch_id long, source string, input_rows long, late_rows long, end_offset string, latest_offset string"
     )

@@ -20,7 +20,7 @@ the second way.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,15 +241,20 @@ def velocity(
     computed = entity_history(rows, windows, prior, strategy, limit)
     if history is not None:
         computed = computed.where("_target")
+    return widen(computed, entities, windows, prior)
+
+
+def widen(computed: DataFrame, entities: Mapping[str, str] = ENTITIES, windows: Mapping[str, int] | None = None, prior: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """History rows (one per transaction and entity) as one row of features per transaction."""
     # Absent entities take the defaults of a first transaction.
     first_time = {f"time_since_prev_{e}_txn_seconds": -1.0 for e in entities}
     wide: list[Column] = []
     for entity in entities:
-        for name, column in _feature_columns(entity, windows, prior).items():
+        for name, column in _feature_columns(entity, windows or {}, prior).items():
             value = F.max(F.when(F.col("entity") == entity, column))
             if name.startswith("amount_zscore_"):
                 default = F.max(F.greatest(F.least(F.col("amount"), F.lit(10.0)), F.lit(-10.0)))
             else:
                 default = F.lit(first_time.get(name, 0))
             wide.append(F.coalesce(value, default).alias(name))
-    return computed.groupBy("transaction_id").agg(*wide)
+    return computed.groupBy("transaction_id").agg(*[F.max(c).alias(c) for c in carry], *wide)
