@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskflow.config import DriftLevels
 from riskflow.functions.prefix import ordered_totals, span_unit
 from riskflow.functions.quantiles import quantiles_of
+from riskflow.session import freeze
 
 EPS = 1e-4
 EDGE_MARGIN = 1e-5
@@ -155,7 +156,7 @@ def check_drift(
     unknown = set(metrics) - {"psi", "ks", "js"}
     if unknown:
         raise ValueError(f"unknown drift metric: {sorted(unknown)}")
-    counts = value_counts(baseline, target, features)
+    counts = freeze(value_counts(baseline, target, features))  # read by every metric
     ordered = ordered_counts(counts)
     computed = {
         "psi": lambda: psi(counts, ordered, psi_bins),
@@ -202,7 +203,7 @@ def drift_summary(results: DataFrame) -> DataFrame:
 
 def population_drift(baseline: DataFrame, target: DataFrame, features: Sequence[str], num_bins: int = 10) -> DataFrame:
     """DRF6: PSI, JS distance and a status per feature."""
-    counts = value_counts(baseline, target, features)
+    counts = freeze(value_counts(baseline, target, features))
     both = psi(counts, ordered_counts(counts), num_bins).join(js_distance(counts, num_bins), "feature")
     p = F.col("psi")
     status = F.when(p >= 0.2, "SIGNIFICANT_DRIFT").when(p >= 0.1, "SLIGHT_DRIFT").otherwise("NO_DRIFT")

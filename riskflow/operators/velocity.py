@@ -131,10 +131,12 @@ def _by_totals(rows: DataFrame, stats: DataFrame, windows: Mapping[str, int], pr
             F.when(is_row, F.col("amount") - F.col("centre")).otherwise(0.0).alias("d"),
             F.when(is_row, F.pow(F.col("amount") - F.col("centre"), F.lit(2.0))).otherwise(0.0).alias("d2"),
             F.when(is_row, F.col("us")).alias("last"),
+            F.when(is_row, F.col("amount")).alias("hi"),
+            F.when(is_row, -F.col("amount")).alias("lo"),
         )
     )
     scanned = running_totals(
-        marks, _KEY, ["cell", "at", "tie"], ["at", "ord", "seq", "transaction_id", "window"], ["n", "d", "d2"], ["last"]
+        marks, _KEY, ["cell", "at", "tie"], ["at", "ord", "seq", "transaction_id", "window"], ["n", "d", "d2"], ["last", "hi", "lo"]
     )
 
     def at(window: str, column: str) -> Column:
@@ -146,18 +148,19 @@ def _by_totals(rows: DataFrame, stats: DataFrame, windows: Mapping[str, int], pr
         at("", "d_before").alias("_d"),
         at("", "d2_before").alias("_d2"),
         at("", "last_before").alias("_last"),
+        (at("", "hi_before") + at("", "lo_before")).alias("_range"),
         *[at(w, f"{c}_before").alias(f"_{c}_{w}") for w in windows for c in ("n", "d")],
     )
     features: list[Column] = []
     n, d, m = F.col("_n"), F.col("_d"), F.col("_m")
     if prior:
         variance = (F.col("_d2") - d * d / F.greatest(n, F.lit(1))) / F.greatest(n - 1, F.lit(1))
-        # Equal amounts leave only rounding noise here; it must not look like a spread.
-        noise = (m * m + 1.0) * 1e-20
+        # Equal amounts leave rounding noise in the sums; their range tells them apart.
+        spread = (n > 1) & (F.col("_range") > 0)
         features += [
             n.alias("n_prior"),
             F.when(n > 0, m + d / F.greatest(n, F.lit(1))).otherwise(0.0).alias("avg_prior"),
-            F.when((n > 1) & (variance > noise), F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0).alias("std_prior"),
+            F.when(spread, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0).alias("std_prior"),
             F.col("_last").alias("prev_us"),
         ]
     for w in windows:

@@ -34,7 +34,8 @@ def num(x: float) -> str:
 
 
 def r(expr: str, digits: int = 4) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE) + {num(HALF_GUARD)}, {digits})"
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return f"(ROUND(CAST({expr} AS DOUBLE) + {num(HALF_GUARD)}, {digits}) + 0e0)"
 
 
 def big(expr: str) -> str:

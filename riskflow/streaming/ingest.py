@@ -1,12 +1,14 @@
 """Message validation (QLT10, LKG2) and the dead-letter split (SNK2).
 
-A message is read as a map of texts, so that unknown and forbidden keys are seen, and
-each field is then cast on its own, so that the failing field is named.
+A message's keys are listed, so that unknown and forbidden ones are seen, and its fields
+are read as texts and cast one by one, so that the failing field is named.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ CONTRACTS: dict[str, tuple[list[str], list[str]]] = {
 
 def _cast(text: Column, kind: str) -> Column:
     if kind in ("int", "bigint"):
-        text = F.regexp_replace(text, F.lit(r"\.0+$"), F.lit(""))  # a whole number may carry a zero fraction
+        # A whole number may carry a zero fraction.
+        return F.coalesce(text.try_cast(kind), F.regexp_replace(text, F.lit(r"\.0+$"), F.lit("")).try_cast(kind))
     return text.try_cast(kind)
 
 
@@ -32,37 +35,43 @@ def _names(columns: Sequence[str]) -> Column:
     return F.array(*[F.lit(c) for c in columns])
 
 
-def _wrong_types(columns: Sequence[str]) -> Column:
-    """Names of fields that are present but not of their type, one filter per type."""
-    m = F.col("_m")
-
-    def of_kind(kind: str) -> Column:
-        names = [c for c in columns if TYPE_OF[c] == kind]
-        return F.filter(_names(names), lambda k: m[k].isNotNull() & _cast(m[k], kind).isNull())
-
-    return F.concat(*[of_kind(k) for k in ("bigint", "int", "double", "timestamp") if k in {TYPE_OF[c] for c in columns}])
+def _broken(names: Sequence[str], test: Callable[[str], Column]) -> Column:
+    """The names whose test is true."""
+    return F.array_compact(F.array(*[F.when(test(n), F.lit(n)) for n in names]))
 
 
 def validate_messages(raw: DataFrame, contract: str = "online", value: str = "value", with_defaults: bool = False) -> DataFrame:
     """Add the typed fields and ``error`` (the first failing rule, null when valid)."""
     required, allowed = CONTRACTS[contract]
-    # Generating the single parsed map keeps filters on its fields above the parser;
+    texts_schema = ", ".join(f"{c} string" for c in allowed)
+    # Generating the one parsed value keeps filters on its fields above the parser;
     # pushed below it they would parse the text again for every field they mention.
-    parsed = raw.select("*", F.explode(F.array(F.from_json(F.col(value), "map<string,string>"))).alias("_m"))
-    keys = F.map_keys("_m")
-    present = F.map_keys(F.map_filter("_m", lambda k, v: v.isNotNull()))
+    once = F.struct(F.json_object_keys(value).alias("keys"), F.from_json(F.col(value), texts_schema).alias("f"))
+    parsed = raw.select("*", F.explode(F.array(once)).alias("_m"))
+    keys = F.col("_m.keys")
+
+    def text(name: str) -> Column:
+        return F.col(f"_m.f.{name}")
+
+    not_text = [c for c in allowed if TYPE_OF[c] != "string"]
     rules = {
         **({} if contract == "training" else {"forbidden_field": F.array_intersect(keys, _names(FORBIDDEN))}),
         "unknown_field": F.array_except(keys, _names(allowed)),
-        "missing_field": F.array_except(_names(required), present),
-        "wrong_type": _wrong_types(allowed),
+        "missing_field": _broken(required, lambda n: text(n).isNull()),
+        "wrong_type": _broken(not_text, lambda n: text(n).isNotNull() & _cast(text(n), TYPE_OF[n]).isNull()),
     }
-    texts = F.array(*[F.concat(F.lit(f"{rule}: "), F.array_join(F.sort_array(bad), ",")) for rule, bad in rules.items()])
-    first_broken = F.try_element_at(F.filter(texts, lambda t: ~F.endswith(t, F.lit(": "))), F.lit(1))
-    error = F.when(F.col("_m").isNull(), F.lit("malformed_json")).otherwise(first_broken)
+    found = F.array(*[F.concat(F.lit(f"{rule}: "), F.array_join(F.sort_array(bad), ",")) for rule, bad in rules.items()])
+    first_broken = F.try_element_at(F.filter(found, lambda t: ~F.endswith(t, F.lit(": "))), F.lit(1))
+    # Almost every message is clean, and seeing that takes comparisons only: each key is
+    # one known field with a value, none is missing, and every cast succeeds.
+    n_present = reduce(add, [text(n).isNotNull().cast("int") for n in allowed])
+    complete = reduce(and_, [text(n).isNotNull() for n in required])
+    typed_well = reduce(and_, [text(n).isNull() | _cast(text(n), TYPE_OF[n]).isNotNull() for n in not_text])
+    clean = (F.size(keys) == n_present) & complete & typed_well
+    error = F.when(keys.isNull(), F.lit("malformed_json")).when(~clean, first_broken)
     fields = []
     for name in allowed:
-        typed = _cast(F.col("_m")[name], TYPE_OF[name])
+        typed = _cast(text(name), TYPE_OF[name])
         if name == "is_outlier" or (with_defaults and name in REQUEST_DEFAULTS):
             typed = F.coalesce(typed, F.lit(REQUEST_DEFAULTS[name]).cast(TYPE_OF[name]))
         fields.append(typed.alias(name))
