@@ -75,7 +75,10 @@ def validate_messages(raw: DataFrame, contract: str = "online", value: str = "va
         if name == "is_outlier" or (with_defaults and name in REQUEST_DEFAULTS):
             typed = F.coalesce(typed, F.lit(REQUEST_DEFAULTS[name]).cast(TYPE_OF[name]))
         fields.append(typed.alias(name))
-    return parsed.select(*raw.columns, *fields, error.alias("error"))
+    # The checked row is generated too: a filter on ``error`` then compares one column
+    # instead of carrying the whole rule set into the optimizer's filter rules.
+    checked = F.struct(*fields, error.alias("error"))
+    return parsed.select(*raw.columns, F.explode(F.array(checked)).alias("_r")).select(*raw.columns, "_r.*")
 
 
 def accepted(validated: DataFrame, columns: Sequence[str] = ONLINE_COLUMNS) -> DataFrame:
