@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import exact, mixing, simhash
+import corpus_pipeline
+
+from riskflow.llm import exact, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_perplexity_rules": quality.op7_perplexity_rules,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op5_exact_dedup": exact.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL}
