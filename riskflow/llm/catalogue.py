@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from riskflow.llm import exact, mixing, packing, quality, simhash
+from riskflow.llm import exact, html, mixing, packing, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_perplexity_rules": quality.op7_perplexity_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_personal_data": pii.op10_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op5_exact_dedup": exact.OP5_SQL, "op6_source_mixing": mixing.OP6_SQL}
