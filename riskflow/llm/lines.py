@@ -153,7 +153,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
 l AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM t),
-d AS (SELECT w, len(w) AS n, min((doc_id, line_no)) AS place FROM l WHERE len(w) > 0 GROUP BY w),
+d AS (SELECT w, len(w) AS n, min((doc_id IS NULL, doc_id, line_no)) AS place FROM l WHERE len(w) > 0 GROUP BY w),
 v AS (SELECT w, n, place, i, w[:i - 1] || w[i + 1:] AS x FROM d, unnest(range(1, n + 1)) AS u(i) WHERE n >= 5),
 r AS (SELECT n, i, x, min(place) AS best FROM v GROUP BY n, i, x),
 near AS (
@@ -163,8 +163,8 @@ near AS (
 b AS (SELECT w, min(best) AS best FROM near GROUP BY w),
 f AS (SELECT d.w, least(d.place, coalesce(b.best, d.place)) AS first FROM d LEFT JOIN b ON d.w = b.w)
 SELECT l.doc_id, l.line_no::BIGINT AS line_no, len(l.w)::BIGINT AS n_words,
-  f.first IS NULL OR f.first = (l.doc_id, l.line_no) AS kept,
-  CASE WHEN f.first IS NULL THEN l.doc_id ELSE f.first[1] END AS first_doc_id,
-  (CASE WHEN f.first IS NULL THEN l.line_no ELSE f.first[2] END)::BIGINT AS first_line_no
+  f.first IS NULL OR f.first IS NOT DISTINCT FROM (l.doc_id IS NULL, l.doc_id, l.line_no) AS kept,
+  CASE WHEN f.first IS NULL THEN l.doc_id ELSE f.first[2] END AS first_doc_id,
+  (CASE WHEN f.first IS NULL THEN l.line_no ELSE f.first[3] END)::BIGINT AS first_line_no
 FROM l LEFT JOIN f ON l.w = f.w
 """
