@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,7 @@ class SplitBounds:
     test_start: str
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class RiskBands:
     """Upper bounds (inclusive) of the score bands; above the last is CRITICAL or BLOCK."""
@@ -29,14 +30,15 @@ class RiskBands:
     review_max: int = 699
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class Costs:
     avg_fraud_loss: float = 500.0
     false_positive: float = 25.0
     manual_review: float = 5.0
-    customer_friction: float = 2.0
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class DriftLevels:
     """metric -> (warning, critical)."""
@@ -46,6 +48,7 @@ class DriftLevels:
     js: tuple[float, float] = (0.05, 0.1)
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class GateLimits:
     min_pr_auc: float = 0.30
@@ -58,6 +61,7 @@ class GateLimits:
     require_no_leakage: bool = True
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class RetrainLimits:
     pr_auc_drop: float = 0.05
@@ -76,7 +80,7 @@ class DatasetExpectation:
     outlier_count: int | None = None
     timestamp_min: str = "2026-01-01"
     timestamp_max: str = "2026-06-30"
-    fingerprint: int | None = None
+    fingerprint: str | None = None
 
 
 # The published split of the original half-year table.
@@ -132,25 +136,3 @@ TOPIC_REVIEW = "fraud.review"
 TOPIC_BLOCKED = "fraud.blocked"
 TOPIC_MODEL_EVENTS = "model.events"
 TOPIC_DEAD_LETTER = "dead_letter.transactions"
-TOPICS = (
-    TOPIC_RAW,
-    TOPIC_VALIDATED,
-    TOPIC_SCORED,
-    TOPIC_ALERTS,
-    TOPIC_REVIEW,
-    TOPIC_BLOCKED,
-    TOPIC_MODEL_EVENTS,
-    TOPIC_DEAD_LETTER,
-)
-
-
-@dataclass(frozen=True)
-class Settings:
-    bands: RiskBands = field(default_factory=RiskBands)
-    costs: Costs = field(default_factory=Costs)
-    drift: DriftLevels = field(default_factory=DriftLevels)
-    gates: GateLimits = field(default_factory=GateLimits)
-    retrain: RetrainLimits = field(default_factory=RetrainLimits)
-
-
-DEFAULTS = Settings()

@@ -1,92 +1,37 @@
-"""REG1: the catalogue of feature definitions, built from the feature rules."""
+"""REG1: the catalogue of features, read off the feature table itself.
 
-from __future__ import annotations
+Nothing is listed here: names and families come from the rules' own tables, types from the schema of the feature table, and a feature's
+default is what the rules make of a transaction of which nothing is known.
+"""
 
-from dataclasses import asdict, dataclass
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.config import ENTITIES, WINDOWS_US
-from riskflow.functions.scalar import COUNTRY_PARTIES
-from riskflow.schema import CATEGORICAL
-
-
-@dataclass(frozen=True)
-class Feature:
-    name: str
-    description: str
-    dtype: str
-    source: str
-    category: str
-    aggregation_window: str | None = None
-    default_value: float = 0.0
-    transformation: str | None = None
-    online_available: bool = True
-    requires_history: bool = False
-    in_default_set: bool = True
-
-
-def _definitions() -> list[Feature]:
-    out = [
-        Feature("log_amount", "log(1 + amount)", "numeric", "transaction", "amount", transformation="log1p"),
-        Feature("amount_credit_ratio", "amount over credit limit", "numeric", "derived", "amount"),
-        Feature("is_international", "international flag", "binary", "transaction", "static"),
-        Feature("is_installment", "installment flag", "binary", "transaction", "static"),
-        Feature("amount_bucket", "amount range 0-7", "ordinal", "derived", "amount"),
-        Feature("is_micro_txn", "amount below 1", "binary", "derived", "amount"),
-        Feature("is_high_value_txn", "amount above 5000", "binary", "derived", "amount"),
-    ]
-    out += [Feature(f"{c}_encoded", f"training frequency of {c}", "numeric", "transaction", "categorical") for c in CATEGORICAL]
-    for e in ENTITIES:
-        for w in WINDOWS_US:
-            for kind, text in (("txn_count", "transactions"), ("amount_sum", "amount")):
-                out.append(Feature(f"{e}_{kind}_{w}", f"{text} of the {e} in the last {w}", "numeric", e, "velocity", w, requires_history=True, in_default_set=False))
-        for kind, text in (("avg_amount", "mean amount"), ("std_amount", "amount deviation"), ("total_txn_count", "transactions")):
-            out.append(Feature(f"{e}_{kind}", f"{text} of the {e} so far", "numeric", e, "entity", requires_history=True))
-    out += [
-        Feature("hour_of_day", "hour 0-23", "numeric", "temporal", "temporal"),
-        Feature("minute_bucket", "quarter hour 0-95", "numeric", "temporal", "temporal"),
-        Feature("day_of_week", "weekday, Monday 0", "numeric", "temporal", "temporal"),
-        Feature("day_of_month", "day 1-31", "numeric", "temporal", "temporal"),
-        Feature("is_weekend", "Saturday or Sunday", "binary", "temporal", "temporal"),
-        Feature("is_night", "hours 22 to 6", "binary", "temporal", "temporal"),
-    ]
-    for e in ("customer", "card", "device", "ip"):
-        out.append(Feature(f"time_since_prev_{e}_txn_seconds", f"seconds since the {e}'s previous transaction", "numeric", "temporal", "temporal", default_value=-1.0, requires_history=True))
-    out += [Feature(f"{p}_txn_country_mismatch", f"{p} country differs from the transaction's", "binary", "geographic", "geographic") for p in COUNTRY_PARTIES]
-    out += [
-        Feature("cross_border_flag", "customer country differs from the transaction's", "binary", "geographic", "geographic"),
-        Feature("geo_mismatch_count", "number of differing countries", "numeric", "geographic", "geographic"),
-        Feature("is_new_device", "device younger than 7 days", "binary", "derived", "identity"),
-        Feature("device_age_bucket", "device age range 0-4", "ordinal", "derived", "identity"),
-        Feature("is_proxy", "any proxy", "binary", "derived", "identity"),
-        Feature("is_tor", "TOR exit node", "binary", "derived", "identity"),
-        Feature("is_datacenter", "datacenter connection", "binary", "derived", "identity"),
-        Feature("proxy_risk_score", "none 0, unknown 1, proxy 2, tor 3", "ordinal", "derived", "identity"),
-        Feature("customer_tenure_bucket", "customer tenure range 0-4", "ordinal", "derived", "identity"),
-        Feature("card_age_bucket", "card age range 0-4", "ordinal", "derived", "identity"),
-    ]
-    for e in ("customer", "card"):
-        out.append(Feature(f"amount_zscore_{e}", f"amount against the {e}'s history", "numeric", "derived", "amount", requires_history=True))
-    return out
-
-
-FEATURES: dict[str, Feature] = {f.name: f for f in _definitions()}
-
-
-def get(name: str) -> Feature:
-    if name not in FEATURES:
-        raise KeyError(f"no feature named {name!r}")
-    return FEATURES[name]
-
+from riskflow.functions.scalar import GEOGRAPHIC, IDENTITY, STATIC, TEMPORAL
+from riskflow.operators.encode import FrequencyEncoder
+from riskflow.operators.velocity import feature_names
+from riskflow.plans.features import ENCODED, ENGINEERED, PRIOR, ROLLING, feature_table
+from riskflow.schema import CATEGORICAL, TXN
 
-def names(category: str | None = None) -> list[str]:
-    return [f.name for f in FEATURES.values() if category is None or f.category == category]
+FAMILIES: dict[str, list[str]] = {
+    "static": list(STATIC), "categorical": ENCODED, "temporal": list(TEMPORAL), "geographic": list(GEOGRAPHIC),
+    "identity": list(IDENTITY), "history": PRIOR, "velocity": ROLLING,
+}
+_FAMILY_OF = {name: family for family, members in FAMILIES.items() for name in members}
+_WINDOW_OF = {name: w for w, us in WINDOWS_US.items() for name in feature_names(ENTITIES, {w: us}, prior=False)}
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    schema = (
-        "name string, description string, dtype string, source string, category string, aggregation_window string, "
-        "default_value double, transformation string, online_available boolean, requires_history boolean, in_default_set boolean"
+    """``name, family, type, default_value, window, needs_history, in_default_set``, one row a feature, in the order of the table."""
+    unknown = spark.createDataFrame([tuple(None for _ in TXN)], TXN, verifySchema=False)
+    table = feature_table(unknown, FrequencyEncoder(list(CATEGORICAL), {c: {} for c in CATEGORICAL}), exact=True)
+    types, row = dict(table.dtypes), table.first()
+    return spark.createDataFrame(
+        [
+            (name, _FAMILY_OF[name], types[name], float(row[name]), _WINDOW_OF.get(name), _FAMILY_OF[name] in ("history", "velocity"), name in ENGINEERED)
+            for name in types if name in _FAMILY_OF
+        ],
+        "name string, family string, type string, default_value double, window string, needs_history boolean, in_default_set boolean",
     )
-    return spark.createDataFrame([tuple(asdict(f).values()) for f in FEATURES.values()], schema)

@@ -38,20 +38,15 @@ class FittedModel:
         self.digest = self.digest or schema_hash(self.features)
 
     def verify(self, columns: Sequence[str] | None = None) -> None:
-        problems = []
-        if not self.features:
-            problems.append("the model has no feature list")
-        if self.digest != schema_hash(self.features):
-            problems.append(f"digest {self.digest} does not match the feature list")
-        if columns is not None:
-            if len(columns) != len(self.features):
-                problems.append(f"{len(columns)} features offered, {len(self.features)} expected")
-            else:
-                differing = [(i, a, b) for i, (a, b) in enumerate(zip(columns, self.features)) if a != b]
-                if differing:
-                    problems.append(f"features differ at (position, offered, expected): {differing[:5]}")
-        if problems:
-            raise IncompatibleModelError("; ".join(problems))
+        """One comparison: the digest of the offered columns (by default the own list) is the one taken at fitting."""
+        offered = list(self.features if columns is None else columns)
+        if offered and schema_hash(offered) == self.digest:
+            return
+        at = next((i for i, (a, b) in enumerate(zip(offered, self.features)) if a != b), min(len(offered), len(self.features)))
+        raise IncompatibleModelError(
+            f"{self.name} {self.version} was fitted on {len(self.features)} features (digest {self.digest}); "
+            f"{len(offered)} were offered, which differ from place {at} on: {offered[at:at + 3]}"
+        )
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
         """TRN7: add the probability of the positive class."""

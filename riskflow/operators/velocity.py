@@ -38,9 +38,15 @@ _ORDER = ["us", "seq", "transaction_id"]
 PRIOR_STATS = ["n_prior", "avg_prior", "std_prior", "prev_us"]
 
 
-def entity_rows(df: DataFrame, entities: Mapping[str, str] = ENTITIES, keep: list[str] | None = None) -> DataFrame:
-    """One narrow row per transaction and entity; an entity without a key has no history."""
-    pairs = F.array(*[F.struct(F.lit(e).alias("entity"), F.col(c).alias("entity_id")) for e, c in entities.items()])
+def entity_rows(df: DataFrame, entities: Mapping[str, str] = ENTITIES, keep: list[str] | None = None, anchor: bool = False) -> DataFrame:
+    """One narrow row per transaction and entity; an entity without a key has no history.
+
+    ``anchor`` adds one row per transaction under the entity '', so that one without any key is not lost.
+    """
+    pairs = [F.struct(F.lit(e).alias("entity"), F.col(c).alias("entity_id")) for e, c in entities.items()]
+    if anchor:
+        pairs.append(F.struct(F.lit("").alias("entity"), F.coalesce(F.col("transaction_id"), F.lit("")).alias("entity_id")))
+    pairs = F.array(*pairs)
     return (
         df.select(
             "transaction_id",
@@ -227,27 +233,31 @@ def velocity(
     history: DataFrame | None = None,
     strategy: str = "auto",
     limit: int | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per transaction of ``df`` with the features of every entity.
 
+    A transaction is an id, a time and a sequence number together: rows that share only the id stay apart, and one whose entities
+    all lack keys has the features of a first transaction. ``keyed`` returns time and sequence number too (``us``, ``seq``).
     ``history`` holds other transactions whose rows count as past but are not returned
     (SPL5); rows are told apart by a tag, not by position.
     """
     windows = dict(windows or {})
-    current = entity_rows(df, entities)
-    rows = current
+    rows = entity_rows(df, entities, anchor=True)
     if history is not None:
         rows = (
-            entity_rows(df.withColumn("_target", F.lit(True)), entities, ["_target"])
+            entity_rows(df.withColumn("_target", F.lit(True)), entities, ["_target"], anchor=True)
             .unionByName(entity_rows(history.withColumn("_target", F.lit(False)), entities, ["_target"]))
         )
     computed = entity_history(rows, windows, prior, strategy, limit)
     if history is not None:
         computed = computed.where("_target")
-    return widen(computed, entities, windows, prior)
+    wide = widen(computed, entities, windows, prior, by=("transaction_id", "us", "seq"))
+    return wide if keyed else wide.drop("us", "seq")
 
 
-def widen(computed: DataFrame, entities: Mapping[str, str] = ENTITIES, windows: Mapping[str, int] | None = None, prior: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+def widen(computed: DataFrame, entities: Mapping[str, str] = ENTITIES, windows: Mapping[str, int] | None = None, prior: bool = True, carry: Sequence[str] = (),
+          by: Sequence[str] = ("transaction_id",)) -> DataFrame:
     """History rows (one per transaction and entity) as one row of features per transaction."""
     # Absent entities take the defaults of a first transaction.
     first_time = {f"time_since_prev_{e}_txn_seconds": -1.0 for e in entities}
@@ -260,4 +270,4 @@ def widen(computed: DataFrame, entities: Mapping[str, str] = ENTITIES, windows:
             else:
                 default = F.lit(first_time.get(name, 0))
             wide.append(F.coalesce(value, default).alias(name))
-    return computed.groupBy("transaction_id").agg(*[F.max(c).alias(c) for c in carry], *wide)
+    return computed.groupBy(*by).agg(*[F.max(c).alias(c) for c in carry], *wide)

@@ -46,7 +46,6 @@ QUERIES: dict[str, Query] = {}
 APPROVE_BELOW, BLOCK_FROM = 0.35, 0.8
 GRID_STEPS = 30
 DRIFT_FEATURES = ["amount", "credit_limit", "customer_tenure_days", "device_age_days", "merchant_age_days"]
-FINGERPRINT_COLUMNS = ["transaction_id", "customer_id", "merchant_id", "transaction_sequence_id", "currency", "is_outlier"]
 GAP_US = 3_600_000_000
 
 
@@ -145,7 +144,7 @@ def quality_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quality_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.fingerprint(transactions(spark, sf_dir), FINGERPRINT_COLUMNS)
+    return quality.fingerprint(transactions(spark, sf_dir))
 
 
 @query
@@ -305,6 +304,20 @@ def velocity_cumulative_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prior(transactions(spark, sf_dir), {"customer": "customer_id"})
 
 
+@query
+def velocity_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third transaction names no customer; none is lost."""
+    holes = F.when(F.col("transaction_sequence_id") % 3 != 0, F.col("customer_id"))
+    return _prior(transactions(spark, sf_dir).withColumn("customer_id", holes), {"customer": "customer_id"})
+
+
+@query
+def velocity_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that many transactions share; each keeps its own row."""
+    shared = F.concat(F.lit("T"), (F.col("transaction_sequence_id") % 100).cast("string"))
+    return _prior(transactions(spark, sf_dir).withColumn("transaction_id", shared), {"customer": "customer_id"})
+
+
 @query
 def velocity_cumulative_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prior(transactions(spark, sf_dir), {"customer": "customer_id"}, strategy="totals")

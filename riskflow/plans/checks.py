@@ -16,12 +16,11 @@ from riskflow.plans.catalogue import (
     APPROVE_BELOW,
     BLOCK_FROM,
     DRIFT_FEATURES,
-    FINGERPRINT_COLUMNS,
     GAP_US,
     GRID_STEPS,
     LINEITEM_SQL,
 )
-from riskflow.schema import CATEGORICAL, ONLINE_COLUMNS
+from riskflow.schema import CATEGORICAL, ONLINE_COLUMNS, TXN
 from riskflow.sources.fixture import SCORED_SQL, TRANSACTIONS_SQL
 
 TXNS = f"t AS ({TRANSACTIONS_SQL.replace('{events}', 'events')})"
@@ -104,6 +103,11 @@ def features(names: list[str]) -> str:
     return f"WITH {TXNS} SELECT transaction_id, {cols} FROM t"
 
 
+def canonical(name: str, dtype: str) -> str:
+    value = {"double": f"CAST({name} AS DECIMAL(30,9))", "timestamp": f"epoch_us({name})"}.get(dtype, name)
+    return f"COALESCE(CAST(length(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
 # ── history ──
 def entity_union(source: str = "t", extra: str = "") -> str:
     return " UNION ALL ".join(
@@ -156,6 +160,20 @@ def prior_features(rows: str, entities: dict[str, str], where: str = "TRUE") ->
     return f"SELECT transaction_id, {', '.join(cols)} FROM ({prior_rows(rows)}) WHERE {where} GROUP BY transaction_id"
 
 
+def prior_of_customer(rows: str) -> str:
+    """One row for each row of the table: nothing is grouped, rows without a customer have no history."""
+    z = "least(greatest((amount - avg_prior) / (CASE WHEN std_prior = 0 THEN 1 ELSE std_prior END), -10), 10)"
+    none = "SELECT * FROM n WHERE customer_id IS NULL"
+    known = f"SELECT * FROM ({prior_rows(rows)})"
+    return f"""x AS ({known}), o AS ({none})
+SELECT transaction_id, {big('n_prior')} AS customer_total_txn_count, {r('avg_prior', 3)} AS customer_avg_amount, {r('std_prior', 3)} AS customer_std_amount,
+  {r('COALESCE((us - prev_us) / 1e6, -1)', 3)} AS time_since_prev_customer_txn_seconds, {r(z, 3)} AS amount_zscore_customer FROM x
+UNION ALL SELECT transaction_id, 0, {r('0', 3)}, {r('0', 3)}, {r('-1', 3)}, {r('least(greatest(amount, -10), 10)', 3)} FROM o"""
+
+
+NAMED = "SELECT 'customer' AS entity, customer_id AS entity_id, transaction_id, epoch_us(event_timestamp) AS us, transaction_sequence_id AS seq, amount FROM n WHERE customer_id IS NOT NULL"
+
+
 def one_entity(e: str, c: str, extra: str = "") -> str:
     return f"SELECT '{e}' AS entity, {c} AS entity_id, transaction_id, epoch_us(event_timestamp) AS us, transaction_sequence_id AS seq, amount{extra} FROM t"
 
@@ -378,7 +396,7 @@ def build() -> dict[str, str]:
     rate = {"precision": PRECISION, "recall": RECALL, "f1": F1, "specificity": SPECIFICITY, "false_positive_rate": FPR}
     curve = ", ".join(num(t) for t in CURVE_THRESHOLDS)
     sent = [*_TEMPORAL, *_GEO, *_IDENTITY, "log_amount", "amount_credit_ratio", "amount_bucket"]
-    fp_text = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in FINGERPRINT_COLUMNS)
+    fp_text = " || ".join(canonical(f.name, f.dataType.simpleString()) for f in TXN)
     statuses = ["column_schema", "data_types", "row_count", "txn_id_unique", "no_nulls", "timestamp_readable", "timestamp_range",
                 "target_distribution", "observed_distribution", "outlier_distribution"]
     money = ("fraud_loss_prevented", "fraud_loss_missed", "false_positive_cost", "total_expected_cost", "net_benefit")
@@ -404,7 +422,8 @@ SELECT {DECISION} AS decision, {LEVEL} AS risk_level, COUNT(*) AS n, {big(f"SUM(
         "quality_null_census": f"""WITH {TXNS} SELECT 'proxy_type' AS "column", COUNT(*) FILTER (proxy_type = 'none') AS nulls FROM t UNION ALL SELECT 'connection_type', COUNT(*) FILTER (connection_type = 'mobile') FROM t
 UNION ALL SELECT 'customer_country', COUNT(*) FILTER (customer_country = 'UK') FROM t UNION ALL SELECT 'amount', COUNT(*) FILTER (amount IS NULL) FROM t UNION ALL SELECT 'currency', COUNT(*) FILTER (currency IS NULL) FROM t""",
         "quality_duplicates": f"WITH g AS (SELECT COUNT(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT {big('SUM(c - 1)')} AS duplicate_rows, COUNT(*) FILTER (c > 1) AS duplicated_keys FROM g",
-        "quality_fingerprint": f"WITH {TXNS} SELECT COUNT(*) AS n_rows, {big(f'SUM(CAST(({chr(39)}0x{chr(39)} || substr(md5({fp_text}), 1, 8)) AS BIGINT))')} AS fingerprint FROM t",
+        "quality_fingerprint": f"""WITH {TXNS}, m AS (SELECT md5({fp_text}) AS h FROM t)
+SELECT COUNT(*) AS n_rows, CAST(SUM(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) || '-' || CAST(SUM(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM m""",
         "quality_report": f"""WITH {TXNS} SELECT UNNEST({statuses!r}) AS "check", 'passed' AS status
 UNION ALL SELECT 'outlier_fraud_separation', CASE WHEN SUM(true_fraud_label) FILTER (is_outlier = 1) > 0 THEN 'warning' ELSE 'passed' END FROM t""",
         "outlier_crosscheck": f"WITH {TXNS} SELECT is_outlier, COUNT(*) AS n_rows, {big('SUM(true_fraud_label)')} AS n_fraud FROM t GROUP BY is_outlier",
@@ -423,6 +442,8 @@ UNION ALL SELECT 'outlier_fraud_separation', CASE WHEN SUM(true_fraud_label) FIL
         "velocity_windows_hot_keys": ties,
         "velocity_lineitem_supplier": f"WITH t AS ({LINEITEM_SQL.replace('{lineitem}', 'lineitem')}), " + rolling_by_join("t", "supplier_id", "supplier", lineitem_windows),
         "velocity_cumulative_customer": customer_prior,
+        "velocity_null_keys": f"WITH {TXNS}, n AS (SELECT * REPLACE (CASE WHEN transaction_sequence_id % 3 <> 0 THEN customer_id END AS customer_id) FROM t), " + prior_of_customer(NAMED),
+        "velocity_repeated_ids": f"WITH {TXNS}, n AS (SELECT * REPLACE ('T' || CAST(transaction_sequence_id % 100 AS VARCHAR) AS transaction_id) FROM t), " + prior_of_customer(NAMED),
         "velocity_cumulative_hot_keys": customer_prior,
         "velocity_all_entities": f"WITH {TXNS} " + prior_features(entity_union(), ENTITIES),
         "velocity_windows_all_entities": rolling_all(),

@@ -49,10 +49,13 @@ def feature_table(
     ``history`` (transactions before ``df``) feeds the history features only.
     """
     kept = ["transaction_id", *[k for k in keep if k != "transaction_id"]]
-    rows = row_features(df, encoder, kept)
     if not include_velocity:
-        return finish(rows, BASIC, kept)
+        return finish(row_features(df, encoder, kept), BASIC, kept)
     windows = WINDOWS_US if exact else None
-    past = velocity(df, ENTITIES, windows, history=history, strategy=strategy)
+    # An id alone does not tell rows apart.
+    place = {"_id": F.col("transaction_id"), "_us": F.unix_micros("event_timestamp"), "_seq": F.coalesce(F.col("transaction_sequence_id"), F.lit(0)).cast("bigint")}
+    rows = row_features(df.withColumns(place), encoder, [*kept, *place])
+    past = velocity(df, ENTITIES, windows, history=history, strategy=strategy, keyed=True).withColumnRenamed("transaction_id", "id")
+    same = F.col("_id").eqNullSafe(F.col("id")) & F.col("_us").eqNullSafe(F.col("us")) & F.col("_seq").eqNullSafe(F.col("seq"))
     names = [*ENGINEERED, *ROLLING] if exact else ENGINEERED
-    return finish(rows.join(past, "transaction_id", "left"), names, kept)
+    return finish(rows.join(past, same, "left"), names, kept)

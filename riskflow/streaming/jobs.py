@@ -74,11 +74,14 @@ def monitoring_stream(scored: DataFrame, lateness: str = "1 hour", width: str =
     return decision_counts(scored.withWatermark("event_timestamp", lateness), width=width)
 
 
-def gap_counter_stream(transactions: DataFrame, ttl: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """ST2 on a stream: counters that restart after a silence of ``ttl``."""
+def gap_counter_stream(transactions: DataFrame, ttl_us: int = 3_600_000_000, lateness: str = "1 hour") -> DataFrame:
+    """ST2 on a stream: counters that restart after a silence of at least ``ttl_us``, as in the batch.
+
+    A session window still joins rows exactly its gap apart, so the gap is one microsecond shorter.
+    """
     rows = entity_rows(transactions.withWatermark("event_timestamp", lateness), ENTITIES, ["event_timestamp"])
     return (
-        rows.groupBy(F.session_window("event_timestamp", ttl).alias("w"), "entity", "entity_id")
+        rows.groupBy(F.session_window("event_timestamp", f"{ttl_us - 1} microseconds").alias("w"), "entity", "entity_id")
         .agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("amount_sum"), F.max("us").alias("end_us"))
         .select("entity", "entity_id", F.unix_micros(F.col("w.start")).alias("start_us"), "end_us", "txn_count", "amount_sum")
     )

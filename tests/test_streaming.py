@@ -1,3 +1,4 @@
+import datetime as dt
 import time
 
 import pytest
@@ -170,6 +171,17 @@ def test_monitoring_and_gap_streams_equal_batch(spark, table, tmp_path):
     assert spark.table("gaps").select(batch.columns).exceptAll(batch).count() == 0 and spark.table("gaps").count() == batch.count()
 
 
+def test_a_gap_of_exactly_the_expiry_starts_a_new_counter(spark, txns, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    table = strip_labels(txns([{"event_timestamp": start + dt.timedelta(seconds=s)} for s in (0, 3600, 7199)]))
+    table.write.parquet(str(tmp_path / "t"))
+    rows = spark.readStream.schema(table.schema).parquet(str(tmp_path / "t"))
+    jobs.gap_counter_stream(rows).writeStream.format("memory").queryName("edge").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    batch = entity_state.gap_counters(velocity.entity_rows(table), 3_600_000_000)
+    count = lambda df: sorted(r.txn_count for r in df.where("entity = 'card'").collect())
+    assert count(spark.table("edge")) == count(batch) == [1, 2]
+
+
 def test_routing_and_audit_append(spark, tmp_path):
     df = decide(spark.createDataFrame([("a", 0.0), ("b", 0.3), ("c", 0.9)], "transaction_id string, p double"))
     by_key = {}

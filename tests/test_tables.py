@@ -108,11 +108,13 @@ def test_feature_table_shape(txns):
     assert sum(nulls) == 0 and full.count() == 3
 
 
-def test_registry():
-    assert len(R.FEATURES) == 145 and len(R.names("velocity")) == 72 and len(R.names("categorical")) == len(CATEGORICAL)
-    assert R.get("time_since_prev_ip_txn_seconds").default_value == -1.0
-    with pytest.raises(KeyError):
-        R.get("nothing")
+def test_registry(spark):
+    rows = {r["name"]: r for r in R.catalogue(spark).collect()}
+    assert len(rows) == 151 and sum(r.in_default_set for r in rows.values()) == 79
+    assert sum(r.family == "velocity" for r in rows.values()) == 72 and sum(r.family == "categorical" for r in rows.values()) == len(CATEGORICAL)
+    # what the rules make of an unknown transaction
+    assert rows["time_since_prev_ip_txn_seconds"].default_value == -1.0 and rows["geo_mismatch_count"].default_value == 6.0
+    assert rows["card_amount_sum_6h"].window == "6h" and rows["is_tor"].type == "int" and not rows["is_tor"].needs_history
 
 
 # ── drift ──
@@ -226,6 +228,11 @@ def test_csv_round_trip_and_errors(spark, txns, tmp_path):
         read_csv(spark, str(tmp_path / "csv"), ["other"])
 
 
+def test_fingerprint_marks_nulls_and_edges(txns):
+    of = lambda a, b: Q.fingerprint(txns([{"customer_id": a, "account_id": b}]), ["customer_id", "account_id"]).first()
+    assert len({of(None, "x"), of("", "x"), of("x", None), of("1:x", ""), of("x", "x")}) == 5
+
+
 def test_canonical_layout_prunes_days(spark, txns, tmp_path):
     write_table(txns([{} for _ in range(60)]), str(tmp_path / "t"))
     df = read_parquet(spark, str(tmp_path / "t")).where("event_date = '2026-01-02'")

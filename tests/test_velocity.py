@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from riskflow.config import ENTITIES, WINDOWS_US
 from riskflow.operators import velocity as V
+from riskflow.operators.encode import FrequencyEncoder
+from riskflow.plans.features import feature_table
 from riskflow.operators.leakage import future_changes_past
 
 START = dt.datetime(2026, 1, 1)
@@ -112,3 +114,18 @@ def test_history_is_told_by_tag_not_position(txns):
     whole = V.velocity(df, entities, WINDOWS_US).join(target.select("transaction_id"), "transaction_id", "left_semi")
     assert with_history.count() == target.count()
     assert with_history.exceptAll(whole.select(with_history.columns)).count() == 0
+
+
+def test_no_row_is_lost(txns):
+    keys = {c: None for c in ENTITIES.values()}
+    df = txns([{**keys, "transaction_id": "A"}, {**keys, "transaction_id": "B"}, {"transaction_id": "C"}, {"transaction_id": "C"}, {"transaction_id": None}])
+    for strategy in ("windows", "totals"):
+        out = V.velocity(df, ENTITIES, WINDOWS_US, strategy=strategy).collect()
+        assert sorted((r.transaction_id or "", r.customer_total_txn_count) for r in out) == [("", 2), ("A", 0), ("B", 0), ("C", 0), ("C", 1)]
+        assert all(r.time_since_prev_card_txn_seconds == -1 for r in out if r.transaction_id in ("A", "B"))
+
+
+def test_feature_table_keeps_rows_that_share_an_id(txns):
+    df = txns([{"transaction_id": "C", "amount": 10.0 + i} for i in range(3)])
+    out = feature_table(df, FrequencyEncoder.fit(df)).collect()
+    assert sorted(r.customer_total_txn_count for r in out) == [0, 1, 2]
