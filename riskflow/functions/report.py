@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Amounts are short decimals, so sums and means often sit exactly on a rounding
-# midpoint, where the order of additions decides. A shift far below the last
-# reported digit moves every such value off the midpoint.
-HALF_GUARD = 3.7e-7
+
+def guard(digits: int) -> float:
+    """A thousandth of the last reported digit.
+
+    Sums and means of short decimals often sit exactly on a rounding midpoint, where the order of additions decides; this moves them off it, and no
+    other value by more than it.
+    """
+    return 10.0 ** -(digits + 3)
 
 
 def rounded(c: Column | str, digits: int = 4) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col.cast("double") + F.lit(HALF_GUARD), digits)
+    return F.round(col.cast("double") + F.lit(guard(digits)), digits)

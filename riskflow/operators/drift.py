@@ -151,7 +151,7 @@ def check_drift(
 ) -> DataFrame:
     """DRF3-5: rows ``(feature, metric, value, severity, warning, critical)``.
 
-    Features with fewer than 10 values on a side are left out.
+    Features with fewer than 10 values on a side are not judged: their severity is 'skipped', their value null.
     """
     unknown = set(metrics) - {"psi", "ks", "js"}
     if unknown:
@@ -163,20 +163,24 @@ def check_drift(
         "ks": lambda: ks_statistic(ordered),
         "js": lambda: js_distance(counts, js_bins),
     }
-    enough = feature_span(counts).where((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).select("feature")
+    enough = feature_span(counts).select("feature", ((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).alias("enough"))
     out = None
     for metric in metrics:
-        warning, critical = getattr(levels, metric)
-        rows = computed[metric]().select(
-            "feature",
-            F.lit(metric).alias("metric"),
-            F.col(metric).alias("value"),
-            severity(F.col(metric), (warning, critical)).alias("severity"),
-            F.lit(warning).alias("warning"),
-            F.lit(critical).alias("critical"),
-        )
+        rows = computed[metric]().select("feature", F.lit(metric).alias("metric"), F.col(metric).alias("value"))
         out = rows if out is None else out.unionByName(rows)
-    return out.join(F.broadcast(enough), "feature", "left_semi")
+    # one row per feature and metric of the caller's lists
+    asked = counts.sparkSession.createDataFrame(
+        [(f, m, *map(float, getattr(levels, m))) for f in features for m in metrics], "feature string, metric string, warning double, critical double"
+    )
+    judged = F.coalesce("enough", F.lit(False))
+    return asked.join(F.broadcast(enough), "feature", "left").join(out, ["feature", "metric"], "left").select(
+        "feature",
+        "metric",
+        F.when(judged, F.col("value")).alias("value"),
+        F.when(judged, severity(F.col("value"), (F.col("warning"), F.col("critical")))).otherwise("skipped").alias("severity"),
+        "warning",
+        "critical",
+    )
 
 
 def drift_summary(results: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def drift_summary(results: DataFrame) -> DataFrame:
     critical, warning = F.col("severity") == "critical", F.col("severity") == "warning"
     rank = F.max(F.when(critical, 2).when(warning, 1).otherwise(0))
     return results.agg(
-        F.count(F.lit(1)).alias("checks"),
+        F.count_if(F.col("severity") != "skipped").alias("checks"),
         F.count_if(critical).alias("n_critical"),
         F.count_if(warning).alias("n_warning"),
         F.coalesce(rank, F.lit(0)).alias("_rank"),

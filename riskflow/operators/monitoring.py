@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from riskflow.functions.buckets import bucket
 from riskflow.functions.quantiles import exact_quantiles
@@ -76,13 +77,39 @@ def drift_gauge(results: DataFrame, run_at: Column | None = None) -> DataFrame:
     return results.select((F.current_timestamp() if run_at is None else run_at).alias("run_at"), "feature", "metric", "value", "severity")
 
 
+PROGRESS_DDL = "query string, batch_id long, source string, input_rows long, late_rows long, end_offset string, latest_offset string"
+
+
+def _progress_rows(p: dict) -> list[tuple]:
+    """One row for each source of a micro-batch, with the rows that came too late."""
+    dropped = sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])
+    return [(p["name"], p["batchId"], s["description"], int(s["numInputRows"]), dropped, str(s["endOffset"]), str(s.get("latestOffset"))) for s in p["sources"]]
+
+
+class ProgressLog(StreamingQueryListener):
+    """MON5: appends every micro-batch of every query to a table, however many there are.
+
+    ``spark.streams.addListener(ProgressLog(spark, path))`` before the queries start. Read it with ``spark.read.parquet(path)``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        rows = _progress_rows(json.loads(event.progress.json))
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS_DDL).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def stream_progress(query: StreamingQuery) -> DataFrame:
-    """MON5: one row per source and recent micro-batch, with the rows that came too late."""
-    rows = []
-    for p in query.recentProgress:
-        dropped = sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])
-        for s in p["sources"]:
-            rows.append((p["name"], p["batchId"], s["description"], int(p["numInputRows"]), dropped, str(s["endOffset"]), str(s["latestOffset"])))
-    return SparkSession.active().createDataFrame(
-        rows, "query string, batch_id long, source string, input_rows long, late_rows long, end_offset string, latest_offset string"
-    )
+    """MON5 at a glance: the micro-batches the query still remembers; ``ProgressLog`` keeps all."""
+    return SparkSession.active().createDataFrame([r for p in query.recentProgress for r in _progress_rows(json.loads(p.json))], PROGRESS_DDL)

@@ -43,7 +43,7 @@ def entity_rows(df: DataFrame, entities: Mapping[str, str] = ENTITIES, keep: lis
 
     ``anchor`` adds one row per transaction under the entity '', so that one without any key is not lost.
     """
-    pairs = [F.struct(F.lit(e).alias("entity"), F.col(c).alias("entity_id")) for e, c in entities.items()]
+    pairs = [F.struct(F.lit(e).alias("entity"), F.col(c).cast("string").alias("entity_id")) for e, c in entities.items()]
     if anchor:
         pairs.append(F.struct(F.lit("").alias("entity"), F.coalesce(F.col("transaction_id"), F.lit("")).alias("entity_id")))
     pairs = F.array(*pairs)

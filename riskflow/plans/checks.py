@@ -7,7 +7,7 @@ not from the way the Spark side computes them.
 from __future__ import annotations
 
 from riskflow.config import CURVE_THRESHOLDS, ENTITIES, JANUARY_2024, WINDOWS_US
-from riskflow.functions.report import HALF_GUARD
+from riskflow.functions.report import guard
 from riskflow.functions.scalar import COUNTRY_PARTIES
 from riskflow.operators.drift import EDGE_MARGIN, EPS
 from riskflow.operators.monitoring import PROBABILITY_BOUNDS, SCORE_BOUNDS
@@ -34,7 +34,7 @@ def num(x: float) -> str:
 
 def r(expr: str, digits: int = 4) -> str:
     # Adding zero turns a rounded -0.0 into 0.0.
-    return f"(ROUND(CAST({expr} AS DOUBLE) + {num(HALF_GUARD)}, {digits}) + 0e0)"
+    return f"(ROUND(CAST({expr} AS DOUBLE) + {num(guard(digits))}, {digits}) + 0e0)"
 
 
 def big(expr: str) -> str:

@@ -128,6 +128,26 @@ def test_late_rows_are_counted(spark, table, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 40 * 6
 
 
+def test_progress_of_every_batch_is_kept(spark, table, tmp_path):
+    src = str(tmp_path / "in")
+    for i in range(6):
+        messages(strip_labels(table.where(f"transaction_sequence_id = {i}"))).coalesce(1).write.mode("append").json(src)
+    log = monitoring.ProgressLog(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(log)
+    try:
+        q = read_folder(spark, src, 1).writeStream.format("noop").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if (tmp_path / "progress").exists() and spark.read.parquet(log.path).where("query = 'kept'").count() >= 6:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    found = spark.read.parquet(log.path).where("query = 'kept'")
+    assert found.agg(F.sum("input_rows")).first()[0] == 6 and found.select("batch_id").distinct().count() == 6
+
+
 def test_initial_state_continues_history(spark, table, tmp_path):
     src = str(tmp_path / "in")
     old, new = table.where("transaction_sequence_id < 100"), table.where("transaction_sequence_id BETWEEN 100 AND 149")
