@@ -106,9 +106,9 @@ def test_links_find_every_pair_within_the_bound(spark):
             marks.add(m ^ sum(1 << b for b in rnd.sample(range(64), n)))
     signed = [m - (1 << 64) if m >> 63 else m for m in marks]
     df = spark.createDataFrame([(m,) for m in signed], "fp long")
-    got = sorted(tuple(r) for r in simhash.links(df).collect())
+    got, deep = (sorted(tuple(r) for r in simhash.links(df, deep=d).collect()) for d in (False, True))
     want = sorted((min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
-    assert got == want
+    assert got == want and deep == want
 
 
 def test_near_stage_keeps_one_of_each_group(docs_of, awkward):
