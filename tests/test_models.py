@@ -65,6 +65,19 @@ def test_saved_model_is_checked_before_scoring(spark, fitted, tmp_path):
         back.score(rest.drop(BASIC[0]))
 
 
+def test_saved_scorer_scores_the_same(spark, fitted, tmp_path):
+    _, encoder, _, rest, model = fitted
+    cal = C.Calibrator.fit(labelled(model, rest))
+    for active in ("platt", "isotonic"):
+        cal.active = active
+        scorer = Scorer(model, encoder, cal, approve_below=0.2, block_from=0.8)
+        scorer.save(str(tmp_path / active))
+        back = Scorer.load(spark, str(tmp_path / active))
+        assert back.bands == scorer.bands and back.calibrator.active == active and back.encoder.maps == encoder.maps
+        rows = L.strip_labels(transactions(spark, SMALL)).limit(60)
+        assert scorer.score(rows).exceptAll(back.score(rows)).count() == 0
+
+
 def test_calibration_improves_and_is_monotone(spark):
     rows = S.assign_split(scored(spark, "/root/testdata/sf0.01"), JANUARY_2024)
     cal = C.Calibrator.fit(rows.where("split = 'VAL'"))
