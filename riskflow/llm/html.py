@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -40,16 +41,19 @@ OTHER = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav|navbar\w*|navigation\w*|breadcrumb\w*|footer\w*|foot|"
     r"topbar|cookie\w*|consent\w*|gdpr|notice\w*|alerts?|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|paywall|social\w*|share\w*|sharing|related\w*|recommend\w*|"
     r"comments?|commentlist|disqus\w*|respond|repl(?:y|ies)|pagination|pager|toolbar|widget\w*|search\w*|copyright|legal|disclaimer|skip|tags|byline|outbrain|taboola|hidden)(?:$|[^a-z])")
+READERS = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|disqus\w*|respond|repl(?:y|ies))(?:$|[^a-z])")
 HEADER = re.compile(r"(?:^|[^a-z])(?:header|masthead|head)(?:$|[^a-z])")
+LAYOUT = re.compile(r"(?<=\s)(?:has|with|without|no|show|hide|enable|js|is)[-_]\S+")
 CONTENT = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post|entry|story|content|maintext|main|text|body)(?:$|[^a-z])")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "hash", "main")
+    __slots__ = ("tag", "attrs", "items", "hash", "main", "size", "core")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.items, self.hash, self.main = tag, attrs, [], 0, tag in ("article", "main")
+        self.size = self.core = 0  # characters below; those of the largest element below that is named as content
 
 
 def parse(html: str) -> Node:
@@ -104,7 +108,7 @@ def parse(html: str) -> Node:
 
 
 def settle(node: Node) -> None:
-    """Give each element the hash of its subtree (tags and texts) and whether it holds an article; children first, without recursion."""
+    """Give each element the hash of its subtree (tags and texts), its size, and what it holds of an article; children first, without recursion."""
     order, todo = [], [node]
     while todo:
         n = todo.pop()
@@ -116,18 +120,36 @@ def settle(node: Node) -> None:
             if type(x) is Node:
                 h.update(x.hash.to_bytes(8, "little"))
                 n.main |= x.main
+                n.size += x.size
+                n.core = max(n.core, x.core)
             elif not x.isspace():
+                n.size += len(x)
                 h.update(b"\x00" + " ".join(x.split()).encode("utf-8", "surrogatepass"))
         n.hash = h.intdigest()
+        if n.tag in DROPPED:
+            n.size = n.core = 0
+        elif n.tag in ("article", "main") or (n.attrs and n.tag in ("div", "section", "td") and is_content(n.attrs)):
+            n.core = max(n.core, n.size)
 
 
+@lru_cache(maxsize=4096)
 def _names(attrs: str) -> tuple[str, dict[str, str]]:
+    """Class and id in lower case, without words on layout such as has-sidebar, and all attributes."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-    return CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower(), found
+    return LAYOUT.sub(" ", CAMEL.sub("-", f" {found.get('class', '')} {found.get('id', '')}").lower()), found
 
 
-def dropped(node: Node, inside: bool) -> bool:
-    """Whether an element is not part of an article, by what it says of itself; ``inside``: within an article."""
+@lru_cache(maxsize=4096)
+def is_content(attrs: str) -> bool:
+    names, found = _names(attrs)
+    return found.get("itemprop") == "articleBody" or bool(CONTENT.search(names) and not OTHER.search(names) and not HEADER.search(names))
+
+
+def dropped(node: Node, inside: bool, half: float) -> bool:
+    """Whether an element is not part of an article, by what it says of itself; ``inside``: within an article.
+
+    Its names don't count if content of more than ``half`` a page stands in it: then they tell of the page's layout.
+    """
     if node.tag in DROPPED:
         return True
     if node.tag == "header" and not inside and not node.main:
@@ -137,12 +159,12 @@ def dropped(node: Node, inside: bool) -> bool:
     names, found = _names(node.attrs)
     if "hidden" in found or found.get("aria-hidden") == "true" or UNSEEN.search(found.get("style", "")):
         return True
-    if node.main and node.tag != "article":
+    if node.tag != "article" and (node.main or (node.core > half and not READERS.search(names))):
         return False
     return found.get("role", "").lower() in ROLES or bool(OTHER.search(names)) or (not inside and bool(HEADER.search(names)))
 
 
-def blocks(node: Node, templates, inside: bool = False) -> list[str]:
+def blocks(node: Node, templates, half: float, inside: bool = False) -> list[str]:
     """The texts of the blocks below ``node`` in page order, without dropped elements and templates."""
     out, now = [], []
 
@@ -162,7 +184,7 @@ def blocks(node: Node, templates, inside: bool = False) -> list[str]:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif x is node or not (dropped(x, inside) or (x.hash in templates and x.tag not in INLINE and not (x.main or x.tag in ("html", "body")))):
+        elif x is node or not (dropped(x, inside, half) or (x.hash in templates and x.tag not in INLINE and not (x.main or x.tag in ("html", "body")))):
             if x.tag not in INLINE:
                 close()
                 todo.append(None)
@@ -173,12 +195,12 @@ def blocks(node: Node, templates, inside: bool = False) -> list[str]:
 
 def article(root: Node, templates=frozenset()) -> str:
     """The article of a page: its largest article element, else main, else what is named content or holds the paragraphs."""
-    alive, articles, mains, named, scores = [], [], [], [], {}
+    half = root.size / 2
+    articles, mains, named, scores = [], [], [], {}
     todo: list[tuple[Node, Node | None, Node | None]] = [(root, None, None)]
     body = root
     while todo:
         n, parent, grand = todo.pop()
-        alive.append(n)
         if n.tag == "body":
             body = n
         if n.tag == "article":
@@ -187,21 +209,21 @@ def article(root: Node, templates=frozenset()) -> str:
         names, found = _names(n.attrs) if n.attrs else ("", {})
         if n.tag == "main" or found.get("role") == "main":
             mains.append(n)
-        elif found.get("itemprop") == "articleBody" or (n.tag in ("div", "section", "td") and CONTENT.search(names)):
+        elif n.tag in ("div", "section", "td") and is_content(n.attrs):
             named.append(n)
         if n.tag == "p" and parent is not None:
             size = sum(len(x) for x in n.items if type(x) is str)
             scores[id(parent)] = (scores.get(id(parent), (0,))[0] + size, parent)
             if grand is not None:
                 scores[id(grand)] = (scores.get(id(grand), (0,))[0] + size / 2, grand)
-        todo += [(x, n, parent) for x in n.items if type(x) is Node and not dropped(x, False) and not (x.hash in templates and not x.main and x.tag not in ("html", "body"))]
+        todo += [(x, n, parent) for x in n.items if type(x) is Node and not dropped(x, False, half) and not (x.hash in templates and not x.main and x.tag not in ("html", "body"))]
     for group in (articles, mains, named):
-        texts = [blocks(n, templates, True) for n in group]
+        texts = [blocks(n, templates, half, True) for n in group]
         best = max(texts, key=lambda t: sum(map(len, t)), default=[])
         if best:
             return "\n".join(best)
     top = max(scores.values(), key=lambda s: s[0], default=(0, body))[1]
-    return "\n".join(blocks(top, templates) or blocks(body, templates))
+    return "\n".join(blocks(top, templates, half) or blocks(body, templates, half))
 
 
 def host_of(url: str | None) -> str:

@@ -127,7 +127,9 @@ def page(n, article, extra=""):
 @pytest.mark.parametrize("source, text", [
     ("", ""), (None, ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b &lt;i&gt; <b>c</b>d", "a\nb <i> cd"), ("<article><header><h1>T</h1></header><p>x\n  y<br>z</p></article>", "T\nx y z"),
     ("<div class=sidebar>s</div><div id=content><h1>H</h1><p>para</p><script>var a='</p>'</script></div>", "H\npara"), ("<main>m<aside>no</aside></main><p>out", "m"),
-    ("<article><p>a</p><div class='ad'>buy</div><p>b</p><article class=comment><p>c</p></article></article>", "a\nb"), ("<p title='a > b'>t</p", "t"), ("<ul><li>a<li>b</ul>", "a\nb")])
+    ("<article><p>a</p><div class='ad'>buy</div><p>b</p><article class=comment><p>c</p></article></article>", "a\nb"), ("<p title='a > b'>t</p", "t"), ("<ul><li>a<li>b</ul>", "a\nb"),
+    ("<body class='has-sidebar'><div class='page sidebar-right'><div class='sidebar'>s</div><div class='post-body'><p>the text itself, long enough to count</p></div></div>", "the text itself, long enough to count"),
+    ("<div id=main><p>short</p><div class=comments><div class=post-content>a reader writes much more than the author did</div><div class=post-content>and another reader too, at length</div></div></div>", "short")])
 def test_main_text(source, text):
     root = html.parse(source or "")
     html.settle(root)
