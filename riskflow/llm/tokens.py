@@ -1,7 +1,7 @@
 """Token ids of whole texts, with the ids of each distinct word looked up once.
 
-The byte-level pattern never joins text across a space that stands between two characters that are not white space:
-such a space opens a token. Texts are cut there, and only pieces not seen before go to the tokenizer.
+The byte-level pattern never joins text across a space, or a line feed, that stands between two characters that are not
+white space: it opens a token, or is one. Texts are cut there, and only pieces not seen before go to the tokenizer.
 """
 
 from __future__ import annotations
@@ -12,11 +12,24 @@ import re
 import numpy as np
 
 #: Pieces remembered by one Python worker; beyond this it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, Encoder] = {}
 
 
+class Slots(dict):
+    """Numbers for pieces in the order in which they are first asked for; new ones wait in ``new``."""
+
+    def __init__(self, owner: Encoder):
+        self.owner, self.new = owner, []
+
+    def __missing__(self, piece: str) -> int:
+        slot = self[piece] = self.owner.slots
+        self.owner.slots += 1
+        self.new.append(piece)
+        return slot
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -24,70 +37,84 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        (self.feed,) = self._ids("\n")
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _forget(self) -> None:
-        self.spaced: dict[str, int] = {}  # pieces that follow a space, without it
-        self.whole: dict[str, int] = {}  # other pieces
+        self.slots = self.used = 0
+        self.spaced, self.whole = Slots(self), Slots(self)  # pieces that follow a space, without it; other pieces
         self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
-
-    def _learn(self, pieces: set[str], known: dict[str, int], before: str) -> None:
-        """New pieces go to the tokenizer many at a time, with a line feed, a token of its own, after each."""
-        lines = sorted(p for p in pieces if "\n" not in p and (q := p.removeprefix(" ")) and q == q.strip())
-        for at in range(0, len(lines), 256):
-            some = lines[at : at + 256]
-            ids = np.array(self.tokenizer.encode("\n".join([before + p for p in some]), add_special_tokens=False).ids, dtype=np.int32)
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            if len(ends) != len(some):
-                raise RuntimeError("the tokenizer joins line feeds to words")
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            self._keep(some, known, ids, begins, ends - begins)
-        for piece in pieces.difference(lines):
-            ids = np.array(self.tokenizer.encode(before + piece, add_special_tokens=False).ids, dtype=np.int32)
-            self._keep([piece], known, ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int32)
 
-    def _keep(self, pieces: list[str], known: dict[str, int], ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, slots: list[int], ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        known.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
-        self.starts += (begins + self.used).tolist()
-        self.lengths += lengths.tolist()
+        self.starts[slots], self.lengths[slots] = begins + self.used, lengths
         self.used += len(ids)
 
+    def _learn(self, slots: list[int], pieces: list[str], before: str, feed: bool) -> None:
+        """Many pieces at a time, with a line feed, a token of its own, between them; ``feed``: it belongs to each piece."""
+        for at in range(0, len(pieces), 64):
+            some = pieces[at : at + 64]
+            ids = np.array([self.feed, *self._ids("\n".join([before + p for p in some]))], dtype=np.int32)
+            begins = np.flatnonzero(ids == self.feed)
+            if len(begins) != len(some):
+                raise RuntimeError("the tokenizer joins line feeds to words")
+            lengths = np.diff(begins, append=len(ids))
+            self._keep(slots[at : at + 64], ids, begins + (not feed), lengths - (not feed))
+
+    def _learn_new(self) -> None:
+        while self.slots > len(self.lengths):
+            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        plain, led, single = ([], []), ([], []), ([], [])
+        for piece in self.spaced.new:
+            led_by_feed = piece[:1] == "\n"
+            bare = piece[1:] if led_by_feed else piece
+            if not bare or bare[0].isspace() or bare[-1].isspace() or "\n" in bare:
+                self.lengths[self.spaced[piece]] = -1  # white space beside the space: not a place to cut
+            else:
+                into = led if led_by_feed else plain
+                into[0].append(self.spaced[piece])
+                into[1].append(bare)
+        self._learn(*plain, " ", False)
+        self._learn(*led, "", True)
+        for piece in self.whole.new:
+            if piece and "\n" not in piece and piece == piece.strip():
+                single[0].append(self.whole[piece])
+                single[1].append(piece)
+            else:
+                ids = np.array(self._ids(piece), dtype=np.int32)
+                self._keep([self.whole[piece]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        self._learn(*single, "", False)
+        self.spaced.new.clear()
+        self.whole.new.clear()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the text at once."""
-        if len(self.starts) > REMEMBERED:
+        if self.slots > REMEMBERED:
             self._forget()
-        split, spaced, whole = [], set(), set()
+        cut = []
         for text in texts:
-            pieces = text.split(" ")
-            new = {p for p in pieces[1:] if p not in self.spaced}
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in new) or pieces[0][-1:].isspace() or (len(pieces) > 1 and not pieces[0]):
-                pieces = CUT.split(text)
-                whole |= {p for p in pieces if p not in self.whole}
-                split.append((True, pieces))
-            else:
-                spaced |= new
-                if pieces[0] not in self.whole:
-                    whole.add(pieces[0])
-                split.append((False, pieces))
-        self._learn(spaced, self.spaced, " ")
-        self._learn(whole, self.whole, "")
+            first, *rest = text.replace("\n", " \n").split(" ")
+            at = np.empty(len(rest) + 1, dtype=np.int64)
+            at[0] = self.whole[first]
+            at[1:] = np.fromiter(map(self.spaced.__getitem__, rest), dtype=np.int64, count=len(rest))
+            cut.append(at)
+        self._learn_new()
+        apart = [i for i, at in enumerate(cut) if self.lengths[at].min() < 0]
+        for i in apart:
+            cut[i] = np.array([self.whole[p] for p in CUT.split(texts[i])], dtype=np.int64)
+        if apart:
+            self._learn_new()
         out = []
-        starts, lengths = np.array(self.starts, dtype=np.int64), np.array(self.lengths, dtype=np.int64)
-        for apart, pieces in split:
-            if apart:
-                at = np.array([self.whole[p] for p in pieces], dtype=np.int64)
-            else:
-                at = np.array([self.whole[pieces[0]], *map(self.spaced.__getitem__, pieces[1:])], dtype=np.int64)
-            n = lengths[at]
+        for at in cut:
+            n = self.lengths[at]
             ends = np.cumsum(n)
-            out.append(self.ids[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])])
+            out.append(self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1])])
         return out
 
 
