@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.config import GateLimits, RetrainLimits
+from riskflow.operators.drift import drift_summary
+from riskflow.schema import FORBIDDEN
 
 
 def _gate(name: str, value: Column, op: str, limit: float | None, ok: Column) -> Column:
@@ -51,6 +55,20 @@ def promotion_gates(
     return metrics.select(*keep, F.explode(F.array(*gates)).alias("g")).select(*keep, "g.*")
 
 
+def promotion_evidence(calibration: DataFrame, drift: DataFrame, features: Sequence[str]) -> dict[str, bool]:
+    """The last three gates' questions answered by results, as arguments of :func:`promotion_gates`.
+
+    ``calibration`` has one row per method (``method, brier``; ``raw`` among them), ``drift`` the rows of a drift check.
+    """
+    brier = {r["method"]: r["brier"] for r in calibration.select("method", "brier").collect()}
+    raw = brier.pop("raw", float("inf"))
+    return {
+        "has_calibration": any(b < raw for b in brier.values()),
+        "has_drift": drift_summary(drift).first()["drift_detected"],
+        "has_leakage": bool(set(features) & set(FORBIDDEN)),
+    }
+
+
 def promotion_decision(gates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Approved only when every gate passes; the reason names those that did not."""
     failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate")))), "; ")

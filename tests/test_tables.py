@@ -245,3 +245,14 @@ def test_features_with_few_values_are_reported_as_skipped(spark):
     found = {(r.feature, r.metric): r for r in D.check_drift(base, base, ["a", "b"]).collect()}
     assert found["a", "psi"].severity == "none" and found["b", "ks"].severity == "skipped" and found["b", "psi"].value is None and len(found) == 4
     assert D.drift_summary(D.check_drift(base, base, ["a", "b"])).first().checks == 2
+
+
+def test_gates_take_their_evidence_from_results(spark):
+    from riskflow.operators import gates as G
+
+    better = spark.createDataFrame([("raw", 0.2), ("platt", 0.1), ("isotonic", 0.3)], "method string, brier double")
+    worse = spark.createDataFrame([("raw", 0.1), ("platt", 0.1)], "method string, brier double")
+    base = spark.createDataFrame([(float(i),) for i in range(100)], "a double")
+    moved = spark.createDataFrame([(float(i + 80),) for i in range(100)], "a double")
+    assert G.promotion_evidence(better, D.check_drift(base, base, ["a"]), ["log_amount"]) == {"has_calibration": True, "has_drift": False, "has_leakage": False}
+    assert G.promotion_evidence(worse, D.check_drift(base, moved, ["a"]), ["true_fraud_label"]) == {"has_calibration": False, "has_drift": True, "has_leakage": True}
