@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every word rule here: space, \t, \n, \v, \f, \r. ``bytes.split()`` splits on exactly these.
 SPACE = " \t\n\u000b\f\r"
@@ -27,6 +28,11 @@ def workers_find_package(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
 
 
+def sent_if_small(written: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table of few narrow rows as the broadcast side of a join; one of more than ``rows`` is left to a shuffle."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.prefix import running_totals
-from riskflow.llm.common import table
+from riskflow.llm.common import sent_if_small, table
 from riskflow.session import freeze
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,7 +54,7 @@ def _targets(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[
 
 def _queued(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Each row with the size of its source before it (``_op6_size_before``), and its source's figures."""
-    known = sized.join(targets.withColumnRenamed("_op6_source", "_op6_same"), F.col("_op6_source").eqNullSafe(F.col("_op6_same"))).drop("_op6_same")
+    known = sized.join(sent_if_small(targets).withColumnRenamed("_op6_source", "_op6_same"), F.col("_op6_source").eqNullSafe(F.col("_op6_same"))).drop("_op6_same")
     return running_totals(known, ["_op6_rank"], ["_op6_cell"], ["_op6_place", "_op6_id", "_op6_size"], ["_op6_size"])
 
 

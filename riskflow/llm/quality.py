@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import SPACE_BYTES, column, mix64, rows_out, slices, table
+from riskflow.llm.common import SPACE_BYTES, column, mix64, rows_out, sent_if_small, slices, table
 from riskflow.session import freeze
 
 SYMBOLS = b"#*$%&|<>"
@@ -249,11 +249,15 @@ def joined_scores(own: DataFrame, probabilities: DataFrame) -> DataFrame:
 
 
 def bands(found: DataFrame) -> DataFrame:
-    """``lang, middle, spread`` from the documents that pass the base rules: median and scaled median deviation."""
+    """``lang, middle, spread`` from the documents that pass the base rules: median and scaled median deviation.
+
+    Written, and as a side of a join sent to where the documents are: a language of most documents moves none of them.
+    """
     passed = found.where("not base_failed")
-    middle = passed.groupBy("lang").agg(F.percentile(F.round("logp", DIGITS), F.lit(0.5)).alias("middle"))
+    middle = freeze(passed.groupBy("lang").agg(F.percentile(F.round("logp", DIGITS), F.lit(0.5)).alias("middle")))
     away = F.round(F.abs(F.col("logp") - F.col("middle")), DIGITS)
-    return passed.join(middle, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), (F.lit(1.4826) * F.percentile(away, F.lit(0.5))).alias("spread"))
+    spread = passed.join(sent_if_small(middle), "lang").groupBy("lang").agg(F.first("middle").alias("middle"), (F.lit(1.4826) * F.percentile(away, F.lit(0.5))).alias("spread"))
+    return freeze(spread)
 
 
 def half_width(spread: Column, n_chars: Column) -> Column:
@@ -269,7 +273,7 @@ def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     missing language is a language of its own. Repeated rows are judged each. An empty table gives an empty result.
     """
     found = freeze(facts(docs, model or fit(docs)))
-    known = found.join(freeze(bands(found)), "lang", "left")
+    known = found.join(sent_if_small(bands(found)), "lang", "left")
     low, high = (F.exp(-(F.col("middle") + sign * half_width(F.col("spread"), F.col("n_chars")))) for sign in (1, -1))
     known = known.select("*", F.exp(-F.col("logp")).alias("perplexity"), low.alias("lower"), high.alias("upper"))
     kept = ~F.col("base_failed") & F.col("perplexity").between(F.col("lower"), F.col("upper"))
@@ -285,7 +289,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, with all columns."""
     model = fit(docs)
     found = freeze(facts(docs, model))
-    limits = freeze(bands(found))
+    limits = bands(found)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
     if model.arrays is None:
         good = judged(docs, model).where("kept").select(F.col("doc_id").alias("_op7_id")).distinct()
@@ -298,7 +302,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"failed": [base_failed(c[0], c[4]) for c in counts], "logp": [mean_logp(t, shared.value.get(x)) for t, x in zip(texts, langs)]})
 
     scored = docs.select("*", score(docs["text"], lang).alias("_op7"), lang.alias("_op7_lang"), F.char_length(docs["text"]).alias("_op7_chars"))
-    limits = limits.select(*[F.col(c).alias(f"_op7_{c}") for c in limits.columns])
-    limits = limits.withColumnRenamed("_op7_lang", "_op7_of")
+    limits = sent_if_small(limits).select(*[F.col(c).alias(f"_op7_{c}") for c in limits.columns]).withColumnRenamed("_op7_lang", "_op7_of")
     inside = F.abs(F.col("_op7.logp") - F.col("_op7_middle")) <= half_width(F.col("_op7_spread"), F.col("_op7_chars"))
     return scored.join(limits, F.col("_op7_lang") == F.col("_op7_of")).where(~F.col("_op7.failed") & inside).select(docs.columns)
