@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from riskflow.llm.common import table
 from riskflow.session import freeze
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: The longer line of a pair has at least so many words: one of them is then a fifth at most.
 MIN_WORDS = 5
 SEGMENTS = 4
@@ -24,38 +23,44 @@ BLOCK = 256
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, words``: each line of each text with its words in lower case."""
+    """``doc_id, line_no, norm``: each line of each text in lower case, one space between words, none at the ends."""
     parts = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
     cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
-    return cut.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.expr(rf"regexp_extract_all(lower(line), r'{WORD}', 0)").alias("words"))
-
-
-def _hash(tag: str, start: str, count: str) -> str:
-    return f"xxhash64('{tag}', array_join(slice(words, cast({start} + 1 as int), cast({count} as int)), ' '))"
+    low = cut.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lower("line").alias("low"))
+    # most lines are so already; looking for bytes is much cheaper than matching a pattern
+    found = F.col("low").startswith(" ") | F.col("low").endswith(" ") | F.contains("low", F.lit("  "))
+    for space in "\t\u000b\f\r":
+        found = found | F.contains("low", F.lit(space))
+    norm = F.when(found, F.trim(F.regexp_replace("low", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("low"))
+    return low.select("doc_id", "line_no", norm.alias("norm"))
 
 
 def _named(found: DataFrame) -> DataFrame:
-    """The number of words and two hashes that together name a line: of its quarters, two each."""
-    quarter = lambda q: _hash("a", f"(n * {q} div {SEGMENTS})", f"(n * {q + 1} div {SEGMENTS}) - (n * {q} div {SEGMENTS})")
-    own = found.withColumn("n", F.size("words"))
-    return own.withColumns({f"q{q}": F.expr(quarter(q)) for q in range(SEGMENTS)}).withColumns({"a": F.expr("xxhash64(q0, q1)"), "b": F.expr("xxhash64(q2, q3)")})
+    """The number of words and two hashes of them that together name a line."""
+    spaces = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit("")))
+    return found.withColumns({"n": F.when(F.col("norm") == "", 0).otherwise(spaces + 1), "a": F.xxhash64("norm"), "b": F.xxhash64(F.lit("b"), "norm")})
 
 
-def _coarse_keys() -> Column:
-    """Hashes of a line without one quarter, as itself and as the longer line of a pair: its last words then stand one place on.
+def _with_coarse_keys(found: DataFrame) -> DataFrame:
+    """``keys``: hashes of a line without one quarter, as itself and as the longer line of a pair: its last words then stand one place on.
 
-    A word that differs, or is one too many, lies in some quarter of the shorter line, and the rest is the same.
+    A word that differs, or is one too many, lies in some quarter of the shorter line, and the words before and after it are the same.
     """
-    m = "(n - 1)"
-    at = lambda q: f"({m} * {q} div {SEGMENTS})"
-    front = [_hash("a", at(q), f"{at(q + 1)} - {at(q)}") for q in range(SEGMENTS)]
-    back = [_hash("a", f"{at(q)} + 1", f"{at(q + 1)} - {at(q)}") for q in range(SEGMENTS)]
-    keys = []
-    for q in range(SEGMENTS):
-        keys.append(f"xxhash64(n, {q}, {', '.join(f'q{k}' for k in range(SEGMENTS) if k != q)})")
-    for q in range(SEGMENTS):
-        keys.append(f"xxhash64({m}, {q}, {', '.join((front if k < q else back)[k] for k in range(SEGMENTS) if k != q)})")
-    return F.expr(f"case when n < {MIN_WORDS - 1} then array() when n < {MIN_WORDS} then array({', '.join(keys[:SEGMENTS])}) else array({', '.join(keys)}) end")
+    at = lambda m, q: f"cast({m} * {q} div {SEGMENTS} as int)"
+    ranges = [(at("n", q), at("n", q + 1), 0) for q in range(SEGMENTS)]
+    ranges += [(at("(n - 1)", q), at("(n - 1)", q + 1), 0) for q in range(SEGMENTS - 1)]
+    ranges += [(at("(n - 1)", q), at("(n - 1)", q + 1), 1) for q in range(1, SEGMENTS)]
+    cuts = ", ".join(f"named_struct('s', {a} + {shift} + 1, 'c', {b} - {a})" for a, b, shift in ranges)
+    # one small function over the parts: written out, they would make a method too long to be compiled
+    hashed = found.withColumn("words", F.split("norm", " ", -1))
+    # the second use of the words keeps them a column of their own: put into the function, the line would be split for each part
+    hashed = hashed.withColumn("h", F.expr(f"case when size(words) >= {MIN_WORDS - 1} then transform(array({cuts}), r -> xxhash64(slice(words, r.s, r.c))) end"))
+    others = lambda q: [k for k in range(SEGMENTS) if k != q]
+    own, front, back = lambda k: f"h[{k}]", lambda k: f"h[{SEGMENTS + k}]", lambda k: f"h[{2 * SEGMENTS - 2 + k}]"
+    same = [f"xxhash64(n, {q}, {', '.join(own(k) for k in others(q))})" for q in range(SEGMENTS)]
+    longer = [f"xxhash64(n - 1, {q}, {', '.join(front(k) if k < q else back(k) for k in others(q))})" for q in range(SEGMENTS)]
+    keys = F.expr(f"case when n < {MIN_WORDS - 1} then array() when n < {MIN_WORDS} then array({', '.join(same)}) else array({', '.join(same + longer)}) end")
+    return hashed.select("n", "a", "b", "doc_id", "line_no", keys.alias("keys"))
 
 
 def _place() -> Column:
@@ -68,22 +73,23 @@ def _variants(suspected: DataFrame) -> DataFrame:
     A word's hash depends on its position, a line's is their exclusive or; leaving out word i moves the later ones down by one. Running
     totals over blocks give all variants of a line in little more than one pass.
     """
-    own = suspected.withColumn("e", F.expr("transform(words, (w, j) -> xxhash64(w, j) ^ xxhash64(w, j - 1))"))
-    own = own.withColumn("low", F.expr("transform(words, (w, j) -> xxhash64(w, j - 1))"))
+    own = suspected.withColumn("low", F.expr("transform(words, (w, j) -> xxhash64(w, j - 1))"))
+    own = own.withColumn("high", F.expr("transform(words, (w, j) -> xxhash64(w, j))"))
+    own = own.withColumn("e", F.expr("zip_with(high, low, (h, l) -> h ^ l)"))
     own = own.withColumn("blocks", F.expr(f"transform(sequence(0, (n - 1) div {BLOCK}), k -> slice(e, cast(k * {BLOCK} + 1 as int), {BLOCK}))"))
-    own = own.withColumn("sums", F.expr("transform(blocks, x -> aggregate(x, 0L, (s, v) -> s ^ v))"))
-    own = own.withColumn("offsets", F.expr("transform(sums, (v, k) -> aggregate(slice(sums, 1, k), 0L, (s, u) -> s ^ u))"))
-    own = own.withColumn("before", F.expr("flatten(zip_with(blocks, offsets, (x, o) -> transform(x, (v, j) -> aggregate(slice(x, 1, j), o, (s, u) -> s ^ u))))"))
+    # of each block the running totals up to each of its words; then the totals of the blocks before it
+    running = "aggregate({x}, array(0L), (s, v) -> concat(s, array(element_at(s, -1) ^ v)))"
+    own = own.withColumn("inner", F.expr(f"transform(blocks, x -> {running.format(x='x')})"))
+    own = own.withColumn("offsets", F.expr(running.format(x="transform(inner, x -> element_at(x, -1))")))
+    own = own.withColumn("before", F.expr("flatten(transform(inner, (x, k) -> transform(slice(x, 1, size(x) - 1), v -> v ^ offsets[k])))"))
     own = own.withColumn("all_low", F.expr("aggregate(low, 0L, (s, v) -> s ^ v)"))
-    without = "zip_with(before, low, (p, l) -> p ^ l ^ all_low)"
-    whole = F.expr("aggregate(transform(words, (w, j) -> xxhash64(w, j)), 0L, (s, v) -> s ^ v)")
-    own = own.select("uid", "place", "n", F.expr(without).alias("v"), whole.alias("whole"))
-    left_out = own.where(f"n >= {MIN_WORDS}").select("uid", "place", "n", F.posexplode("v").alias("i", "x"))
-    replaced = left_out.select(F.xxhash64(F.lit("r"), "n", "i", "x").alias("key"), F.lit("r").alias("role"), "uid", "place")
+    own = own.withColumn("v", F.expr("zip_with(before, low, (p, l) -> p ^ l ^ all_low)"))
+    replaced = "transform(v, (x, i) -> named_struct('key', xxhash64('r', n, i, x), 'role', 'r'))"
     # the same variant from neighbouring equal words is one
-    longer = left_out.select(F.xxhash64(F.lit("d"), F.col("n") - 1, "x").alias("key"), F.lit("t").alias("role"), "uid", "place").distinct()
-    shorter = own.select(F.xxhash64(F.lit("d"), "n", "whole").alias("key"), F.lit("s").alias("role"), "uid", "place")
-    return replaced.unionByName(longer).unionByName(shorter)
+    longer = "transform(array_distinct(v), x -> named_struct('key', xxhash64('d', n - 1, x), 'role', 't'))"
+    shorter = "array(named_struct('key', xxhash64('d', n, aggregate(high, 0L, (s, v) -> s ^ v)), 'role', 's'))"
+    made = F.expr(f"case when n < {MIN_WORDS} then {shorter} else concat({replaced}, {longer}, {shorter}) end")
+    return own.select("uid", "place", F.explode(made).alias("x")).select("x.key", "x.role", "uid", "place")
 
 
 def _within_one(x: str, y: str) -> Column:
@@ -102,8 +108,8 @@ def _earliest_partners(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     named = suspected.select("n", "a", "b", "uid", "place")
     if suspected.count() <= BROADCAST_LINES:
         named = F.broadcast(named)
-    texts = freeze(_named(lines(docs)).select("n", "a", "b", "words").join(named, ["n", "a", "b"]).groupBy("uid").agg(
-        F.first("place").alias("place"), F.first("n").alias("n"), F.first("words").alias("words")))
+    texts = freeze(_named(lines(docs)).select("n", "a", "b", "norm").join(named, ["n", "a", "b"]).groupBy("uid").agg(
+        F.first("place").alias("place"), F.first("n").alias("n"), F.split(F.first("norm"), " ", -1).alias("words")))
     members = freeze(_variants(texts))
     first = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.struct("place", "uid")))
     groups = members.groupBy("key").agg(first("r").alias("r"), first("t").alias("t"), first("s").alias("s"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
@@ -125,8 +131,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     a word stay. Null and empty texts are one line without a word. Rows that repeat an id stand at the same place: of equal
     lines at one place all stay. An empty table gives an empty result.
     """
-    own = _named(lines(docs)).where("n > 0").withColumn("place", _place())
-    own = own.groupBy("n", "a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first(_coarse_keys()).alias("keys"))
+    own = _with_coarse_keys(_named(lines(docs)).where("n > 0")).withColumn("place", _place())
+    own = own.groupBy("n", "a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = freeze(own.withColumn("uid", F.monotonically_increasing_id()))
     near = _earliest_partners(distinct, docs)
     known = distinct.select("uid", "n", "a", "b", "place", "times").join(near, "uid", "left").where("times > 1 or near is not null")
