@@ -32,10 +32,12 @@ CHAR_BITS = 15
 BROADCAST_NGRAMS = 8_000_000
 #: Documents with more symbols than this share of their words teach the model nothing; they are judged by it like all.
 MAX_SYMBOL_SHARE = 0.1
-#: Half the width of a language's band of mean log-probabilities, in standard deviations: the language's own robust one,
-#: and that of a mean over the document's characters when one character's is SCATTER.
-BAND = 20.0
-SCATTER = 0.8
+#: A band reaches so many robust deviations below and above the median of a language's documents of one length class.
+BAND = 5.0
+#: Length classes, by powers of two, of fewer different documents than this take the scatter of their language, and languages of fewer that of all.
+MIN_CLASS = 50
+#: Quartile distances of a normal distribution become standard deviations by this factor.
+QUARTILE = 1.4826
 #: Log-probabilities are rounded to so many digits where quantiles are taken, so that few values are held.
 DIGITS = 4
 
@@ -248,33 +250,56 @@ def joined_scores(own: DataFrame, probabilities: DataFrame) -> DataFrame:
     return grams.join(probabilities, ["lang", "gram"]).groupBy("key").agg((F.sum(F.col("times") * logp) / F.sum("times")).alias("mean"))
 
 
-def bands(found: DataFrame) -> DataFrame:
-    """``lang, middle, spread`` from the documents that pass the base rules: median and scaled median deviation.
+BAND_COLUMNS = ("middle", "below", "above", "below_char", "above_char")
 
-    Written, and as a side of a join sent to where the documents are: a language of most documents moves none of them.
-    """
-    passed = found.where("not base_failed")
-    middle = freeze(passed.groupBy("lang").agg(F.percentile(F.round("logp", DIGITS), F.lit(0.5)).alias("middle")))
-    away = F.round(F.abs(F.col("logp") - F.col("middle")), DIGITS)
-    spread = passed.join(sent_if_small(middle), "lang").groupBy("lang").agg(F.first("middle").alias("middle"), (F.lit(1.4826) * F.percentile(away, F.lit(0.5))).alias("spread"))
-    return freeze(spread)
+
+def length_class(n_chars: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n_chars, F.lit(1)))).cast("int")
 
 
-def half_width(spread: Column, n_chars: Column) -> Column:
-    return F.lit(BAND) * F.sqrt(spread * spread + F.lit(SCATTER**2) / F.greatest(n_chars, F.lit(1)))
+def bands(found: DataFrame) -> DataFrame:
+    """``lang, size, middle, below, above, below_char, above_char`` for each language and length class of ``found``.
+
+    Taken from the documents that pass the base rules, those of equal length and score (copies) once: the median, and the distances of the
+    quartiles from it as robust deviations. Classes of few documents have their language's median and its scatter of one
+    character's log-probability, which falls with the root of the length. Written, and as a side of a join sent to where the documents are.
+    """
+    known = found.select("lang", length_class(F.col("n_chars")).alias("size"), "n_chars", "base_failed", F.round("logp", 9).alias("logp"))
+    passed = freeze(known.where("not base_failed").distinct())
+    quartiles = F.percentile(F.round("logp", DIGITS), F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    of_lang = freeze(passed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), quartiles[1].alias("middle")))
+    away = passed.join(sent_if_small(of_lang), "lang").select("lang", "n", "middle", F.round((F.col("logp") - F.col("middle")) * F.sqrt("n_chars"), 2).alias("away"))
+    away = freeze(away)
+    ends = F.percentile("away", F.array(F.lit(0.25), F.lit(0.75))).alias("ends")
+    of_all = away.agg(ends).first()["ends"] or [0.0, 0.0]
+    scatter = away.groupBy("lang").agg(F.first("middle").alias("l_middle"), F.when(F.first("n") >= MIN_CLASS, ends).otherwise(F.array(*map(F.lit, of_all))).alias("l"))
+    of_class = passed.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), quartiles.alias("q"))
+    own = F.coalesce(F.col("n") >= MIN_CLASS, F.lit(False))
+    spread = lambda enough, x: F.when(enough, F.lit(QUARTILE) * F.greatest(x, F.lit(0.0))).otherwise(0.0)
+    found = known.select("lang", "size").distinct().join(scatter, "lang", "left").join(of_class, ["lang", "size"], "left")
+    return freeze(found.select(
+        "lang", "size", F.when(own, F.col("q")[1]).otherwise(F.col("l_middle")).alias("middle"),
+        spread(own, F.col("q")[1] - F.col("q")[0]).alias("below"), spread(own, F.col("q")[2] - F.col("q")[1]).alias("above"),
+        spread(~own, -F.col("l")[0]).alias("below_char"), spread(~own, F.col("l")[1]).alias("above_char")))
+
+
+def limits(middle: Column, below: Column, above: Column, below_char: Column, above_char: Column, n_chars: Column) -> tuple[Column, Column]:
+    """The lowest and the highest perplexity of a band for a text of so many characters."""
+    reach = lambda spread, char: BAND * F.greatest(spread + char / F.sqrt(F.greatest(n_chars, F.lit(1))), F.lit(10.0**-DIGITS))
+    return F.exp(-(middle + reach(above, above_char))), F.exp(-(middle - reach(below, below_char)))
 
 
 def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The verdict on every row of ``docs`` (``doc_id``, ``text``, ``lang``; other columns are ignored).
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, perplexity,
-    lower, upper``. A document is kept if it passes the base rules and its perplexity lies in its language's band,
-    which is the wider the shorter the text. Null and empty texts have no words, so they fail; their perplexity is 1. A
+    lower, upper``. A document is kept if it passes the base rules and its perplexity lies in the band of its language
+    and length class. Null and empty texts have no words, so they fail; their perplexity is 1. A
     missing language is a language of its own. Repeated rows are judged each. An empty table gives an empty result.
     """
     found = freeze(facts(docs, model or fit(docs)))
-    known = found.join(sent_if_small(bands(found)), "lang", "left")
-    low, high = (F.exp(-(F.col("middle") + sign * half_width(F.col("spread"), F.col("n_chars")))) for sign in (1, -1))
+    known = found.withColumn("size", length_class(F.col("n_chars"))).join(sent_if_small(bands(found)), ["lang", "size"], "left")
+    low, high = limits(*[F.col(c) for c in (*BAND_COLUMNS, "n_chars")])
     known = known.select("*", F.exp(-F.col("logp")).alias("perplexity"), low.alias("lower"), high.alias("upper"))
     kept = ~F.col("base_failed") & F.col("perplexity").between(F.col("lower"), F.col("upper"))
     return known.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"),
@@ -289,7 +314,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, with all columns."""
     model = fit(docs)
     found = freeze(facts(docs, model))
-    limits = bands(found)
+    known = bands(found)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
     if model.arrays is None:
         good = judged(docs, model).where("kept").select(F.col("doc_id").alias("_op7_id")).distinct()
@@ -302,6 +327,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"failed": [base_failed(c[0], c[4]) for c in counts], "logp": [mean_logp(t, shared.value.get(x)) for t, x in zip(texts, langs)]})
 
     scored = docs.select("*", score(docs["text"], lang).alias("_op7"), lang.alias("_op7_lang"), F.char_length(docs["text"]).alias("_op7_chars"))
-    limits = sent_if_small(limits).select(*[F.col(c).alias(f"_op7_{c}") for c in limits.columns]).withColumnRenamed("_op7_lang", "_op7_of")
-    inside = F.abs(F.col("_op7.logp") - F.col("_op7_middle")) <= half_width(F.col("_op7_spread"), F.col("_op7_chars"))
-    return scored.join(limits, F.col("_op7_lang") == F.col("_op7_of")).where(~F.col("_op7.failed") & inside).select(docs.columns)
+    known = sent_if_small(known).select(*[F.col(c).alias(f"_op7_{c}") for c in known.columns]).withColumnRenamed("_op7_lang", "_op7_of")
+    low, high = limits(*[F.col(f"_op7_{c}") for c in (*BAND_COLUMNS, "chars")])
+    here = (F.col("_op7_lang") == F.col("_op7_of")) & (length_class(F.col("_op7_chars")) == F.col("_op7_size"))
+    return scored.join(known, here).where(~F.col("_op7.failed") & F.exp(-F.col("_op7.logp")).between(low, high)).select(docs.columns)

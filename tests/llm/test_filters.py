@@ -104,6 +104,35 @@ def test_strange_text_is_rejected_and_plain_text_kept(docs_of):
     kept = {r.doc_id: r.kept for r in quality.judged(docs_of(plain + strange)).collect()}
     assert all(kept[i] for i, _ in plain) and not any(kept[i] for i, _ in strange)
 
+def test_both_limits_of_a_band_reject(docs_of):
+    rnd = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 8))) for _ in range(600)]
+    common = words[:12]
+
+    def text(n, some):
+        t = " ".join(rnd.choice(some) for _ in range(n))
+        return t[:n]
+
+    def garbled(t):
+        c, at = list(t), rnd.sample(range(len(t)), len(t) // 5)
+        for i, x in zip(at, rnd.sample([c[i] for i in at], len(at))):
+            c[i] = x
+        return "".join(c)
+
+    sizes = [100, 300, 1000]
+    # most words of a usual text are rare ones, a few are common in all
+    usual = lambda n: text(n, words + common * 20)
+    clean = [(i, usual(n)) for n in sizes for i in range(n * 1000, n * 1000 + 120)]
+    low = [(10_000_000 + n * 10 + i, text(n, common)) for n in sizes[1:] for i in range(3)]
+    mixed = [(20_000_000 + n * 10 + i, garbled(usual(n))) for n in sizes for i in range(3)]
+    rows = {r.doc_id: r for r in quality.judged(docs_of(clean + low + mixed)).collect()}
+    assert not any(rows[i].base_failed for i, _ in low + mixed)
+    assert [i for i, _ in low + mixed if rows[i].kept] == []
+    assert all(rows[i].perplexity < rows[i].lower for i, _ in low) and all(rows[i].perplexity > rows[i].upper for i, _ in mixed)
+    assert [i for i, _ in clean if not rows[i].kept and not rows[i].base_failed] == []
+    assert all(rows[i].lower > 1 for i, _ in clean)
+
 
 def labelled(docs_of, spark):
     rnd = random.Random(11)
