@@ -30,8 +30,6 @@ ORDER = 4
 CHAR_BITS = 15
 #: A model of at most so many n-grams (12 bytes each) is broadcast; a larger one is joined. Both give the same scores.
 BROADCAST_NGRAMS = 8_000_000
-#: Documents with more symbols than this share of their words teach the model nothing; they are judged by it like all.
-MAX_SYMBOL_SHARE = 0.1
 #: A band reaches so many robust deviations below and above the median of a language's documents of one length class.
 BAND = 5.0
 #: Length classes, by powers of two, of fewer different documents than this take the scatter of their language, and languages of fewer that of all.
@@ -86,15 +84,15 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 def teaches(text: str | None) -> bool:
-    data = (text or "").encode()
-    return len(data) - len(data.translate(None, SYMBOLS)) <= MAX_SYMBOL_SHARE * len(data.split())
+    """Whether a document counts in the model: every one that holds an n-gram does."""
+    return bool(text)
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("docs", pa.int64())])
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """``lang, gram, docs``: every n-gram of a language, and in how many of the documents that teach it occurs."""
+    """``lang, gram, docs``: every n-gram of a language, and in how many documents it occurs."""
 
     def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         grams, times = (np.concatenate(x) for x in zip(*parts))
@@ -111,13 +109,12 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in slices(batches):
-            here: dict[tuple[str, bool], list] = {}
+            here: dict[str, list] = {}
             for text, lang in zip(column(batch, "text"), column(batch, "lang")):
-                here.setdefault((lang, teaches(text)), []).append(np.unique(ngrams(text)))
-            for (lang, counts), parts in here.items():
-                grams, times = np.unique(np.concatenate(parts), return_counts=True)
-                if len(grams):
-                    held.setdefault(lang, []).append((grams, times if counts else np.zeros_like(times)))
+                if teaches(text):
+                    here.setdefault(lang, []).append(np.unique(ngrams(text)))
+            for lang, parts in here.items():
+                held.setdefault(lang, []).append(np.unique(np.concatenate(parts), return_counts=True))
                 if sum(len(g) for g, _ in held.get(lang, [])) > 4_000_000:
                     held[lang] = [merge(held[lang])]
                     if len(held[lang][0][0]) > 2_000_000:

@@ -134,6 +134,17 @@ def test_both_limits_of_a_band_reject(docs_of):
     assert all(rows[i].lower > 1 for i, _ in clean)
 
 
+def test_symbols_count_like_other_characters(docs_of):
+    rnd = random.Random(17)
+    words = "the of and to in that with from river stone winter garden letter morning silver window".split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(120))) for i in range(60)]
+    rows += [(1000 + i, "\n".join("| " + " | ".join(rnd.choice(words) for _ in range(4)) + " |" for _ in range(30))) for i in range(20)]
+    counted = {r.gram: r.docs for r in quality.document_counts(docs_of(rows)).collect()}
+    assert counted == Counter(int(g) for _, t in rows for g in np.unique(quality.ngrams(t)))
+    found, other = ({r.doc_id: (r.kept, round(r.perplexity, 6)) for r in quality.judged(docs_of(x)).collect()} for x in (rows, [(i, t.replace("|", "/")) for i, t in rows]))
+    assert found == other
+
+
 def labelled(docs_of, spark):
     rnd = random.Random(11)
     words = "river stone winter garden letter morning silver window table paper".split()
