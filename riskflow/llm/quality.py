@@ -197,29 +197,28 @@ def mean_logp(text: str | None, arrays: tuple[np.ndarray, np.ndarray] | None) ->
 
 
 FACTS = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")],
-                   ("base_failed", pa.bool_()), ("lang", pa.string()), ("logp", pa.float64())])
-FACTS_DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, base_failed boolean, lang string, logp double"
+                   ("base_failed", pa.bool_()), ("lang", pa.string()), ("key", pa.int64()), ("logp", pa.float64())])
+FACTS_DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, base_failed boolean, lang string, key long, logp double"
 
 
 def facts(docs: DataFrame, model: Model) -> DataFrame:
-    """One row a document: base counts, language, and mean log-probability a character."""
+    """One row a document: base counts, language, key (of text and language), and mean log-probability a character."""
     shared = model.arrays
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for doc_id, text, lang in zip(*(column(batch, c) for c in ("doc_id", "text", "lang"))):
+            for doc_id, text, lang, key in zip(*(column(batch, c) for c in ("doc_id", "text", "lang", "key"))):
                 counts = base_counts(text)
                 logp = mean_logp(text, shared.value.get(lang)) if shared else None
-                out.append((doc_id, *counts, len(text or ""), base_failed(counts[0], counts[4]), lang, logp))
+                out.append((doc_id, *counts, len(text or ""), base_failed(counts[0], counts[4]), lang, key, logp))
             yield rows_out(FACTS, zip(*out) if out else [[]] * len(FACTS))
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang")).withColumn("key", F.xxhash64("text", "lang"))
     if shared:
         return own.mapInArrow(work, FACTS_DDL)
     scores = joined_scores(own, model.table)
-    keyed = own.withColumn("key", F.xxhash64("text", "lang")).join(scores, "key", "left")
-    known = keyed.select("doc_id", "text", "lang", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    known = own.join(scores, "key", "left").select("doc_id", "text", "lang", "key", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
     def with_mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -240,7 +239,7 @@ def joined_scores(own: DataFrame, probabilities: DataFrame) -> DataFrame:
                 if len(grams):
                     yield rows_out(schema, [[key] * len(grams), [lang] * len(grams), grams, times])
 
-    keyed = own.withColumn("key", F.xxhash64("text", "lang")).dropDuplicates(["key"])
+    keyed = own.dropDuplicates(["key"])
     grams = keyed.select("key", "text", "lang").mapInArrow(work, "key long, lang string, gram long, times long")
     # as in the arrays, one log-probability has 32 bits
     logp = F.col("logp").cast("float").cast("double")
@@ -294,28 +293,32 @@ def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     and length class. Null and empty texts have no words, so they fail; their perplexity is 1. A
     missing language is a language of its own. Repeated rows are judged each. An empty table gives an empty result.
     """
-    found = freeze(facts(docs, model or fit(docs)))
+    return verdicts(freeze(facts(docs, model or fit(docs)))).drop("key")
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """The columns of ``judged``, and ``key``, from the written ``facts``."""
     known = found.withColumn("size", length_class(F.col("n_chars"))).join(sent_if_small(bands(found)), ["lang", "size"], "left")
     low, high = limits(*[F.col(c) for c in (*BAND_COLUMNS, "n_chars")])
     known = known.select("*", F.exp(-F.col("logp")).alias("perplexity"), low.alias("lower"), high.alias("upper"))
     kept = ~F.col("base_failed") & F.col("perplexity").between(F.col("lower"), F.col("upper"))
     return known.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"),
-                        "lang", "perplexity", "lower", "upper")
+                        "lang", "key", "perplexity", "lower", "upper")
 
 
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, with all columns."""
-    model = fit(docs)
+    model = model or fit(docs)
     found = freeze(facts(docs, model))
-    known = bands(found)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
     if model.arrays is None:
-        good = judged(docs, model).where("kept").select(F.col("doc_id").alias("_op7_id")).distinct()
-        return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_op7_id")), "left_semi")
+        # a verdict follows from text and language, whatever ids rows share
+        good = verdicts(found).where("kept").select(F.col("key").alias("_op7_key")).distinct()
+        return docs.join(good, F.xxhash64(docs["text"], lang) == F.col("_op7_key"), "left_semi")
     shared = model.arrays
 
     @F.pandas_udf("struct<failed: boolean, logp: double>")
@@ -324,6 +327,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"failed": [base_failed(c[0], c[4]) for c in counts], "logp": [mean_logp(t, shared.value.get(x)) for t, x in zip(texts, langs)]})
 
     scored = docs.select("*", score(docs["text"], lang).alias("_op7"), lang.alias("_op7_lang"), F.char_length(docs["text"]).alias("_op7_chars"))
+    known = bands(found)
     known = sent_if_small(known).select(*[F.col(c).alias(f"_op7_{c}") for c in known.columns]).withColumnRenamed("_op7_lang", "_op7_of")
     low, high = limits(*[F.col(f"_op7_{c}") for c in (*BAND_COLUMNS, "chars")])
     here = (F.col("_op7_lang") == F.col("_op7_of")) & (length_class(F.col("_op7_chars")) == F.col("_op7_size"))

@@ -145,6 +145,20 @@ def test_symbols_count_like_other_characters(docs_of):
     assert found == other
 
 
+def test_stage_decides_per_row_with_and_without_arrays(docs_of, awkward, rows_of):
+    rnd = random.Random(19)
+    words = "the of and to in that with from river stone winter garden letter morning silver window".split()
+    rows = awkward + [(i if i % 3 else None, " ".join(rnd.choice(words) for _ in range(60))) for i in range(100, 160)]
+    rows += [(None, "too short"), (101, "too short"), (101, None), (102, " ".join("qxzjvkw0123"[rnd.randrange(8) :] + "QXZ"[rnd.randrange(3) :] for _ in range(60)))]
+    df = docs_of(rows)
+    model = quality.fit(df)
+    joined = quality.Model(model.table, None)
+    kept = rows_of(quality.keep_good(df, model))
+    assert kept == rows_of(quality.keep_good(df, joined))
+    assert len(kept) == quality.judged(df, joined).where("kept").count()
+    assert "too short" not in [r[1] for r in kept] and None in [r[0] for r in kept]
+
+
 def labelled(docs_of, spark):
     rnd = random.Random(11)
     words = "river stone winter garden letter morning silver window table paper".split()
