@@ -193,37 +193,53 @@ def blocks(node: Node, templates, half: float, inside: bool = False) -> list[str
     return out
 
 
-def article(root: Node, templates=frozenset()) -> str:
-    """The article of a page: its largest article element, else main, else what is named content or holds the paragraphs."""
+def parts(root: Node, templates=frozenset()) -> list[list[str]]:
+    """The blocks of each content element of a page, in page order.
+
+    These are the outermost articles, mains and elements named as content; without any, the smallest element around all paragraphs.
+    """
     half = root.size / 2
-    articles, mains, named, scores = [], [], [], {}
-    todo: list[tuple[Node, Node | None, Node | None]] = [(root, None, None)]
+    found, above, holders = [], {}, []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     body = root
     while todo:
-        n, parent, grand = todo.pop()
+        n, parent = todo.pop()
+        above[id(n)] = parent
         if n.tag == "body":
             body = n
-        if n.tag == "article":
-            articles.append(n)
+        names, attrs = _names(n.attrs) if n.attrs else ("", {})
+        if n.tag in ("article", "main") or attrs.get("role") == "main":
+            found.append((n, True))
+            continue
+        if n.tag in ("div", "section", "td") and is_content(n.attrs):
+            # around an article, the header of such an element is the page's
+            found.append((n, not n.main))
             continue
-        names, found = _names(n.attrs) if n.attrs else ("", {})
-        if n.tag == "main" or found.get("role") == "main":
-            mains.append(n)
-        elif n.tag in ("div", "section", "td") and is_content(n.attrs):
-            named.append(n)
-        if n.tag == "p" and parent is not None:
-            size = sum(len(x) for x in n.items if type(x) is str)
-            scores[id(parent)] = (scores.get(id(parent), (0,))[0] + size, parent)
-            if grand is not None:
-                scores[id(grand)] = (scores.get(id(grand), (0,))[0] + size / 2, grand)
-        todo += [(x, n, parent) for x in n.items if type(x) is Node and not dropped(x, False, half) and not (x.hash in templates and not x.main and x.tag not in ("html", "body"))]
-    for group in (articles, mains, named):
-        texts = [blocks(n, templates, half, True) for n in group]
-        best = max(texts, key=lambda t: sum(map(len, t)), default=[])
-        if best:
-            return "\n".join(best)
-    top = max(scores.values(), key=lambda s: s[0], default=(0, body))[1]
-    return "\n".join(blocks(top, templates, half) or blocks(body, templates, half))
+        if n.tag == "p" and parent is not None and n.size:
+            holders.append(parent)
+        below = [x for x in n.items if type(x) is Node and not dropped(x, False, half) and not (x.hash in templates and not x.main and x.tag not in ("html", "body"))]
+        todo += [(x, n) for x in reversed(below)]
+    texts = [t for n, inside in found if (t := blocks(n, templates, half, inside))]
+    if texts:
+        return texts
+    # the path to the first holder, cut where those of the others leave it; each element is walked once
+    path, n = [], holders[0] if holders else body
+    while n is not None:
+        path.append(n)
+        n = above[id(n)]
+    at, cut, walked = {id(x): i for i, x in enumerate(path)}, 0, set()
+    for n in holders:
+        while id(n) not in at and id(n) not in walked:
+            walked.add(id(n))
+            n = above[id(n)]
+        cut = max(cut, at.get(id(n), 0))
+    top = path[cut]
+    return [blocks(top, templates, half) or blocks(body, templates, half)]
+
+
+def article(root: Node, templates=frozenset()) -> str:
+    """The article of a page: all its content elements in page order."""
+    return "\n".join(x for part in parts(root, templates) for x in part)
 
 
 def host_of(url: str | None) -> str:
@@ -247,7 +263,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for url, html in zip(column(batch, "url"), column(batch, "html")):
                 host, root = host_of(url), parse(html or "")
                 settle(root)
-                page = xxhash.xxh64_intdigest(article(root).encode("utf-8", "surrogatepass")) - (1 << 63)
+                longest = "\n".join(max(parts(root), key=lambda t: sum(map(len, t))))
+                page = xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) - (1 << 63)
                 out.add((host, 0, page))
                 todo = [root]
                 while todo:

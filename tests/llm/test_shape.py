@@ -163,3 +163,16 @@ def test_pipeline_stages(spark, docs_of, awkward):
         assert stage(spark, df, "").columns == df.columns, name
         assert stage(spark, docs_of([]), "").count() == 0, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "source_mixing", "sequence_packing"]
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<body><article><p>First part.</p></article><article><p>The second and longer part.</p></article></body>", "First part.\nThe second and longer part."),
+    ("<body><main><h1>Heading</h1><p>Lead.</p><article><p>The text itself.</p></article></main><footer>x</footer></body>", "Heading\nLead.\nThe text itself."),
+    ("<body><article><p>Teaser.</p></article><main><p>The long text of this page.</p></main></body>", "Teaser.\nThe long text of this page."),
+    ("<body><div class='content'><p>One.</p></div><nav>n</nav><div class='content'><p>Two, longer.</p></div></body>", "One.\nTwo, longer."),
+    ("<body><nav>n</nav><div><div><p>Short.</p></div><div><p>A longer paragraph.</p></div></div><footer>x</footer></body>", "Short.\nA longer paragraph."),
+])
+def test_all_content_elements_of_a_page_are_kept(source, text):
+    root = html.parse(source)
+    html.settle(root)
+    assert html.article(root) == text
