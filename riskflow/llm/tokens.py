@@ -36,7 +36,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         (self.feed,) = self._ids("\n")
         self._forget()
 

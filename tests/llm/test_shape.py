@@ -176,3 +176,13 @@ def test_all_content_elements_of_a_page_are_kept(source, text):
     root = html.parse(source)
     html.settle(root)
     assert html.article(root) == text
+
+
+def test_special_tokens_in_texts_as_the_plain_call_has_them():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  <|endoftext|>  b", "a\n<|endoftext|>\nb <|endoftext|>c", "<|endoftext|><|endoftext|> d", "a <|endoftext|>\n\nb", " <|endoftext|> "]
+    got = [x.tolist() for x in encoder(packing.tokenizer_path()).encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(50256 in ids for ids in got)
