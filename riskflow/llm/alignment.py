@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import column, mix64, rows_out, slices, table
+from riskflow.llm.common import column, mix64, rows_out, slices, table, written
 from riskflow.session import freeze
 
+#: Documents that are aligned at once.
+ROWS = 128
 #: Bytes that one worker remembers of pieces of text already aligned; beyond them it starts anew.
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 160 << 20
 #: Pairs that a task gathers before it passes them on.
 HELD_PAIRS = 1 << 20
 #: Keys of a shard of the hash, on average; slots a key on a level; keys whose hash, keys and counts are sent to every worker at once
@@ -32,7 +34,8 @@ ROUND_KEYS = 1 << 22
 CHUNK = 1 << 16
 FAN = 32
 
-A_BITS = 32
+#: Ids of both tokenizers fit so many bits; a document's number in its batch stands above a pair.
+A_BITS = 24
 #: Marks pieces that show that their text must be cut with more care.
 UNCUT = -2
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
@@ -45,20 +48,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def align(a: list[int], b: list[int], a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[int, str, np.ndarray]:
-    """Number of groups, the groups as text, and the linked pairs (``a << 32 | b``), an occurrence each, of tokens over the same bytes."""
-    a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    a_ends, b_ends = np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids])
-    bounds = np.intersect1d(a_ends, b_ends)
-    a_at, b_at = (np.searchsorted(e, bounds, side="right").tolist() for e in (a_ends, b_ends))
-    said, x, y = [], 0, 0
-    for u, v in zip(a_at, b_at):
-        said.append(f"{','.join(map(str, a[x:u]))}|{','.join(map(str, b[y:v]))}")
-        x, y = u, v
-    first = np.searchsorted(b_ends, a_ends - a_sizes[a_ids], side="right")
-    times = np.searchsorted(b_ends - b_sizes[b_ids], a_ends, side="left") - first
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in a, in b) of all pairs of tokens whose byte ranges overlap; both cover the same bytes without a gap."""
+    first = np.searchsorted(b_ends, np.concatenate([[0], a_ends[:-1]]), side="right")
+    times = np.searchsorted(b_ends, a_ends, side="left") + 1 - first
     nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    return len(said), ";".join(said), (np.repeat(a_ids, times) << A_BITS) | b_ids[np.repeat(first, times) + nth]
+    return np.repeat(np.arange(len(a_ends)), times), np.repeat(first, times) + nth
 
 
 class Pieces(dict):
@@ -97,6 +92,8 @@ class Aligner:
         self.lone = self.b.piece_to_id("▁")
         self.cuts = not any("\n" in x or re.search("[^▁]▁", x) for i, x in enumerate(names) if not self.b.is_byte(i))
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.a_bytes, self.b_bytes))
+        (self.feed,) = self.a.encode("\n", add_special_tokens=False).ids
+        self.say = False
         self._forget()
 
     def _forget(self) -> None:
@@ -106,40 +103,81 @@ class Aligner:
         self.groups: list[str] = []
         self.pairs = np.zeros(1 << 14, np.int64)
 
-    def _keep(self, slot: int, n_a: int, n_b: int, n_groups: int, groups: str, pairs: np.ndarray, size: int) -> None:
-        while self.used + len(pairs) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-        self.pairs[self.used : self.used + len(pairs)] = pairs
-        self.facts[slot] = n_a, n_b, n_groups, len(pairs), self.used
-        self.groups[slot] = groups
-        self.used += len(pairs)
-        self.held += 400 + 4 * size + 2 * len(groups) + 16 * len(pairs)
+    def _ids_a(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece. Pieces that hold no line feed but their first character go many at a time, a line feed before each, which is a token of its own."""
+        out = []
+        for at in range(0, len(pieces), 64):
+            some = pieces[at : at + 64]
+            joined = "".join([p if p[:1] == "\n" else f"\n{p}" for p in some])
+            if joined.count("\n") == len(some) and self.cuts:
+                ids = np.array(self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
+                own = np.split(ids, np.flatnonzero(ids == self.feed)[1:])
+                if len(own) == len(some):
+                    out += [x if p[:1] == "\n" else x[1:] for p, x in zip(some, own)]
+                    continue
+            alone = self.a.encode_batch_fast(some, add_special_tokens=False)
+            out += [np.array(x.ids, dtype=np.int64) for x in alone]
+        return out
 
     def _learn(self) -> None:
         while self.slots > len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         self.groups += [""] * (self.slots - len(self.groups))
-        new = self.others.new
+        plain, others = [], self.others.new
         for slot, piece in self.words.new:
-            bare = piece[1:] if piece[:1] == "\n" else piece
+            led = piece[:1] == "\n"
+            bare = piece[1:] if led else piece
             if not bare or bare[0].isspace() or bare[-1].isspace():
                 self.facts[slot, 0] = UNCUT  # white space beside the space: not a place to cut
+            elif bare.isprintable():
+                plain.append((slot, piece if led else f" {piece}"))
             else:
-                new.append((slot, piece if piece[:1] == "\n" else f" {piece}"))
+                others.append((slot, piece if led else f" {piece}"))
         self.words.new, self.others.new = [], []
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            own_a = [x.ids for x in self.a.encode_batch_fast([p for _, p in some], add_special_tokens=False)]
-            own_b = self.b.encode([p[1:] if p[:1] == " " else p for _, p in some], num_threads=1)
-            for (slot, piece), a, b in zip(some, own_a, own_b):
-                data = piece.encode()
-                b = b if piece[:1] == " " else b[1:] if b[:1] == [self.lone] else []
-                same = all(b"".join([own[i] for i in ids]) == data for own, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-                if same:
-                    n_groups, groups, pairs = align(a, b, self.a_sizes, self.b_sizes)
-                    self._keep(slot, len(a), len(b), n_groups, groups, pairs, len(data))
-                else:
-                    self._keep(slot, -1, -1, 0, "", np.zeros(0, np.int64), len(data))
+        for new, ids_of in ((plain, self._ids_a), (others, lambda some: [np.array(x.ids, dtype=np.int64) for x in self.a.encode_batch_fast(some, add_special_tokens=False)])):
+            for at in range(0, len(new), 4096):
+                self._align(*zip(*new[at : at + 4096]), ids_of)
+
+    def _align(self, slots: tuple[int, ...], pieces: tuple[str, ...], ids_of) -> None:
+        own_a = ids_of(list(pieces))
+        own_b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        own_b = [b if p[0] == " " else b[1:] if b[0] == self.lone else [] for p, b in zip(pieces, own_b)]
+        data = [p.encode() for p in pieces]
+        a_all, b_all = np.concatenate(own_a), np.concatenate([np.array(b, dtype=np.int64) for b in own_b])
+        if not self._spells(a_all, b_all, data):
+            good = [self._spells(a, np.array(b, dtype=np.int64), [d]) for a, b, d in zip(own_a, own_b, data)]
+            self.facts[[s for s, ok in zip(slots, good) if not ok], 0] = -1
+            slots, own_a, own_b, data = ([x for x, ok in zip(own, good) if ok] for own in (slots, own_a, own_b, data))
+            if not slots:
+                return
+            a_all, b_all = np.concatenate(own_a), np.concatenate([np.array(b, dtype=np.int64) for b in own_b])
+        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all]), np.cumsum([len(d) for d in data])
+        i, j = overlaps(a_ends, b_ends)
+        a_bound = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends
+        per = lambda own: np.diff(np.searchsorted(own, ends, side="right"), prepend=0)
+        n_pairs, n_groups = per(a_ends[i]), per(a_ends[a_bound])
+        while self.used + len(i) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[self.used : self.used + len(i)] = (a_all[i] << A_BITS) | b_all[j]
+        self.facts[list(slots)] = np.stack([per(a_ends), per(b_ends), n_groups, n_pairs, self.used + np.cumsum(n_pairs) - n_pairs], axis=1)
+        self.used += len(i)
+        self.held += 250 * len(slots) + sum(map(len, data)) + 16 * len(i)
+        if self.say:
+            a_text, b_text = list(map(str, a_all.tolist())), list(map(str, b_all.tolist()))
+            a_at, b_at = (np.flatnonzero(x) + 1 for x in (a_bound, a_ends[np.searchsorted(a_ends, b_ends)] == b_ends))
+            said, x, y = [], 0, 0
+            for u, v in zip(a_at.tolist(), b_at.tolist()):
+                said.append(f"{a_text[x] if u == x + 1 else ','.join(a_text[x:u])}|{b_text[y] if v == y + 1 else ','.join(b_text[y:v])}")
+                x, y = u, v
+            x = 0
+            for slot, n in zip(slots, n_groups.tolist()):
+                self.groups[slot] = ";".join(said[x : x + n])
+                x += n
+            self.held += 12 * (len(a_all) + len(b_all))
+
+    def _spells(self, a: np.ndarray, b: np.ndarray, data: list[bytes]) -> bool:
+        whole = b"".join(data)
+        return all(b"".join(map(own.__getitem__, ids.tolist())) == whole for own, ids in ((self.a_bytes, a), (self.b_bytes, b)))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The slots of each text's pieces; none where the text has no tokens."""
@@ -165,10 +203,15 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def aligner(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str, say: bool = False) -> Aligner:
+    """This worker's aligner; ``say``: with the groups' text."""
     if (path_a, path_b) not in _aligners:
         _aligners[path_a, path_b] = Aligner(path_a, path_b)
-    return _aligners[path_a, path_b]
+    own = _aligners[path_a, path_b]
+    if own.say != say:
+        own._forget()
+        own.say = say
+    return own
 
 
 class PerfectHash:
@@ -232,29 +275,38 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return spread(keys) % shards
 
 
-def distinct_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def linked_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``pairs``: the different linked pairs of each document that has tokens; written to the shared folder."""
+    schema = pa.schema([("pairs", pa.list_(pa.int64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = aligner(path_a, path_b)
+        for batch in slices(batches, ROWS):
+            found = [np.unique(s) for s in own(column(batch, "text"))]
+            pairs, per_slot = own.pairs_of(np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            doc = np.repeat(np.repeat(np.arange(len(found)), [len(s) for s in found]), per_slot)
+            once = np.unique((doc << 2 * A_BITS) | pairs)
+            cuts = np.searchsorted(once >> 2 * A_BITS, np.unique(doc))
+            arrays = pa.ListArray.from_arrays(pa.array([*cuts, len(once)], type=pa.int32()), pa.array(once & ((1 << 2 * A_BITS) - 1)))
+            yield pa.RecordBatch.from_arrays([arrays], schema=schema)
+
+    return written(docs.select("text").mapInArrow(work, "pairs array<long>"))
+
+
+def distinct_pairs(linked: DataFrame) -> DataFrame:
     """``pair, place``: every linked pair of the corpus once, and its hash; written."""
     schema = pa.schema([("pair", pa.int64()), ("place", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in slices(batches, 128):
-            found = own(column(batch, "text"))
-            fresh = np.unique(own.pairs_of(np.unique(np.concatenate(found)))[0]) if found else np.zeros(0, np.int64)
-            held, size = [*held, fresh], size + len(fresh)
-            if size > HELD_PAIRS:
-                held = [np.unique(np.concatenate(held))]
-                size = len(held[0])
-                if size > HELD_PAIRS // 2:
-                    yield rows_out(schema, [held[0], spread(held[0])])
-                    held, size = [], 0
-        if held:
-            last = np.unique(np.concatenate(held))
-            yield rows_out(schema, [last, spread(last)])
-
-    return freeze(docs.select("text").mapInArrow(work, "pair long, place long").distinct())
+        held = np.zeros(0, np.int64)
+        for batch in slices(batches):
+            held = np.unique(np.concatenate([held, batch.column(0).flatten().to_numpy(zero_copy_only=False)]))
+            if len(held) > HELD_PAIRS:
+                yield rows_out(schema, [held, spread(held)])
+                held = held[:0]
+        yield rows_out(schema, [held, spread(held)])
+
+    return freeze(linked.mapInArrow(work, "pair long, place long").distinct())
 
 
 HASHED = pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("keys", pa.binary())])
@@ -272,7 +324,7 @@ def perfect_hash(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
     return freeze(sharded.groupBy("shard").applyInArrow(build, "shard int, sizes array<long>, bits binary, keys binary")), shards
 
 
-def document_counts(docs: DataFrame, path_a: str, path_b: str, shared) -> np.ndarray:
+def document_counts(linked: DataFrame, shared) -> np.ndarray:
     """In how many documents each key of the shared hash is linked, in the hash's order."""
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
     ddl = "chunk int, part long, counts binary"
@@ -280,21 +332,12 @@ def document_counts(docs: DataFrame, path_a: str, path_b: str, shared) -> np.nda
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, known = aligner(path_a, path_b), shared.value
+        known = shared.value
         n = len(known.keys)
         counts = np.zeros(n, np.int64)
-        for batch in slices(batches, 128):
-            found = [np.unique(s) for s in own(column(batch, "text"))]
-            if not sum(map(len, found)):
-                continue
-            slots, back = np.unique(np.concatenate(found), return_inverse=True)
-            pairs, per_slot = own.pairs_of(slots)
-            index, starts = known(pairs), np.cumsum(per_slot) - per_slot
-            times = per_slot[back]
-            at = index[np.repeat(starts[back] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
-            doc = np.repeat(np.repeat(np.arange(len(found)), [len(s) for s in found]), times)
-            once = np.unique((doc * n + at)[at >= 0])
-            np.add.at(counts, once % n, 1)
+        for batch in slices(batches):
+            index = known(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            counts += np.bincount(index[index >= 0], minlength=n)
         part = TaskContext.get().partitionId()
         for at in range(0, n, CHUNK):
             some = counts[at : at + CHUNK]
@@ -305,7 +348,7 @@ def document_counts(docs: DataFrame, path_a: str, path_b: str, shared) -> np.nda
         total = sum(np.frombuffer(x, dtype="<i8") for x in rows.column("counts").to_pylist())
         return pa.Table.from_batches([rows_out(schema, [[rows.column("chunk")[0].as_py()], [rows.column("part")[0].as_py()], [total.astype("<i8").tobytes()]])])
 
-    vectors = freeze(docs.select("text").mapInArrow(work, ddl))
+    vectors = freeze(linked.mapInArrow(work, ddl))
     while (vectors.agg(F.max("part").alias("last")).first()["last"] or 0) > 0:
         step = vectors.select("chunk", F.floor(F.col("part") / FAN).cast("long").alias("part"), "counts")
         vectors = freeze(step.groupBy("chunk", "part").applyInArrow(add, ddl))
@@ -329,7 +372,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     length is aligned whole. An empty table gives an empty result.
     """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pairs = distinct_pairs(own, path_a, path_b)
+    linked = linked_pairs(own, path_a, path_b)
+    pairs = distinct_pairs(linked)
     hashed, shards = perfect_hash(pairs, pairs.count())
     per_round = max(1, ROUND_KEYS // SHARD_KEYS)
     context, best, rounds = docs.sparkSession.sparkContext, np.zeros(1, np.int64), []
@@ -337,7 +381,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         rows = hashed.where(F.col("shard").between(low, low + per_round - 1)).orderBy("shard").collect()
         keys = PerfectHash(shards, [(r["shard"], r["sizes"], bytes(r["bits"]), bytes(r["keys"])) for r in rows])
         shared = context.broadcast(keys)
-        counts = document_counts(own, path_a, path_b, shared)
+        counts = document_counts(linked, shared)
         a = keys.keys >> A_BITS
         best = np.concatenate([best, np.zeros(max(0, int(a.max(initial=0)) + 1 - len(best)), np.int64)])
         np.maximum.at(best, a, counts)
@@ -346,8 +390,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def look_up(shared, counted, first: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            both, known, counts, highest = aligner(path_a, path_b), shared.value, counted.value, best_of.value
-            for batch in slices(batches, 128):
+            both, known, counts, highest = aligner(path_a, path_b, first), shared.value, counted.value, best_of.value
+            for batch in slices(batches, ROWS):
                 found = both(column(batch, "text"))
                 slots, back = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_inverse=True)
                 pairs, per_slot = both.pairs_of(slots)

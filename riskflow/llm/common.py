@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.session import checkpoint_dir
+
 #: The white space of every word rule here: space, \t, \n, \v, \f, \r. ``bytes.split()`` splits on exactly these.
 SPACE = " \t\n\u000b\f\r"
 SPACE_BYTES = SPACE.encode()
@@ -33,6 +36,13 @@ def sent_if_small(written: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= rows else written
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, which is smaller than a checkpoint of it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
