@@ -7,9 +7,11 @@ again and looks the counts up, each key verified.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ FAN = 32
 
 #: Ids of both tokenizers fit so many bits; a document's number in its batch stands above a pair.
 A_BITS = 24
+#: Words of printable characters below this are encoded many at a time, so many joined by line feeds.
+PLAIN = "\u0250"
+JOINED = 256
 #: Marks pieces that show that their text must be cut with more care.
 UNCUT = -2
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
@@ -56,6 +61,26 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(a_ends)), times), np.repeat(first, times) + nth
 
 
+def fast_tokenizer(path: str):
+    """The same byte-pair merges in a faster library, for words of letters below ``PLAIN``; None unless the file is a plain
+    byte-level vocabulary in the order of its merges, split by the pattern of ``public_tokenizers``.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [x if isinstance(x, list) else x.split(" ") for x in model.get("merges", [])]
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    if any(model["vocab"].get("".join(x)) != 256 + i for i, x in enumerate(merges)):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pieces(dict):
     """Numbers for pieces of text in the order in which they are first met; new ones wait in ``new``."""
 
@@ -92,7 +117,9 @@ class Aligner:
         self.lone = self.b.piece_to_id("▁")
         self.cuts = not any("\n" in x or re.search("[^▁]▁", x) for i, x in enumerate(names) if not self.b.is_byte(i))
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.a_bytes, self.b_bytes))
-        (self.feed,) = self.a.encode("\n", add_special_tokens=False).ids
+        self.a_says, self.b_says = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
+        self.feed, self.b_feed = self.a.encode("\n", add_special_tokens=False).ids[0], self.b.encode("\n")[-1]
+        self.fast = fast_tokenizer(path_a)
         self.say = False
         self._forget()
 
@@ -103,21 +130,31 @@ class Aligner:
         self.groups: list[str] = []
         self.pairs = np.zeros(1 << 14, np.int64)
 
-    def _ids_a(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece. Pieces that hold no line feed but their first character go many at a time, a line feed before each, which is a token of its own."""
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of a and how many each piece has, the same of b: many pieces at a time with a line feed, a token of its own, between them."""
+        led = np.array([p[0] == "\n" for p in pieces])
+        got = []
+        for at in range(0, len(pieces), JOINED):
+            text = "".join([p if p[0] == "\n" else f"\n{p}" for p in pieces[at : at + JOINED]])
+            a = self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
+            got.append((a, self.b.encode(text)[1:]))
         out = []
-        for at in range(0, len(pieces), 64):
-            some = pieces[at : at + 64]
-            joined = "".join([p if p[:1] == "\n" else f"\n{p}" for p in some])
-            if joined.count("\n") == len(some) and self.cuts:
-                ids = np.array(self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
-                own = np.split(ids, np.flatnonzero(ids == self.feed)[1:])
-                if len(own) == len(some):
-                    out += [x if p[:1] == "\n" else x[1:] for p, x in zip(some, own)]
-                    continue
-            alone = self.a.encode_batch_fast(some, add_special_tokens=False)
-            out += [np.array(x.ids, dtype=np.int64) for x in alone]
-        return out
+        for feed, parts in zip((self.feed, self.b_feed), zip(*got)):
+            ids = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=sum(map(len, parts)))
+            feeds = np.flatnonzero(ids == feed)
+            if len(feeds) != len(pieces) or feeds[0]:
+                return None
+            n = np.diff(feeds, append=len(ids))
+            # the line feeds between pieces are not theirs
+            out += [np.delete(ids, feeds[~led]), n - ~led]
+        return tuple(out)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for any pieces, each for itself."""
+        own_a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        own_b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        own_b = [b if p[0] == " " else b[1:] if b[0] == self.lone else [] for p, b in zip(pieces, own_b)]
+        return tuple(x for own in (own_a, own_b) for x in (np.fromiter(chain.from_iterable(own), dtype=np.int64), np.array(list(map(len, own)), dtype=np.int64)))
 
     def _learn(self) -> None:
         while self.slots > len(self.facts):
@@ -127,31 +164,31 @@ class Aligner:
         for slot, piece in self.words.new:
             led = piece[:1] == "\n"
             bare = piece[1:] if led else piece
-            if not bare or bare[0].isspace() or bare[-1].isspace():
+            full = piece if led else f" {piece}"
+            if bare and bare.isprintable() and max(bare) < PLAIN:
+                plain.append((slot, full))
+            elif not bare or bare[0].isspace() or bare[-1].isspace():
                 self.facts[slot, 0] = UNCUT  # white space beside the space: not a place to cut
-            elif bare.isprintable():
-                plain.append((slot, piece if led else f" {piece}"))
             else:
-                others.append((slot, piece if led else f" {piece}"))
+                others.append((slot, full))
         self.words.new, self.others.new = [], []
-        for new, ids_of in ((plain, self._ids_a), (others, lambda some: [np.array(x.ids, dtype=np.int64) for x in self.a.encode_batch_fast(some, add_special_tokens=False)])):
+        for new, joined in ((plain, True), (others, False)):
             for at in range(0, len(new), 4096):
-                self._align(*zip(*new[at : at + 4096]), ids_of)
+                slots, pieces = map(list, zip(*new[at : at + 4096]))
+                self._align(np.array(slots), pieces, joined and self._joined(pieces) or self._apart(pieces))
 
-    def _align(self, slots: tuple[int, ...], pieces: tuple[str, ...], ids_of) -> None:
-        own_a = ids_of(list(pieces))
-        own_b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        own_b = [b if p[0] == " " else b[1:] if b[0] == self.lone else [] for p, b in zip(pieces, own_b)]
+    def _align(self, slots: np.ndarray, pieces: list[str], ids: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        a_all, a_n, b_all, b_n = ids
         data = [p.encode() for p in pieces]
-        a_all, b_all = np.concatenate(own_a), np.concatenate([np.array(b, dtype=np.int64) for b in own_b])
+        sizes = np.array(list(map(len, data)), dtype=np.int64)
         if not self._spells(a_all, b_all, data):
-            good = [self._spells(a, np.array(b, dtype=np.int64), [d]) for a, b, d in zip(own_a, own_b, data)]
-            self.facts[[s for s, ok in zip(slots, good) if not ok], 0] = -1
-            slots, own_a, own_b, data = ([x for x, ok in zip(own, good) if ok] for own in (slots, own_a, own_b, data))
-            if not slots:
+            a_cut, b_cut = np.split(a_all, np.cumsum(a_n)[:-1]), np.split(b_all, np.cumsum(b_n)[:-1])
+            good = np.array([self._spells(a, b, [d]) for a, b, d in zip(a_cut, b_cut, data)])
+            self.facts[slots[~good], 0] = -1
+            a_all, b_all, slots, sizes = a_all[np.repeat(good, a_n)], b_all[np.repeat(good, b_n)], slots[good], sizes[good]
+            if not len(slots):
                 return
-            a_all, b_all = np.concatenate(own_a), np.concatenate([np.array(b, dtype=np.int64) for b in own_b])
-        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all]), np.cumsum([len(d) for d in data])
+        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a_all]), np.cumsum(self.b_sizes[b_all]), np.cumsum(sizes)
         i, j = overlaps(a_ends, b_ends)
         a_bound = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends
         per = lambda own: np.diff(np.searchsorted(own, ends, side="right"), prepend=0)
@@ -159,18 +196,18 @@ class Aligner:
         while self.used + len(i) > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
         self.pairs[self.used : self.used + len(i)] = (a_all[i] << A_BITS) | b_all[j]
-        self.facts[list(slots)] = np.stack([per(a_ends), per(b_ends), n_groups, n_pairs, self.used + np.cumsum(n_pairs) - n_pairs], axis=1)
+        self.facts[slots] = np.stack([per(a_ends), per(b_ends), n_groups, n_pairs, self.used + np.cumsum(n_pairs) - n_pairs], axis=1)
         self.used += len(i)
-        self.held += 250 * len(slots) + sum(map(len, data)) + 16 * len(i)
+        self.held += 250 * len(slots) + int(sizes.sum()) + 16 * len(i)
         if self.say:
-            a_text, b_text = list(map(str, a_all.tolist())), list(map(str, b_all.tolist()))
+            a_text, b_text = list(map(self.a_says.__getitem__, a_all.tolist())), list(map(self.b_says.__getitem__, b_all.tolist()))
             a_at, b_at = (np.flatnonzero(x) + 1 for x in (a_bound, a_ends[np.searchsorted(a_ends, b_ends)] == b_ends))
             said, x, y = [], 0, 0
             for u, v in zip(a_at.tolist(), b_at.tolist()):
                 said.append(f"{a_text[x] if u == x + 1 else ','.join(a_text[x:u])}|{b_text[y] if v == y + 1 else ','.join(b_text[y:v])}")
                 x, y = u, v
             x = 0
-            for slot, n in zip(slots, n_groups.tolist()):
+            for slot, n in zip(slots.tolist(), n_groups.tolist()):
                 self.groups[slot] = ";".join(said[x : x + n])
                 x += n
             self.held += 12 * (len(a_all) + len(b_all))
