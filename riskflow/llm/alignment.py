@@ -7,7 +7,6 @@ again and looks the counts up, each key verified.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import column, mix64, rows_out, slices, table, written
+from riskflow.llm.tokens import PLAIN, byte_alphabet, fast_tokenizer
 from riskflow.session import freeze
 
 #: Documents that are aligned at once.
@@ -38,21 +38,13 @@ FAN = 32
 
 #: Ids of both tokenizers fit so many bits; a document's number in its batch stands above a pair.
 A_BITS = 24
-#: Words of printable characters below this are encoded many at a time, so many joined by line feeds.
-PLAIN = "\u0250"
+#: Plain words are encoded so many at a time, joined by line feeds.
 JOINED = 256
 #: Marks pieces that show that their text must be cut with more care.
 UNCUT = -2
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others are numbered from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places (in a, in b) of all pairs of tokens whose byte ranges overlap; both cover the same bytes without a gap."""
     first = np.searchsorted(b_ends, np.concatenate([[0], a_ends[:-1]]), side="right")
@@ -61,26 +53,6 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(a_ends)), times), np.repeat(first, times) + nth
 
 
-def fast_tokenizer(path: str):
-    """The same byte-pair merges in a faster library, for words of letters below ``PLAIN``; None unless the file is a plain
-    byte-level vocabulary in the order of its merges, split by the pattern of ``public_tokenizers``.
-    """
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    merges = [x if isinstance(x, list) else x.split(" ") for x in model.get("merges", [])]
-    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
-        return None
-    if any(model["vocab"].get("".join(x)) != 256 + i for i, x in enumerate(merges)):
-        return None
-    import public_tokenizers
-    import tiktoken
-
-    alphabet = byte_alphabet()
-    ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 class Pieces(dict):
     """Numbers for pieces of text in the order in which they are first met; new ones wait in ``new``."""
 

@@ -52,11 +52,8 @@ def reduce_instance(counts: dict[int, int], size: int) -> tuple[list[tuple[Patte
                 triples = len(small) > 2 and sum(small) <= room
                 if k != room and pairs and (triples or _best_pair(fitting, others, room) > k):
                     break
-                if k == room or not pairs:
-                    # the rule holds as long as both last: fewer pieces leave fewer rivals
-                    times = left[big] // 2 if k == big else min(left[big], left[k])
-                else:
-                    times = 1
+                # the rule holds as long as both last: fewer pieces leave fewer rivals, and none of more length
+                times = left[big] // 2 if k == big else min(left[big], left[k])
                 fixed.append((((big, 2),) if k == big else ((big, 1), (k, 1)), times))
                 changed = True
                 for n in (big, k):
@@ -156,7 +153,7 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
             out = []
             for doc_id, ids in zip(column(batch, "doc_id"), code.encode([t or "" for t in column(batch, "text")])):
                 data = memoryview(np.append(ids, END_ID).astype("<u4").tobytes())

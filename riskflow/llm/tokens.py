@@ -6,17 +6,47 @@ white space: it opens a token, or is one. Texts are cut there, and only pieces n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-#: Pieces remembered by one Python worker; beyond this it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes, about, that one Python worker remembers of pieces and their ids; beyond them it starts anew.
+REMEMBERED_BYTES = 32 << 20
+#: Words of printable characters below this are the same to every version of the Unicode tables.
+PLAIN = "\u0250"
 CUT = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others are numbered from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def fast_tokenizer(path: str):
+    """The same byte-pair merges in a faster library, for words of letters below ``PLAIN``; None unless the file is a plain
+    byte-level vocabulary in the order of its merges, split by the pattern of ``public_tokenizers``.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [x if isinstance(x, list) else x.split(" ") for x in model.get("merges", [])]
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    if any(model["vocab"].get("".join(x)) != 256 + i for i, x in enumerate(merges)):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Slots(dict):
     """Numbers for pieces in the order in which they are first asked for; new ones wait in ``new``."""
 
@@ -26,6 +56,7 @@ class Slots(dict):
     def __missing__(self, piece: str) -> int:
         slot = self[piece] = self.owner.slots
         self.owner.slots += 1
+        self.owner.held += 180 + 4 * len(piece)
         self.new.append(piece)
         return slot
 
@@ -36,6 +67,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = fast_tokenizer(path)
         (self.feed,) = self._ids("\n")
         self._forget()
 
@@ -43,7 +76,7 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
-        self.slots = self.used = 0
+        self.slots = self.used = self.held = 0
         self.spaced, self.whole = Slots(self), Slots(self)  # pieces that follow a space, without it; other pieces
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int32)
@@ -54,17 +87,20 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[slots], self.lengths[slots] = begins + self.used, lengths
         self.used += len(ids)
+        self.held += 8 * len(ids)
 
     def _learn(self, slots: list[int], pieces: list[str], before: str, feed: bool) -> None:
         """Many pieces at a time, with a line feed, a token of its own, between them; ``feed``: it belongs to each piece."""
-        for at in range(0, len(pieces), 64):
-            some = pieces[at : at + 64]
-            ids = np.array([self.feed, *self._ids("\n".join([before + p for p in some]))], dtype=np.int32)
+        for at in range(0, len(pieces), 256):
+            some = pieces[at : at + 256]
+            text = "\n".join([before + p for p in some])
+            plain = self.fast and max(text) < PLAIN and "".join(some).isprintable() and not any(x in text for x in self.special)
+            ids = np.array([self.feed, *(self.fast.encode_ordinary(text) if plain else self._ids(text))], dtype=np.int32)
             begins = np.flatnonzero(ids == self.feed)
             if len(begins) != len(some):
                 raise RuntimeError("the tokenizer joins line feeds to words")
             lengths = np.diff(begins, append=len(ids))
-            self._keep(slots[at : at + 64], ids, begins + (not feed), lengths - (not feed))
+            self._keep(slots[at : at + 256], ids, begins + (not feed), lengths - (not feed))
 
     def _learn_new(self) -> None:
         while self.slots > len(self.lengths):
@@ -94,7 +130,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the text at once."""
-        if self.slots > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         cut = []
         for text in texts:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from riskflow.llm import html, mixing, packing
+from riskflow.llm import exact, html, mixing, packing, quality, simhash, tokens
 from riskflow.llm.tokens import encoder
 from tests.llm.test_dedup import in_duck, ordered
 
@@ -84,6 +84,26 @@ def test_reduction_never_costs_a_sequence():
         assert sum(t for _, t in fixed) + (least(left, 20) if left else 0) == least(pieces, 20), pieces
 
 
+def test_millions_of_pieces_are_fixed_in_a_few_steps():
+    for n in (3, 4, 1000, 1_000_000):
+        fixed, rest = packing.reduce_instance({1500: n, 540: n, 200: n}, 2048)
+        assert len(fixed) + len(rest) < 12
+        held = Counter(rest)
+        for pattern, times in fixed:
+            for length, each in pattern:
+                held[length] += each * times
+        assert held == {1500: n, 540: n, 200: n}
+
+
+def test_workers_remember_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 1 << 20)
+    code, rnd, most = tokens.Encoder(packing.tokenizer_path()), random.Random(3), 0
+    for _ in range(60):
+        code.encode(["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(800)) for _ in range(4)])
+        most = max(most, code.held)
+    assert most < 2 << 20
+
+
 def test_ids_equal_the_tokenizer_on_whole_texts(awkward):
     code = encoder(packing.tokenizer_path())
     texts = [t or "" for _, t, *_ in awkward] + ["a  b", " a", "b ", "a\n b", "x\n\ny", "\nfoo bar", "a\nb c", "é à  \t z", "\x1c a \x1c", " \n ", "a <|endoftext|> b", "don't  stop"]
@@ -165,6 +185,26 @@ def test_pipeline_stages(spark, docs_of, awkward):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "source_mixing", "sequence_packing"]
 
 
+def test_run_equals_the_operators_one_after_another(spark, docs_of, awkward, tmp_path, rows_of):
+    rnd = random.Random(23)
+    words = "the of and to in that with from river stone winter garden letter morning silver window".split()
+    rows = [*awkward] + [(100 + i, " ".join(rnd.choice(words) for _ in range(rnd.randint(20, 90))), "en", rnd.choice("abc")) for i in range(120)]
+    rows += [(300 + i, rows[-1 - i][1] + " ", "en", "a") for i in range(10)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    docs = docs_of(rows)
+    good = quality.judged(docs).where("kept").select("doc_id").distinct()
+    docs = docs.where("doc_id is not null").join(good, "doc_id", "left_semi")
+    kept = exact.exact_duplicates(docs).where("kept").select("doc_id")
+    docs = docs.join(kept, "doc_id", "left_semi")
+    near = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    docs = docs.join(near, "doc_id", "left_semi")
+    times = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
+    packed = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got.collect())
+    once = Counter({(r.doc_id, r.piece, r.length, r.ids_crc32): times[r.doc_id] for r in packing.pack(docs, packing.tokenizer_path()).collect() if times.get(r.doc_id)})
+    assert packed == once and len(packed) > 20
+
+
 @pytest.mark.parametrize("source, text", [
     ("<body><article><p>First part.</p></article><article><p>The second and longer part.</p></article></body>", "First part.\nThe second and longer part."),
     ("<body><main><h1>Heading</h1><p>Lead.</p><article><p>The text itself.</p></article></main><footer>x</footer></body>", "Heading\nLead.\nThe text itself."),
