@@ -37,21 +37,26 @@ def test_base_counts_equal_brute_force(awkward):
         assert quality.base_counts(t) == brute_base(t), t
 
 
+def discounts(t1, t2, t3, t4):
+    y = t1 / (t1 + 2 * t2) if t1 else 0.5
+    return [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else i * y for i, a, b in ((1, t1, t2), (2, t2, t3), (3, t3, t4))]
+
+
 def brute_kneser_ney(rows):
     """Mean log-probability by definition, from dictionaries."""
-    docs = [(lang or "", [0] * 3 + [32 if 9 <= ord(c) <= 13 else ord(c) & 32767 for c in text or ""]) for _, text, lang, *_ in rows]
-    teach = [quality.teaches(text) for _, text, *_ in rows]
+    docs = [(lang or "", [0] * 3 + [32 if 9 <= ord(c) <= 13 else ord(c) for c in text or ""]) for _, text, lang, *_ in rows]
     held = defaultdict(set)
     for k, (lang, c) in enumerate(docs):
         for i in range(len(c) - 3):
             held[lang, tuple(c[i : i + 4])].add(k)
-    n = [None, None, None, None, {g: max(0, sum(teach[k] for k in ks) - 1) for g, ks in held.items()}]
+    n = [None, None, None, None, {g: len(ks) - 1 for g, ks in held.items()}]
     for k in (3, 2, 1):
         n[k] = defaultdict(int)
         for (lang, g), count in n[k + 1].items():
             n[k][lang, g[1:]] += count > 0
-    d = [None] + [quality._discounts(*[sum(v == i for v in n[k].values()) for i in (1, 2, 3, 4)]) for k in (1, 2, 3, 4)]
-    symbols = len({g for _, g in n[1]}) + 1
+    langs = {lang for lang, _ in docs}
+    d = [None] + [{x: discounts(*[sum(v == i for (lang, _), v in n[k].items() if lang == x) for i in (1, 2, 3, 4)]) for x in langs} for k in (1, 2, 3, 4)]
+    symbols = {x: sum(lang == x for lang, _ in n[1]) + 1 for x in langs}
     contexts = [None] + [defaultdict(list) for _ in range(4)]
     for k in (1, 2, 3, 4):
         for (lang, g), count in n[k].items():
@@ -59,13 +64,13 @@ def brute_kneser_ney(rows):
 
     def p(lang, g):
         if not g:
-            return 1 / symbols
+            return 1 / symbols[lang]
         k, below = len(g), p(lang, g[1:])
         counts = contexts[k][lang, g[:-1]]
         total = sum(counts)
         if not total:
             return below
-        cut = lambda c: 0.0 if c == 0 else d[k][min(c, 3) - 1]
+        cut = lambda c: 0.0 if c == 0 else d[k][lang][min(c, 3) - 1]
         return max(n[k][lang, g] - cut(n[k][lang, g]), 0) / total + sum(map(cut, counts)) / total * below
 
     return [sum(np.log(p(lang, tuple(c[i : i + 4]))) for i in range(len(c) - 3)) / max(1, len(c) - 3) for lang, c in docs]
@@ -76,13 +81,21 @@ def test_perplexity_equals_the_definition_on_both_paths(docs_of, awkward):
     df = docs_of(rows)
     want = {r[0]: x for r, x in zip(rows, brute_kneser_ney(rows))}
     model = quality.fit(df)
-    for m in (model, quality.Model(model.table, None)):
+    for m in (model, quality.Model(model.table, None, model.numbers)):
         got = {r.doc_id: r.logp for r in quality.facts(df, m).collect()}
         assert got.keys() == want.keys()
         for k in want:
             assert got[k] == pytest.approx(want[k], abs=1e-5)
 
 
+def test_characters_have_numbers_of_their_own(docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_NGRAMS", 10)
+    text = "\u8020\u8009 \U0001f600\u7600\U0001f600"
+    numbers = quality.numbered(docs_of([(1, text), (2, None), (3, "\U0001f600\n")]))
+    assert numbers[0x1F600] == 1 and numbers[32] == 2 and len({int(numbers[ord(c)]) for c in text}) == 5
+    assert numbers[ord("x")] == quality.RARE and quality.code_points("a\t\n\x0b\x0c\r").tolist() == [97] + [32] * 5
+
+
 def test_verdicts_and_stage_agree(docs_of, awkward):
     df = docs_of(awkward)
     found = quality.judged(df).collect()
@@ -134,13 +147,14 @@ def test_both_limits_of_a_band_reject(docs_of):
     assert all(rows[i].lower > 1 for i, _ in clean)
 
 
-def test_symbols_count_like_other_characters(docs_of):
+def test_symbols_count_like_other_characters(docs_of, spark):
     rnd = random.Random(17)
     words = "the of and to in that with from river stone winter garden letter morning silver window".split()
     rows = [(i, " ".join(rnd.choice(words) for _ in range(120))) for i in range(60)]
     rows += [(1000 + i, "\n".join("| " + " | ".join(rnd.choice(words) for _ in range(4)) + " |" for _ in range(30))) for i in range(20)]
-    counted = {r.gram: r.docs for r in quality.document_counts(docs_of(rows)).collect()}
-    assert counted == Counter(int(g) for _, t in rows for g in np.unique(quality.ngrams(t)))
+    numbers = quality.numbered(docs_of(rows))
+    counted = {r.gram: r.docs for r in quality.document_counts(docs_of(rows), spark.sparkContext.broadcast(numbers)).collect()}
+    assert counted == Counter(int(g) for _, t in rows for g in np.unique(quality.ngrams(t, numbers)))
     found, other = ({r.doc_id: (r.kept, round(r.perplexity, 6)) for r in quality.judged(docs_of(x)).collect()} for x in (rows, [(i, t.replace("|", "/")) for i, t in rows]))
     assert found == other
 
@@ -152,7 +166,7 @@ def test_stage_decides_per_row_with_and_without_arrays(docs_of, awkward, rows_of
     rows += [(None, "too short"), (101, "too short"), (101, None), (102, " ".join("qxzjvkw0123"[rnd.randrange(8) :] + "QXZ"[rnd.randrange(3) :] for _ in range(60)))]
     df = docs_of(rows)
     model = quality.fit(df)
-    joined = quality.Model(model.table, None)
+    joined = quality.Model(model.table, None, model.numbers)
     kept = rows_of(quality.keep_good(df, model))
     assert kept == rows_of(quality.keep_good(df, joined))
     assert len(kept) == quality.judged(df, joined).where("kept").count()
