@@ -660,6 +660,24 @@ def top_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.top_contributors(training.fit_logistic(train, BASIC), val)
 
 
+@query
+def tree_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP2 on boosted trees: explanations, and the margin as the sum of the root values and all contributions."""
+    _, _, train, val, test = _features(spark, sf_dir)
+    fitted = _small_boosted(train, val, ENGINEERED, "boosted_engineered")
+    rows = explain.attributed(fitted, explain.with_explanations(fitted, val.unionByName(test).select("transaction_id", *ENGINEERED)))
+    margin = F.aggregate("_c", F.lit(explain.node_table(fitted).base), lambda a, v: a + v)
+    scored = fitted.score(rows.select("transaction_id", *ENGINEERED, "explanations", F.round(1 / (1 + F.exp(-2 * margin)), 9).alias("p_from_parts")))
+    return scored.select("transaction_id", "explanations", "p_from_parts", F.round("p", 9).alias("p"))
+
+
+@query
+def permuted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP1 by permutation, of the linear model over all labelled rows after the training period."""
+    _, _, train, val, test = _features(spark, sf_dir)
+    return explain.permutation_importance(training.fit_logistic(train, BASIC), val.unionByName(test).select("true_fraud_label", *BASIC), "true_fraud_label")
+
+
 @query
 def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DEC8: the test split scored with its history warmed up, with explanations."""

@@ -13,7 +13,7 @@ from riskflow.config import RiskBands
 from riskflow.operators.calibration import Calibrator
 from riskflow.operators.decisions import decide
 from riskflow.operators.encode import FrequencyEncoder
-from riskflow.operators.explain import top_contributors
+from riskflow.operators.explain import with_explanations
 from riskflow.operators.leakage import assert_no_leakage
 from riskflow.operators.splits import align_to
 from riskflow.operators.training import FittedModel
@@ -52,11 +52,10 @@ class Scorer:
         assert_no_leakage(transactions)
         exact = any("_txn_count_" in f for f in self.model.features)
         features = feature_table(transactions, self.encoder, self.needs_history, exact, history)
-        scored = self.score_features(features, ["transaction_id"])
-        if explain:
-            why = top_contributors(self.model, align_to(features, self.model.features, ["transaction_id"]))
-            scored = scored.join(why, "transaction_id")
-        return scored
+        if not explain:
+            return self.score_features(features, ["transaction_id"])
+        # in the same row as the features, as ids alone don't tell rows apart
+        return self.score_features(with_explanations(self.model, align_to(features, self.model.features, ["transaction_id"])), ["transaction_id", "explanations"])
 
     def save(self, path: str) -> None:
         """TRN8: everything a scoring job starts from, under one folder that Spark writes (any file system it knows)."""

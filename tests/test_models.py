@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskflow.config import JANUARY_2024
@@ -37,7 +39,63 @@ def test_boosted_and_forest(fitted):
         assert labelled(m, rest).where("p BETWEEN 0 AND 1").count() == rest.count()
     importance = X.global_importance(boosted, rest).collect()
     assert [r["rank"] for r in importance] == list(range(1, len(ENGINEERED) + 1))
-    assert X.top_contributors(boosted, rest).first()["explanations"] == [X.UNAVAILABLE]
+    for m, link in ((boosted, lambda x: 1 / (1 + np.exp(-2 * x))), (forest, lambda x: x)):
+        parts = X.contributions(m, rest, ["transaction_id"]).toPandas().set_index("transaction_id").sort_index()
+        want = labelled(m, rest).select("transaction_id", "p").toPandas().set_index("transaction_id").sort_index()
+        assert len(parts) == rest.count()
+        assert np.abs(link(parts.to_numpy().sum(axis=1) + X.node_table(m).base) - want["p"].to_numpy()).max() < 1e-9
+        assert (parts.to_numpy() != 0).any(axis=0).sum() > 2
+        texts = X.top_contributors(m, rest, top_n=3).first()["explanations"]
+        assert len(texts) == 3 and all("risk, SHAP=" in t for t in texts)
+
+
+def walked(table, row):
+    """One row through every tree, node by node."""
+    out = np.zeros(len(row))
+    for at in table.roots.tolist():
+        while table.left[at] >= 0:
+            after = table.left[at] if row[table.feature[at]] <= table.threshold[at] else table.right[at]
+            out[table.feature[at]] += table.value[after] - table.value[at]
+            at = after
+    return out
+
+
+def test_tree_contributions_equal_a_walk_and_rows_that_share_an_id_stay(spark, fitted):
+    features, encoder, train, rest, _ = fitted
+    boosted = T.fit_boosted(train, rest.where("split = 'VAL'"), BASIC, rounds=3, depth=3)
+    table = X.node_table(boosted)
+    rows = rest.select("transaction_id", *BASIC).limit(300).withColumn("transaction_id", F.lit("same"))
+    rows = rows.unionByName(rows.limit(5).withColumn("transaction_id", F.lit(None).cast("string")))
+    found = X.attributed(boosted, rows).collect()
+    assert len(found) == 305
+    for r in found:
+        assert np.allclose(r["_c"], walked(table, np.array([float(r[f]) for f in BASIC])))
+    txns = L.strip_labels(transactions(spark, SMALL)).limit(200).withColumn("transaction_id", F.lit("same"))
+    assert Scorer(boosted, encoder).score(txns, explain=True).where("size(explanations) = 5").count() == 200
+
+
+def test_permutation_importance_equals_one_run_a_feature(spark, fitted, monkeypatch):
+    *_, rest, model = fitted
+    monkeypatch.setattr(X, "CELL_ROWS", 50)
+    rows = rest.select("true_fraud_label", *BASIC)
+    found = {r["feature"]: r["importance"] for r in X.permutation_importance(model, rows, "true_fraud_label").collect()}
+    assert set(found) == set(BASIC)
+    weights = dict(zip(BASIC, model.model.stages[-1].coefficients))
+    unused = [f for f in BASIC if weights[f] == 0]
+    assert all(abs(found[f]) < 1e-12 for f in unused) and max(found.values()) > 0
+    # the same by hand for one feature: each row has the value of the next in its cell's order
+    place = F.xxhash64(F.lit(42), *[F.col(c) for c in rows.columns])
+    n = max(1, rows.count() // 50)
+    best = max(found, key=found.get)
+    ring = Window.partitionBy("_cell").orderBy("_place", "true_fraud_label")
+    moved = rows.withColumn("_place", place).withColumn("_cell", F.pmod(F.xxhash64("_place"), F.lit(n)))
+    moved = moved.withColumn(best, F.coalesce(F.lead(best).over(ring), F.first(best).over(ring)))
+
+    def loss(df):
+        p, y = F.least(F.greatest(F.col("q"), F.lit(1e-15)), F.lit(1 - 1e-15)), F.col("true_fraud_label")
+        return model.score(df, "q").agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))).first()[0]
+
+    assert found[best] == pytest.approx(loss(moved) - loss(rows), abs=1e-9)
 
 
 def test_contributions_add_up_to_the_log_odds(fitted):
