@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def guard(digits: int) -> float:
-    """A thousandth of the last reported digit.
+#: Added before rounding, in units of the last reported digit. Sums and means of short decimals often sit exactly on a rounding midpoint, where the
+#: order of additions decides; less than a thousandth moves them off it. It has no short decimal form itself, so it puts no such value onto one.
+OFFSET = 0.000731058578630005
+
 
-    Sums and means of short decimals often sit exactly on a rounding midpoint, where the order of additions decides; this moves them off it, and no
-    other value by more than it.
-    """
-    return 10.0 ** -(digits + 3)
+def guard(digits: int) -> float:
+    return OFFSET * 10.0**-digits
 
 
 def rounded(c: Column | str, digits: int = 4) -> Column:

@@ -7,9 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.config import ENTITIES
+from riskflow.config import ENTITIES, WINDOWS_US
+from riskflow.functions.prefix import running_totals, span_unit, unit_cells
 from riskflow.operators.velocity import entity_rows
 
+#: Width of a bucket of rows that are added up, and how late a row may come.
+BUCKET_US = 3_600_000_000
+LATENESS_US = 3_600_000_000
+
 
 def gap_counters(rows: DataFrame, ttl_us: int, keys: Sequence[str] = ("entity", "entity_id")) -> DataFrame:
     """ST2: counters that restart after a silence of at least ``ttl_us``.
@@ -67,14 +72,56 @@ def snapshot(df: DataFrame, entities: Mapping[str, str] = ENTITIES) -> DataFrame
     )
 
 
+def bucketed(df: DataFrame, entities: Mapping[str, str] = ENTITIES, bucket_us: int = BUCKET_US, keep_us: int = max(WINDOWS_US.values()) + LATENESS_US) -> DataFrame:
+    """ST6: what a stream starts from: per key one row for each bucket of the time that windows still reach, with its rows, and one for all before.
+
+    Columns ``entity, entity_id, bucket, n, total, mean, m2, last_us, rows``; ``bucket`` and ``rows`` are null for the time before. Moments
+    are added up first; a list of rows is one key's rows of one bucket.
+    """
+    rows = entity_rows(df, entities).withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_us)))
+    since = F.floor((F.lit(df.agg(F.max(F.unix_micros("event_timestamp"))).first()[0] or 0) - F.lit(keep_us)) / F.lit(bucket_us))
+    recent = F.col("bucket") >= since
+    moments = [F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.avg("amount").alias("mean"), (F.var_pop("amount") * F.count(F.lit(1))).alias("m2"), F.max("us").alias("last_us")]
+    listed = F.collect_list(F.struct("us", "seq", F.coalesce("transaction_id", F.lit("")).alias("id"), "amount")).alias("rows")
+    old = rows.where(~recent).groupBy("entity", "entity_id").agg(*moments)
+    new = rows.where(recent).groupBy("entity", "entity_id", "bucket").agg(*moments, listed)
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+def context_as_of(df: DataFrame, versions: DataFrame, features: Sequence[str], entities: Mapping[str, str] = ENTITIES) -> DataFrame:
+    """ST5: each transaction with the newest version of its entities' features as of its time, ``<entity>_<feature>``.
+
+    ``versions`` has one row for each time at which an entity's features were written (``entity, entity_id, us, seq`` and the features). A version of the
+    transaction's own instant counts. Versions and transactions are put into one order, and the last version is carried along it over nested
+    time cells, so a key's rows need not meet in one task. Every transaction comes back once, told apart by ``transaction_id, us, seq``
+    and the number of equal rows; entities without a key or a version give null.
+    """
+    asked = entity_rows(df, entities, anchor=True).groupBy("transaction_id", "us", "seq", "entity", "entity_id").agg(F.count(F.lit(1)).alias("times"))
+    written = versions.select("entity", F.col("entity_id").cast("string").alias("entity_id"), "us", F.struct("us", "seq", *features).alias("version"))
+    asks = asked.where("entity <> ''").select("entity", "entity_id", "us", "seq", "transaction_id", F.lit(1).alias("kind"))
+    both = written.select("*", F.lit(0).alias("kind")).unionByName(asks, allowMissingColumns=True)
+    ends = both.agg(F.min("us"), F.max("us")).first()
+    first, second = unit_cells(span_unit(F.col("us"), F.lit(ends[0]), F.lit(ends[1])))
+    located = both.withColumns({"_cell1": first, "_cell2": second})
+    carried = running_totals(located, ["entity", "entity_id"], ["_cell1", "_cell2"], ["us", "kind", "version"], maxes=["version"])
+    found = asked.join(carried.where("kind = 1").select("transaction_id", "us", "seq", "entity", "entity_id", "version_before").alias("c"), [
+        asked[c].eqNullSafe(F.col(f"c.{c}")) for c in ("transaction_id", "us", "seq", "entity", "entity_id")], "left")
+    own = [asked[c] for c in ("transaction_id", "us", "seq", "times")]
+    wide = found.groupBy(*own).agg(*[F.max(F.when(asked["entity"] == e, F.col(f"c.version_before.{f}"))).alias(f"{e}_{f}") for e in entities for f in features])
+    return wide.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_n")).drop("times", "_n")
+
+
 def transaction_context(df: DataFrame, state: DataFrame, features: Sequence[str], entities: Mapping[str, str] = ENTITIES) -> DataFrame:
     """ST5: each transaction with the state of its six entities, ``<entity>_<feature>``.
 
     One lookup for all entities. Every key has one state row, so a frequent key only
-    lengthens the transaction side, which adaptive execution may split.
+    lengthens the transaction side, which adaptive execution may split. Transactions that share an id stay apart by time and sequence
+    number (fully equal ones by their count), and one without any key comes back with nulls.
     """
-    asked = entity_rows(df, entities).select("transaction_id", "entity", "entity_id")
+    place = ["transaction_id", "us", "seq"]
+    asked = entity_rows(df, entities, anchor=True).groupBy(*place, "entity", "entity_id").agg(F.count(F.lit(1)).alias("times"))
     found = asked.join(state.select("entity", "entity_id", *features), ["entity", "entity_id"], "left")
-    return found.groupBy("transaction_id").agg(
+    wide = found.groupBy(*place, "times").agg(
         *[F.max(F.when(F.col("entity") == e, F.col(f))).alias(f"{e}_{f}") for e in entities for f in features]
     )
+    return wide.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_n")).drop("us", "seq", "times", "_n")

@@ -428,6 +428,15 @@ def cost_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(by_amount.unionByName(by_count), 2, *money)
 
 
+@query
+def context_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: for every transaction and entity the newest payment of more than 200 up to its time: amount and time, null before the first."""
+    rows = leakage.strip_labels(transactions(spark, sf_dir))
+    versions = velocity.entity_rows(rows.where("amount > 200")).groupBy("entity", "entity_id", "us").agg(
+        F.max("seq").alias("seq"), F.max("amount").alias("large_amount"), F.max("us").alias("large_us"))
+    return entity_state.context_as_of(rows, versions, ["large_amount", "large_us"]).drop("us", "seq")
+
+
 @query
 def fraud_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.fraud_metrics(scored(spark, sf_dir), 0.4)
@@ -710,19 +719,24 @@ def saved_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming processor over the events table, read back from its sink."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     history = stream_history(spark.sql(TRANSACTIONS_SQL, events=source))
-    run = (
-        history.writeStream.format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        run = (
+            history.writeStream.format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     rows = spark.read.parquet(f"{out}/rows")
     return _rounded(
         rows.select("transaction_id", "entity", "entity_id", "n_prior", "avg_prior", "std_prior", "n_1h", "n_24h", "n_7d", "sum_7d"), 3,

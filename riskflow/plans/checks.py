@@ -7,7 +7,6 @@ not from the way the Spark side computes them.
 from __future__ import annotations
 
 from riskflow.config import CURVE_THRESHOLDS, ENTITIES, JANUARY_2024, WINDOWS_US
-from riskflow.functions.report import guard
 from riskflow.functions.scalar import COUNTRY_PARTIES
 from riskflow.operators.drift import EDGE_MARGIN, EPS
 from riskflow.operators.monitoring import PROBABILITY_BOUNDS, SCORE_BOUNDS
@@ -33,8 +32,8 @@ def num(x: float) -> str:
 
 
 def r(expr: str, digits: int = 4) -> str:
-    # Adding zero turns a rounded -0.0 into 0.0.
-    return f"(ROUND(CAST({expr} AS DOUBLE) + {num(guard(digits))}, {digits}) + 0e0)"
+    # The offset of reported numbers. Adding zero turns a rounded -0.0 into 0.0.
+    return f"(ROUND(CAST({expr} AS DOUBLE) + {num(0.000731058578630005 * 10.0**-digits)}, {digits}) + 0e0)"
 
 
 def big(expr: str) -> str:
@@ -355,6 +354,13 @@ def context() -> str:
 SELECT t.transaction_id, {cols} FROM t {joins} WHERE {IN_TEST}"""
 
 
+def context_as_of() -> str:
+    cols = ", ".join(f"v_{e}.large_amount AS {e}_large_amount, v_{e}.us AS {e}_large_us" for e in ENTITIES)
+    sides = ", ".join(f"v_{e} AS (SELECT entity_id, us, MAX(amount) AS large_amount FROM ({entity_union('t')}) WHERE entity = '{e}' AND amount > 200 GROUP BY entity_id, us)" for e in ENTITIES)
+    joins = " ".join(f"ASOF LEFT JOIN v_{e} ON v_{e}.entity_id = t.{c} AND epoch_us(t.event_timestamp) >= v_{e}.us" for e, c in ENTITIES.items())
+    return f"WITH {TXNS}, {sides} SELECT t.transaction_id, {cols} FROM t {joins}"
+
+
 def histogram() -> str:
     parts = [("probability", "p", PROBABILITY_BOUNDS), ("score", "score", SCORE_BOUNDS)]
     rows = []
@@ -458,6 +464,7 @@ SELECT entity, entity_id, {big('session')} AS session, MIN(us) AS start_us, MAX(
         "entity_feature_map": f"{LATEST} SELECT entity, entity_id, string_agg(feature || '=' || value, ';' ORDER BY feature) AS features FROM l GROUP BY entity, entity_id",
         "entity_snapshot": f"WITH {TXNS} SELECT entity, entity_id, COUNT(*) AS txn_count, {r('SUM(amount)', 3)} AS amount_sum, {r('AVG(amount)', 3)} AS mean_amount, {r('VAR_POP(amount) * COUNT(*)', 1)} AS m2_amount, MAX(us) AS last_us FROM ({entity_union()}) GROUP BY entity, entity_id",
         "txn_context": context(),
+        "context_as_of": context_as_of(),
         "confusion_rates": f"WITH {SCORED}, c AS (SELECT COUNT(*) AS n, {confusion_counts('0.5e0')} FROM s) SELECT 0.5e0 AS threshold, n, tp, fp, tn, fn, " + ", ".join(f"{r(e, 6)} AS {n}" for n, e in rate.items()) + " FROM c",
         "roc_pr_auc": f"WITH {SCORED}, {ranking('s')} SELECT {RANK_COLS} FROM m",
         "roc_pr_auc_by_day": f"WITH {SCORED}, sd AS (SELECT *, strftime(event_timestamp, '%Y-%m-%d') AS day FROM s), {ranking('sd', 'day')} SELECT day, {RANK_COLS} FROM m",

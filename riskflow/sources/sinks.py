@@ -44,8 +44,13 @@ def audit_rows(scored: DataFrame, model_version: str, request_id: str | None = N
     )
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    rows.withColumn("scored_date", F.to_date("scored_at")).write.mode("append").partitionBy("scored_date").parquet(path)
+def append_audit(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """SNK5: audit records by day. With the number of a micro-batch its records go to a folder of their own, which the same micro-batch, repeated on whatever day, overwrites."""
+    dated = rows.withColumn("scored_date", F.to_date("scored_at")).write.partitionBy("scored_date")
+    if batch_id is None:
+        dated.mode("append").parquet(path)
+    else:
+        dated.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def experiment_rows(spark: SparkSession, results: Mapping[str, Mapping[str, float]]) -> DataFrame:

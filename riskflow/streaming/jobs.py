@@ -6,9 +6,10 @@ repeats the batch after a failure, so a restart neither loses nor doubles rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +19,7 @@ from riskflow.operators.velocity import entity_rows, widen
 from riskflow.plans.features import finish, row_features
 from riskflow.plans.scoring import Scorer
 from riskflow.sources.kafka import route
-from riskflow.sources.sinks import audit_rows
+from riskflow.sources.sinks import append_audit, audit_rows
 from riskflow.streaming.ingest import accepted, dead_letters, validate_messages
 from riskflow.streaming.state import stream_history
 
@@ -45,25 +46,62 @@ def validation_job(raw: DataFrame, out: str, checkpoint: str, contract: str = "o
     return _start(validate_messages(raw, contract), handle, checkpoint, "validation", continuous)
 
 
+def screening_job(raw: DataFrame, out: str, checkpoint: str, lateness: str = "1 hour", contract: str = "online", continuous: str | None = None) -> StreamingQuery:
+    """What comes before the stateful step: each message is accepted, late or dead, and none is lost.
+
+    A valid row is late if it lies more than ``lateness`` before the newest row of all earlier micro-batches; the stateful step would drop it. It
+    goes to ``late`` with the decision REVIEW, and to that decision's topics. ``accepted`` messages are what ``scoring_job`` reads
+    (``read_accepted``). ``marks`` keeps, for each micro-batch, the newest time so far and the four counts, in = accepted + late + dead;
+    a repeated micro-batch starts from its predecessor's mark and overwrites its own folders.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark, parsed = batch.sparkSession, batch.persist()
+        newest = spark.read.parquet(f"{out}/marks/batch_id={batch_id - 1}").first()["newest_us"] if batch_id else None
+        valid = F.col("error").isNull()
+        late = F.lit(False) if newest is None else valid & F.coalesce(F.col("event_timestamp") < F.expr(f"timestamp_micros({newest}) - INTERVAL {lateness}"), F.lit(False))
+        _put(parsed.where(valid & ~late).select("key", "value"), f"{out}/accepted", batch_id)
+        reviewed = parsed.where(late).select("transaction_id", "event_timestamp", "value", F.lit("REVIEW").alias("decision"),
+                                             (F.lit(newest).cast("long") - F.unix_micros("event_timestamp")).alias("behind_us"), F.lit("late").alias("reason"))
+        _put(reviewed, f"{out}/late", batch_id)
+        _put(route(reviewed.select("transaction_id", "decision", "reason")), f"{out}/late_topics", batch_id, "json")
+        _put(dead_letters(parsed), f"{out}/dead_letter", batch_id, "json")
+        high = F.max(F.when(valid, F.unix_micros("event_timestamp")))
+        _put(parsed.agg(F.greatest(F.lit(newest).cast("long"), high).alias("newest_us"), F.count("*").alias("n_in"), F.count_if(valid & ~late).alias("n_accepted"),
+                        F.count_if(late).alias("n_late"), F.count_if(~valid).alias("n_dead")), f"{out}/marks", batch_id)
+        parsed.unpersist()
+
+    return _start(validate_messages(raw, contract), handle, checkpoint, "screening", continuous)
+
+
+def read_accepted(spark: SparkSession, out: str, max_files: int | None = None) -> DataFrame:
+    """The accepted messages of ``screening_job`` as a stream, oldest first."""
+    reader = spark.readStream.schema("key string, value string, batch_id long")
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(f"{out}/accepted").select("key", "value")
+
+
 def scoring_job(raw: DataFrame, scorer: Scorer, out: str, checkpoint: str, lateness: str = "1 hour", initial: DataFrame | None = None, continuous: str | None = None) -> StreamingQuery:
     """DEC8, SNK3, SNK5 on valid messages: entity state, features, model, decision, topics, audit.
 
     The six entity rows of a transaction leave the stateful step in the same
-    micro-batch and are put side by side there.
+    micro-batch and are put side by side there. The audit has the time from the micro-batch's start to its scores. Rows that
+    are invalid or too late are ``screening_job``'s, which runs before.
     """
     exact = any("_txn_count_" in f for f in scorer.model.features)
     messages = validate_messages(raw)
     history = stream_history(messages.where("error IS NULL"), lateness, payload="value", initial=initial)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        wide = widen(batch, ENTITIES, WINDOWS_US if exact else None, carry=["payload"])
+        began = time.monotonic()
+        wide = widen(batch, ENTITIES, WINDOWS_US if exact else None, carry=["payload"], by=("transaction_id", "us", "seq")).drop("us", "seq")
         rows = validate_messages(wide.withColumnRenamed("transaction_id", "_id"), value="payload")
         past = [c for c in wide.columns if c not in ("transaction_id", "payload")]
         features = finish(row_features(rows, scorer.encoder, ["transaction_id", "event_timestamp", *past]), scorer.model.features, ["transaction_id", "event_timestamp"])
         scored = scorer.score_features(features, ["transaction_id", "event_timestamp"]).persist()
-        _put(scored, f"{out}/scored", batch_id)
+        _put(scored, f"{out}/scored", batch_id)  # computes the scores
         _put(route(scored), f"{out}/topics", batch_id, "json")
-        _put(audit_rows(scored, scorer.model.version), f"{out}/audit", batch_id)
+        took = (time.monotonic() - began) * 1000
+        append_audit(audit_rows(scored.withColumn("_took", F.lit(took)), scorer.model.version, latency="_took"), f"{out}/audit", batch_id)
         scored.unpersist()
 
     return _start(history, handle, checkpoint, "scoring", continuous)

@@ -1,17 +1,16 @@
 """ST1: entity state on a stream, one keyed processor for all entities.
 
-State per key: recent rows for exact sliding windows, and count, mean, squared
-deviation and last time for the prior statistics. Rows of a micro-batch are put in
-the total order before they are applied, so arrival order inside it does not matter.
-Recent rows older than the longest window plus the permitted lateness are dropped; an
-event-time timer empties the list of a key that went quiet.
+State per key: for each hour bucket of the last seven days (and the permitted lateness) its rows and their count, sum, mean, squared
+deviation and last time, and the same moments of everything before. A row reads them as of its own time: moments of whole buckets, rows of the
+few buckets at a window's edges. So a late row sees what the batch shows it, and only touched buckets are written again. Buckets that
+no window reaches any more are merged into the older moments; an event-time timer does so for a key that went quiet.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator, Mapping
-from math import sqrt
 
 import numpy as np
 from pyspark import cloudpickle
@@ -21,98 +20,178 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.config import ENTITIES, WINDOWS_US
+from riskflow.operators.entity_state import BUCKET_US, LATENESS_US
 from riskflow.operators.velocity import entity_rows
 
 # The processor travels with the query, so workers need no installed copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LATENESS_US = 3_600_000_000
-
 OUTPUT = T.StructType(
     [
         T.StructField("entity", T.StringType()),
         T.StructField("entity_id", T.StringType()),
         T.StructField("transaction_id", T.StringType()),
         T.StructField("us", T.LongType()),
+        T.StructField("seq", T.LongType()),
         T.StructField("amount", T.DoubleType()),
         T.StructField("n_prior", T.LongType()),
         T.StructField("avg_prior", T.DoubleType()),
         T.StructField("std_prior", T.DoubleType()),
         T.StructField("prev_us", T.LongType()),
         *[T.StructField(f"{k}_{w}", T.LongType() if k == "n" else T.DoubleType()) for w in WINDOWS_US for k in ("n", "sum")],
-        # True when an earlier-dated row came after a later one of its key: window
-        # values are still exact, prior statistics then follow arrival.
+        # True when later rows of the key came in an earlier micro-batch: they were answered without this one.
         T.StructField("out_of_order", T.BooleanType()),
         # The message itself, carried by one entity's row only.
         T.StructField("payload", T.StringType()),
     ]
 )
 _ROW = Row(*OUTPUT.fieldNames())
+_WIDE = np.longdouble  # sums are differences of running totals, so they are kept longer than a double
 
 
 class EntityHistory(StatefulProcessor):
-    def __init__(self, windows: Mapping[str, int] = WINDOWS_US, lateness_us: int = LATENESS_US) -> None:
-        self.windows = dict(windows)
+    def __init__(self, windows: Mapping[str, int] = WINDOWS_US, lateness_us: int = LATENESS_US, bucket_us: int = BUCKET_US) -> None:
+        self.windows, self.bucket_us = dict(windows), bucket_us
         self.keep_us = max(self.windows.values()) + lateness_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "n bigint, mean double, m2 double, last_us bigint")
-        self.recent = handle.getListState("recent", "us bigint, seq bigint, id string, amount double")
+        moments = "n bigint, total double, mean double, m2 double, last_us bigint"
+        self.older = handle.getValueState("older", f"{moments}, timer bigint")
+        self.moments = handle.getMapState("moments", "bucket bigint", moments)
+        self.rows = handle.getMapState("rows", "bucket bigint", "us binary, seq binary, amount binary, ids string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, mean, m2, last = 0, 0.0, 0.0, None
-        if self.totals.exists():
-            n, mean, m2, last = self.totals.get()
         # The micro-batch is bounded by the source's per-trigger limit.
-        fresh, payloads = [], {}
-        for r in rows:
-            fresh.append((r.us, r.seq, r.transaction_id, r.amount, True))
-            payloads[r.transaction_id] = r.payload
-        entries = sorted([(*r, False) for r in self.recent.get()] + fresh)
-        times = np.array([e[0] for e in entries], dtype=np.int64)
-        running = np.concatenate([[0.0], np.cumsum([e[3] for e in entries])])
-        starts = {w: np.searchsorted(times, times - width, "left") for w, width in self.windows.items()}
-        for i, (us, _, row_id, amount, is_new) in enumerate(entries):
-            if not is_new:
-                continue
-            values: list[object] = []
-            for w in self.windows:
-                start = int(starts[w][i])
-                values += [i - start, float(running[i] - running[start]) if i > start else 0.0]
-            std = sqrt(m2 / (n - 1)) if n > 1 else 0.0
-            late = last is not None and us < last
-            yield _ROW(key[0], key[1], row_id, us, amount, n, mean, std, last, *values, late, payloads[row_id])
-            n += 1
-            delta = amount - mean
-            mean += delta / n
-            m2 += delta * (amount - mean)
-            last = us if last is None else max(last, us)
-        keep = int(np.searchsorted(times, last - self.keep_us, "left"))
-        self.recent.put([e[:4] for e in entries[keep:]])
-        self.totals.update((n, mean, m2, last))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.keep_us) // 1000)
+        fresh = [(r.us, r.seq, r.transaction_id or "", r.amount, r.transaction_id, r.payload) for r in rows]
+        older = tuple(self.older.get()) if self.older.exists() else (0, 0.0, 0.0, 0.0, None, None)
+        known = {k[0]: tuple(v) for k, v in self.moments.iterator()}
+        seen = max([m[4] for m in known.values()], default=older[4])
+        us, seq, ids, amount, new = self._with_stored(fresh, known)
+        bucket = us // self.bucket_us
+        touched = np.unique(bucket[new >= 0])
+        for b in touched.tolist():
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            known[b] = _moments(us[lo:hi], amount[lo:hi])
+        columns = self._as_of(us, bucket, amount, np.flatnonzero(new >= 0), known, older)
+        at = new[new >= 0].tolist()
+        for i, values in zip(at, zip(*columns)):
+            row_us, row_seq, _, row_amount, row_id, payload = fresh[i]
+            late = seen is not None and row_us < seen
+            yield _ROW(key[0], key[1], row_id, row_us, row_seq, row_amount, *values, late, payload)
+        for b in touched.tolist():
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            self.moments.updateValue((b,), known[b])
+            self.rows.updateValue((b,), (us[lo:hi].tobytes(), seq[lo:hi].tobytes(), amount[lo:hi].tobytes(), json.dumps(ids[lo:hi])))
+        self._expire(older, known, max(m[4] for m in known.values()) - self.keep_us)
+
+    def _with_stored(self, fresh: list[tuple], known: Mapping[int, tuple]):
+        """Times, sequence numbers, ids and amounts of the new rows and of the stored rows in their buckets and at their windows' edges, in the total order;
+        ``new``: a row's place in ``fresh``, or -1.
+        """
+        times = np.array([f[0] for f in fresh], dtype=np.int64)
+        wanted = set((times // self.bucket_us).tolist()).union(*[((times - w) // self.bucket_us).tolist() for w in self.windows.values()])
+        stored = [self.rows.getValue((b,)) for b in sorted(wanted & known.keys())]
+        us, seq = (np.concatenate([own, *[np.frombuffer(bytes(s[i]), dtype=np.int64) for s in stored]]) for i, own in ((0, times), (1, np.array([f[1] for f in fresh], dtype=np.int64))))
+        amount = np.concatenate([np.array([f[3] for f in fresh]), *[np.frombuffer(bytes(s[2]), dtype=np.float64) for s in stored]])
+        ids = [f[2] for f in fresh] + [i for s in stored for i in json.loads(s[3])]
+        order = np.lexsort((np.array(ids), seq, us))
+        new = np.where(order < len(fresh), order, -1)
+        return us[order], seq[order], [ids[i] for i in order.tolist()], amount[order], new
+
+    def _as_of(self, us: np.ndarray, bucket: np.ndarray, amount: np.ndarray, at: np.ndarray, known: Mapping[int, tuple], older: tuple) -> list[list]:
+        """History columns of the rows at places ``at``."""
+        names = np.array(sorted(known), dtype=np.int64)
+        n, total, mean, m2, last = (np.array([known[b][i] for b in names.tolist()], dtype=np.int64 if i in (0, 4) else _WIDE) for i in range(5))
+        upto = lambda x, first=0: np.concatenate([np.full(1, first, x.dtype), first + np.cumsum(x)])
+        centre = (total.sum() + older[1]) / max(1, int(n.sum()) + older[0])
+        n_upto, sum_upto = upto(n), upto(total)
+        dev_upto = upto(n * (mean - centre), older[0] * (_WIDE(older[2]) - centre))
+        square_upto = upto(m2 + n * (mean - centre) ** 2, _WIDE(older[3]) + older[0] * (_WIDE(older[2]) - centre) ** 2)
+        row_sum, row_dev, row_square = upto(amount.astype(_WIDE)), upto(amount - centre), upto((amount - centre) ** 2)
+        own = np.searchsorted(names, bucket[at])  # the row's bucket among all buckets
+        begin = np.searchsorted(bucket, bucket[at])  # and its first row among the loaded rows
+        n_prior = older[0] + n_upto[own] + at - begin
+        sum_prior = older[1] + sum_upto[own] + row_sum[at] - row_sum[begin]
+        dev, square = dev_upto[own] + row_dev[at] - row_dev[begin], square_upto[own] + row_square[at] - row_square[begin]
+        some = np.maximum(n_prior, 1)
+        variance = np.maximum(square - dev**2 / some, 0) / np.maximum(n_prior - 1, 1)
+        before = np.where(own > 0, last[np.maximum(own - 1, 0)], -1 if older[4] is None else older[4])
+        previous = np.where(at > begin, us[np.maximum(at - 1, 0)], before)
+        out = [n_prior.tolist(), np.where(n_prior > 0, sum_prior / some, 0).astype(np.float64).tolist(),
+               np.where(n_prior > 1, np.sqrt(variance), 0).astype(np.float64).tolist(), [None if k == 0 else p for p, k in zip(previous.tolist(), n_prior.tolist())]]
+        for width in self.windows.values():
+            since = us[at] - width
+            edge = since // self.bucket_us
+            first = np.searchsorted(us, since)
+            # the edge's rows up to its end, then whole buckets, then the row's own up to it; or rows of one bucket
+            end, one = np.searchsorted(bucket, edge, side="right"), edge == bucket[at]
+            after = np.searchsorted(names, edge, side="right")
+            n_edge, s_edge = np.maximum(end - first, 0), np.where(end > first, row_sum[end] - row_sum[first], 0)
+            count = np.where(one, at - first, n_edge + n_upto[own] - n_upto[after] + at - begin)
+            value = np.where(one, row_sum[at] - row_sum[first], s_edge + sum_upto[own] - sum_upto[after] + row_sum[at] - row_sum[begin])
+            out += [count.tolist(), np.where(count > 0, value, 0).astype(np.float64).tolist()]
+        return out
+
+    def _expire(self, older: tuple, known: dict[int, tuple], before_us: int | None) -> None:
+        """Merge buckets that end before ``before_us`` (all, if None) into the older moments."""
+        gone = sorted(b for b in known if before_us is None or (b + 1) * self.bucket_us <= before_us)
+        moments, timer = older[:5], older[5]
+        for b in gone:
+            moments = _merged(moments, known.pop(b))
+            self.moments.removeKey((b,))
+            self.rows.removeKey((b,))
+        if known and timer is None:
+            timer = (max(m[4] for m in known.values()) + self.keep_us) // 1000
+            self.handle.registerTimer(timer)
+        if gone or timer != older[5]:
+            self.older.update((*moments, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.recent.clear()
+        older, known = tuple(self.older.get()), {k[0]: tuple(v) for k, v in self.moments.iterator()}
+        older = (*older[:5], None)
+        quiet = max([m[4] for m in known.values()], default=0) + self.keep_us <= expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
+        self.older.update(older)
+        self._expire(older, known, None if quiet else max(m[4] for m in known.values()) - self.keep_us)
         return iter(())
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        """ST6: start from the batch snapshot of history."""
-        self.totals.update((initialState.txn_count, initialState.mean_amount, initialState.m2_amount, initialState.last_us))
+        """ST6: one row of ``entity_state.bucketed`` a call: a bucket, or (without a number) everything before the first."""
+        s = initialState
+        found = (s.n, s.total, s.mean, s.m2, s.last_us)
+        if s.bucket is None:
+            self.older.update((*found, None))
+            return
+        rows = sorted((r["us"], r["seq"], r["id"], r["amount"]) for r in s.rows)
+        us, seq, amount = (np.array([r[i] for r in rows], dtype=t) for i, t in ((0, np.int64), (1, np.int64), (3, np.float64)))
+        self.moments.updateValue((s.bucket,), found)
+        self.rows.updateValue((s.bucket,), (us.tobytes(), seq.tobytes(), amount.tobytes(), json.dumps([r[2] for r in rows])))
 
     def close(self) -> None:
         pass
 
 
+def _moments(us: np.ndarray, amount: np.ndarray) -> tuple[int, float, float, float, int]:
+    wide = amount.astype(_WIDE)
+    mean = wide.sum() / len(wide)
+    return len(us), float(wide.sum()), float(mean), float(((wide - mean) ** 2).sum()), int(us[-1])
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Moments of two disjoint sets of rows together."""
+    if not a[0]:
+        return b
+    n, delta = a[0] + b[0], b[2] - a[2]
+    return n, a[1] + b[1], a[2] + delta * b[0] / n, a[3] + b[3] + delta * delta * a[0] * b[0] / n, max(a[4], b[4])
+
+
 def stream_history(transactions: DataFrame, lateness: str = "1 hour", payload: str | None = None, initial: DataFrame | None = None) -> DataFrame:
     """History columns of every (transaction, entity) on a stream of transactions.
 
     Deliveries repeat (at-least-once sources), so ids are dropped once seen within the
     watermark. ``payload`` names a text column to carry along once per transaction;
-    ``initial`` is a batch snapshot the state starts from.
+    ``initial`` is a batch snapshot (``entity_state.bucketed``) the state starts from. A
+    transaction without any key has one row, of the entity ''.
     """
     text = F.col(payload) if payload else F.lit(None).cast("string")
     marked = (
@@ -120,10 +199,12 @@ def stream_history(transactions: DataFrame, lateness: str = "1 hour", payload: s
         .withWatermark("event_timestamp", lateness)
         .dropDuplicatesWithinWatermark(["transaction_id"])
     )
-    carrier = next(iter(ENTITIES))
-    rows = entity_rows(marked, ENTITIES, ["event_timestamp", "_text"]).select(
+    keyless = F.coalesce(*[F.col(c).cast("string") for c in ENTITIES.values()]).isNull()
+    carrier = F.when(keyless, "").otherwise(F.coalesce(*[F.when(F.col(c).isNotNull(), e) for e, c in ENTITIES.items()]))
+    rows = entity_rows(marked.withColumns({"_carrier": carrier}), ENTITIES, ["event_timestamp", "_text", "_carrier"], anchor=True)
+    rows = rows.where((F.col("entity") != "") | (F.col("_carrier") == "")).select(
         "entity", "entity_id", "transaction_id", "us", "seq", "amount", "event_timestamp",
-        F.when(F.col("entity") == carrier, F.col("_text")).alias("payload"),
+        F.when(F.col("entity") == F.col("_carrier"), F.col("_text")).alias("payload"),
     )
     return rows.groupBy("entity", "entity_id").transformWithState(
         statefulProcessor=EntityHistory(),

@@ -149,15 +149,68 @@ def test_progress_of_every_batch_is_kept(spark, table, tmp_path):
 
 
 def test_initial_state_continues_history(spark, table, tmp_path):
+    """A warm start equals the batch in every column, windows included."""
     src = str(tmp_path / "in")
     old, new = table.where("transaction_sequence_id < 100"), table.where("transaction_sequence_id BETWEEN 100 AND 149")
     messages(strip_labels(new)).coalesce(1).write.json(src)
-    stream = stream_history(ingest.accepted(ingest.validate_messages(read_folder(spark, src))), initial=entity_state.snapshot(old))
+    stream = stream_history(ingest.accepted(ingest.validate_messages(read_folder(spark, src))), initial=entity_state.bucketed(old, keep_us=200 * 3_600_000_000))
     run_state(stream, tmp_path)
-    want = velocity.entity_history(velocity.entity_rows(old.unionByName(new)), None, strategy="windows").join(new.select("transaction_id"), "transaction_id", "left_semi")
-    joined = spark.read.parquet(str(tmp_path / "rows")).alias("a").join(want.alias("b"), ["transaction_id", "entity", "entity_id"])
-    assert joined.count() == 300
-    assert joined.where("a.n_prior <> b.n_prior OR abs(a.avg_prior - b.avg_prior) > 1e-9 OR abs(a.std_prior - b.std_prior) > 1e-6 OR NOT a.prev_us <=> b.prev_us").count() == 0
+    want = velocity.entity_history(velocity.entity_rows(old.unionByName(new)), WINDOWS_US, strategy="windows").join(new.select("transaction_id"), "transaction_id", "left_semi")
+    assert_same_history(spark.read.parquet(str(tmp_path / "rows")), want, 300)
+
+
+def test_time_before_the_buckets_is_one_row_a_key(spark, table):
+    rows = entity_state.bucketed(table, keep_us=36 * 3_600_000_000).where("entity = 'customer'")
+    whole = entity_state.snapshot(table).where("entity = 'customer'")
+    assert rows.where("bucket IS NULL").count() == rows.where("bucket IS NULL").select("entity_id").distinct().count() > 0
+    again = rows.groupBy("entity_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_us").alias("last_us"))
+    joined = again.join(whole, "entity_id")
+    assert joined.count() == whole.count() and joined.where("n <> txn_count OR abs(total - amount_sum) > 1e-6").count() == 0
+
+
+def late_feed(table, src):
+    """Rows of one day; in the second delivery come some that lie between rows of the first, inside the lateness."""
+    first = table.where("transaction_sequence_id < 120 AND transaction_sequence_id % 4 <> 1")
+    messages(strip_labels(first)).coalesce(1).write.mode("append").json(src)
+    time.sleep(1.05)
+    messages(strip_labels(table.where("transaction_sequence_id < 120 AND transaction_sequence_id % 4 = 1"))).coalesce(1).write.mode("append").json(src)
+    time.sleep(1.05)
+    messages(strip_labels(table.where("transaction_sequence_id BETWEEN 120 AND 159"))).coalesce(1).write.mode("append").json(src)
+    return first
+
+
+def test_late_rows_equal_batch(spark, table, tmp_path):
+    src = str(tmp_path / "in")
+    first = late_feed(table, src)
+    # the whole day lies inside the lateness
+    run_state(stream_history(ingest.accepted(ingest.validate_messages(read_folder(spark, src, 1))), "60 days"), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    part = table.where("transaction_sequence_id < 160")
+    full = velocity.entity_history(velocity.entity_rows(part), WINDOWS_US, strategy="windows")
+    late = part.where("transaction_sequence_id < 120 AND transaction_sequence_id % 4 = 1 OR transaction_sequence_id >= 120").select("transaction_id")
+    assert_same_history(got.join(late, "transaction_id", "left_semi"), full.join(late, "transaction_id", "left_semi"), late.count() * 6)
+    early = velocity.entity_history(velocity.entity_rows(first), WINDOWS_US, strategy="windows")
+    assert_same_history(got.join(first.select("transaction_id"), "transaction_id", "left_semi"), early, first.count() * 6)
+    assert got.where("prev_us > us").count() == 0 and got.where("out_of_order").count() > 0
+
+
+def test_buckets_expire_and_history_goes_on(spark, txns, tmp_path):
+    """Rows far apart: the state holds few buckets, and prior statistics still equal the batch."""
+    start, src = dt.datetime(2026, 1, 1), str(tmp_path / "in")
+    rows = strip_labels(txns([{"event_timestamp": start + dt.timedelta(days=d, hours=h), "amount": 1e9 if d == 0 else 0.01 * (d + h)} for d in range(0, 60, 3) for h in (0, 1, 30)]))
+    for d in range(0, 60, 15):
+        piece = rows.where(F.col("event_timestamp").between(start + dt.timedelta(days=d), start + dt.timedelta(days=d + 14, hours=23)))
+        messages(piece).coalesce(1).write.mode("append").json(src)
+        time.sleep(1.05)
+    run_state(stream_history(ingest.accepted(ingest.validate_messages(read_folder(spark, src, 1))), "1 day"), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    want = velocity.entity_history(velocity.entity_rows(rows), WINDOWS_US, strategy="windows")
+    assert got.count() == want.count()
+    cols = ["n_prior", "prev_us", "n_1h", "n_24h", "n_7d", F.round("sum_24h", 4).alias("s24"), F.round("sum_7d", 4).alias("s7")]
+    small = "us >= " + str(int((start + dt.timedelta(days=9)).replace(tzinfo=dt.UTC).timestamp() * 1e6))
+    assert got.where(small).select("transaction_id", "entity", *cols).exceptAll(want.where(small).select("transaction_id", "entity", *cols)).count() == 0
+    buckets = spark.read.format("statestore").option("stateVarName", "moments").load(str(tmp_path / "cp"))
+    assert buckets.where("user_map_value IS NOT NULL").groupBy("key").count().agg(F.max("count")).first()[0] <= 9 * 24
 
 
 def test_stream_scores_equal_batch_scores(spark, table, tmp_path):
@@ -176,6 +229,29 @@ def test_stream_scores_equal_batch_scores(spark, table, tmp_path):
     assert topics["transactions.scored"] == 200 and topics.get("fraud.alerts", 0) == topics.get("fraud.blocked", 0)
 
 
+def test_every_message_is_scored_late_or_dead(spark, table, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    part = table.where("transaction_sequence_id < 300")
+    encoder = encode.FrequencyEncoder.fit(part)
+    scorer = Scorer(training.fit_logistic(feature_table(part, encoder, keep=["true_fraud_label"]), ENGINEERED, max_iter=5), encoder)
+    pieces = [messages(strip_labels(part.where(w))) for w in ("transaction_sequence_id BETWEEN 200 AND 259", "transaction_sequence_id BETWEEN 260 AND 299 OR transaction_sequence_id < 7")]
+    for piece in (pieces[0], pieces[1].unionByName(pieces[1].limit(3).withColumn("value", F.lit("{broken")))):
+        piece.coalesce(1).write.mode("append").json(src)
+        time.sleep(1.05)
+    for _ in range(2):  # the second run finds nothing new
+        jobs.screening_job(read_folder(spark, src, 1), out, str(tmp_path / "cp1")).awaitTermination()
+        jobs.scoring_job(jobs.read_accepted(spark, out, 1), scorer, out, str(tmp_path / "cp2")).awaitTermination()
+        marks = spark.read.parquet(f"{out}/marks").orderBy("batch_id").collect()
+        assert [(m.n_in, m.n_accepted, m.n_late, m.n_dead) for m in marks] == [(60, 60, 0, 0), (50, 40, 7, 3)]
+        late = spark.read.parquet(f"{out}/late")
+        assert late.count() == 7 and late.where("decision = 'REVIEW' AND behind_us > 3600000000").count() == 7
+        assert spark.read.parquet(f"{out}/scored").count() == 100 and spark.read.json(f"{out}/dead_letter").count() == 3
+        topics = {r["topic"]: r["count"] for r in spark.read.json(f"{out}/late_topics").groupBy("topic").count().collect()}
+        assert topics == {"transactions.scored": 7, "fraud.review": 7}
+        audit = spark.read.parquet(f"{out}/audit")
+        assert audit.count() == 100 and audit.where("latency_ms > 0").count() == 100
+
+
 def test_monitoring_and_gap_streams_equal_batch(spark, table, tmp_path):
     decide(scored(spark, SMALL)).write.parquet(str(tmp_path / "scored"))
     static = spark.read.parquet(str(tmp_path / "scored"))
@@ -211,3 +287,6 @@ def test_routing_and_audit_append(spark, tmp_path):
     for _ in range(2):
         append_audit(audit_rows(df, "v1"), str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 6
+    for day in ("2026-01-01", "2026-01-02"):  # a batch that is repeated after midnight
+        append_audit(audit_rows(df, "v1").withColumn("scored_at", F.lit(day).cast("timestamp")), str(tmp_path / "by_batch"), 4)
+    assert spark.read.parquet(str(tmp_path / "by_batch")).count() == 3

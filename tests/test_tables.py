@@ -256,3 +256,22 @@ def test_gates_take_their_evidence_from_results(spark):
     moved = spark.createDataFrame([(float(i + 80),) for i in range(100)], "a double")
     assert G.promotion_evidence(better, D.check_drift(base, base, ["a"]), ["log_amount"]) == {"has_calibration": True, "has_drift": False, "has_leakage": False}
     assert G.promotion_evidence(worse, D.check_drift(base, moved, ["a"]), ["true_fraud_label"]) == {"has_calibration": False, "has_drift": True, "has_leakage": True}
+
+
+def test_context_keeps_rows_that_share_an_id_or_have_no_key(spark, txns):
+    start = dt.datetime(2026, 1, 1)
+    keys = [f"{e}_id" for e in ("customer", "account", "card", "merchant", "device", "ip")]
+    at = lambda h: start + dt.timedelta(hours=h)
+    rows = L.strip_labels(txns([
+        {"transaction_id": "a", "event_timestamp": at(1)}, {"transaction_id": "a", "event_timestamp": at(3)}, {"transaction_id": "a", "event_timestamp": at(3)},
+        {"transaction_id": "b", "event_timestamp": at(2), **dict.fromkeys(keys)}, {"transaction_id": None, "event_timestamp": at(5)}]))
+    rows = rows.withColumn("transaction_sequence_id", F.lit(7))
+    key = rows.where("card_id IS NOT NULL").first()["card_id"]
+    us = lambda h: int(at(h).replace(tzinfo=dt.UTC).timestamp() * 1e6)
+    versions = spark.createDataFrame([("card", key, us(2), 0, 1.5), ("card", key, us(3), 0, 2.5), ("card", key, us(3), 9, 3.5), ("card", key, us(9), 0, 9.5), ("card", "other", us(0), 0, 0.5)],
+                                     "entity string, entity_id string, us long, seq long, value double")
+    found = sorted(((r.transaction_id or "", r.us, r.card_value, r.customer_value) for r in ES.context_as_of(rows, versions, ["value"]).collect()))
+    assert found == sorted([("a", us(1), None, None), ("a", us(3), 3.5, None), ("a", us(3), 3.5, None), ("b", us(2), None, None), ("", us(5), 3.5, None)])
+    state = spark.createDataFrame([("card", key, 4)], "entity string, entity_id string, n long")
+    latest = [(r.transaction_id or "", r.card_n) for r in ES.transaction_context(rows, state, ["n"]).collect()]
+    assert sorted(latest, key=repr) == sorted([("a", 4), ("a", 4), ("a", 4), ("b", None), ("", 4)], key=repr)
