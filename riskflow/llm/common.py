@@ -24,8 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Settings of the C library and of Arrow for Python workers: blocks of a megabyte and more go back to the system when they are freed, so that
+#: a worker that waits for its next task holds little.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver does; on a cluster it is installed or sent there."""
+    """Python workers import this package from where the driver does; on a cluster it is installed or sent there. Their memory settings, unless the session has its own."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root, known = str(Path(__file__).parents[2]), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))

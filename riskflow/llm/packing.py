@@ -161,6 +161,7 @@ def pieces(docs: DataFrame, path: str, size: int = LENGTH) -> DataFrame:
                 cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                 out += [(doc_id, i, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             yield rows_out(PIECES, zip(*out) if out else [[]] * 5)
+        code.forget()  # an idle worker holds the vocabulary alone
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

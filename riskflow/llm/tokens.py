@@ -70,12 +70,12 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = fast_tokenizer(path)
         (self.feed,) = self._ids("\n")
-        self._forget()
+        self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slots = self.used = self.held = 0
         self.spaced, self.whole = Slots(self), Slots(self)  # pieces that follow a space, without it; other pieces
         self.ids = np.zeros(1 << 16, dtype=np.int32)
@@ -131,7 +131,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the text at once."""
         if self.held > REMEMBERED_BYTES:
-            self._forget()
+            self.forget()
         cut = []
         for text in texts:
             first, *rest = text.replace("\n", " \n").split(" ")
