@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Labelled rows a classifier is fitted on at most: those with the smallest hash of their id.
 SAMPLE = 20_000
 FOLDS = 5
+#: Partitions of the sample, whatever the table has: a step of a fit sends the driver one vector from each.
+PARTS = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -23,4 +25,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), label.cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return own.join(F.broadcast(chosen), "doc_id")
+    return own.join(F.broadcast(chosen), "doc_id").repartition(PARTS, F.xxhash64("doc_id"))
