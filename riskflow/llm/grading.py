@@ -23,8 +23,9 @@ from riskflow.session import freeze
 BUCKETS = 1 << 14
 PENALTY = 1e-4
 STEPS = 40
-#: Distinct words a worker remembers.
+#: Distinct words a worker remembers, and their greatest length; longer ones are hashed again.
 REMEMBERED = 400_000
+MEMORABLE = 32
 SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
@@ -47,7 +48,10 @@ class Hasher:
             for pattern, sign in SHAPES:
                 shape = pattern.sub(sign, shape)
             bucket = lambda kind, s: xxhash.xxh32_intdigest(kind + s.encode("utf-8", "surrogatepass")) % BUCKETS
-            self.known[word] = bucket(b"w", word.lower()[:64]), bucket(b"s", shape[:16])
+            found = bucket(b"w", word.lower()), bucket(b"s", shape)
+            if len(word) > MEMORABLE:
+                return found
+            self.known[word] = found
         return self.known[word]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

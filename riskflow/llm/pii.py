@@ -74,7 +74,8 @@ def base_spans(text: str) -> list[Span]:
 CANDIDATES = (
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("number", re.compile(r"(?<![0-9A-Za-z.,+-])[0-9](?:[\x20./-]?[0-9]){6,}+(?![0-9A-Za-z])")),
+    # a run that fails is taken whole (group 1), or each of its digits would begin it anew
+    ("number", re.compile(r"(?<![0-9A-Za-z.,+-])(?:[0-9](?:[\x20./-]?[0-9]){6,}+(?![0-9A-Za-z])|([0-9](?:[\x20./-]?[0-9])*+))")),
     ("person", re.compile(r"(?<!\w)[A-Z][a-zà-öø-ÿ]{1,20}\x20[A-Z][a-zà-öø-ÿ]{1,20}(?:\x20[A-Z][a-zà-öø-ÿ]{1,20})?(?!\w)")),
     ("address", re.compile(r"(?<!\w)[0-9]{1,5}\x20[A-Z][a-zà-öø-ÿ]{1,20}(?:\x20[A-Z][a-zà-öø-ÿ]{1,20}){1,2}(?!\w)")),
 )
@@ -153,6 +154,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     for kind, pattern in CANDIDATES:
         new = []
         for m in pattern.finditer(text):
+            if m.lastindex:
+                continue
             s, e = m.span()
             i = bisect_right(starts, s)
             if (i == 0 or ends[i - 1] <= s) and (i == len(starts) or starts[i] >= e):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,9 +259,17 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" * 100_000, "@" * 300_000, "Hash Hash " * 30_000, "A1" * 100_000, "_" * 200_000):
+    for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" * 100_000, "@" * 300_000, "Hash Hash " * 30_000, "A1" * 100_000, "_" * 200_000, "1 " * 100_000 + "9a"):
+        began = time.monotonic()
         base = pii.base_spans(t)
         pii.candidates(t, base)
+        assert time.monotonic() - began < 5, t[:8]
+
+
+def test_words_are_hashed_whole():
+    hashed = grading.Hasher()
+    assert hashed.of("x" * 80 + "a")[0] != hashed.of("x" * 80 + "b")[0] and hashed.of("a1" * 20)[1] != hashed.of("a1" * 20 + "!")[1]
+    assert not hashed.known and hashed.of("word") == hashed.known["word"]
 
 
 def test_personal_data_of_rows(docs_of, awkward):

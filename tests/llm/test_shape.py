@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +163,22 @@ def test_deep_pages_do_not_recurse():
     assert html.article(root) == "deep"
 
 
+def test_broken_pages_take_linear_time():
+    for source in ("<div>" * 20_000 + "</b>" * 20_000 + "x", "<" + "a" * 200_000, "<b>" * 20_000 + "<hr>" * 20_000 + "x", "<td>" + "<b>" * 20_000 + "</div>" * 20_000 + "x"):
+        began = time.monotonic()
+        html.settle(html.parse(source))
+        assert time.monotonic() - began < 3
+
+
+def test_templates_of_a_section_go(spark):
+    box = {s: f"<div>The {s} desk answers your letters every day.</div>" for s in ("news", "sport", "arts")}
+    rows = [(i, f"http://h.example/{s}/{i}", f"<body><div><p>Story {i} of the {s} pages, told in full.</p>{box[s]}</div></body>") for i, s in enumerate(list(box) * 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (10**6, 0):
+        got = {r.page_id: r.text for r in html.extract(df, limit=limit).collect()}
+        assert got == {i: f"Story {i} of the {s} pages, told in full." for i, s in enumerate(list(box) * 6)}
+
+
 def test_templates_go_on_both_paths(docs_of, spark):
     rows = [(i, f"http://h.example/{i}", page(i, f"<div><p>The story number {i} is told here at some length.</p><p>And it goes on.</p><p>Our motto stands below every story.</p></div>"), "x") for i in range(8)]
     same = page(0, "<div><p>One story under many addresses, told at length.</p></div>")
@@ -211,6 +228,9 @@ def test_run_equals_the_operators_one_after_another(spark, docs_of, awkward, tmp
     ("<body><article><p>Teaser.</p></article><main><p>The long text of this page.</p></main></body>", "Teaser.\nThe long text of this page."),
     ("<body><div class='content'><p>One.</p></div><nav>n</nav><div class='content'><p>Two, longer.</p></div></body>", "One.\nTwo, longer."),
     ("<body><nav>n</nav><div><div><p>Short.</p></div><div><p>A longer paragraph.</p></div></div><footer>x</footer></body>", "Short.\nA longer paragraph."),
+    ("<body><nav>n</nav><div><div class='content'><p>Teaser.</p></div><div><p>The story in a div without a name.</p></div></div><footer>x</footer></body>", "Teaser.\nThe story in a div without a name."),
+    ("<body><nav>n</nav><article><p>Told in part.</p></article><div>" + "Bare words of the story. " * 5 + "</div><footer>x</footer></body>", "Told in part.\n" + ("Bare words of the story. " * 5).strip()),
+    ("<body><article><p class='byline'>By A. Writer</p><p>Sum: <math><mi>x</mi></math></p><div class='legal'>The law says so.</div></article></body>", "By A. Writer\nSum: x\nThe law says so."),
 ])
 def test_all_content_elements_of_a_page_are_kept(source, text):
     root = html.parse(source)
