@@ -19,7 +19,10 @@ from riskflow.functions.buckets import bucket
 from riskflow.functions.prefix import ordered_totals, running_totals, unit_cells
 from riskflow.operators.metrics import fraud_metrics, ratio, score_groups
 
-_DRAW_EXACT_UP_TO = 30
+#: Up to this mean a draw is the sum of draws of mean 1; beyond, one by rejection.
+SUMMED_UP_TO = 30
+#: Proposals of a draw; each is refused less than once in six, so that all are is less likely than 1e-49.
+PROPOSALS = 64
 
 
 def _poisson1_cdf(terms: int = 16) -> list[float]:
@@ -42,17 +45,42 @@ def poisson1(*parts: Column) -> Column:
     return bucket(uniform(*parts), _CDF)
 
 
+def _log_relative(k: Column, n: Column) -> Column:
+    """Logarithm of the Poisson(n) probability of ``k``; from its distance to n, so that nothing cancels where both are large."""
+    least = F.greatest(k, F.lit(10.0))
+    stirling = 1 / (12 * least) - 1 / (360 * least**3) + 1 / (1260 * least**5) - 1 / (1680 * least**7)
+    far = k - n - k * F.log1p((k - n) / n) - 0.5 * F.log(2 * math.pi * least) - stirling
+    factorials = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)])
+    return F.when(k >= 10, far).otherwise(k * F.log(n) - n - F.element_at(factorials, (k + 1).cast("int")))
+
+
+def _rejected(n: Column, *parts: Column) -> Column:
+    """Poisson(n) for n beyond 10 by transformed rejection: proposals under a hat of fixed shape, the first that the exact probability accepts."""
+    b = 0.931 + 2.53 * F.sqrt(n)
+    a = -0.059 + 0.02483 * b
+    inverse_alpha, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6624 / (b - 2)
+
+    def proposal(i: Column) -> Column:
+        u, v = uniform(*parts, i, F.lit("u")) - 0.5, 1.0 - uniform(*parts, i, F.lit("v"))
+        us = 0.5 - F.abs(u) + F.lit(2.0**-54)
+        k = F.floor((2 * a / us + b) * u + n + 0.43).cast("double")
+        inner = (us >= 0.07) & (v <= squeeze)
+        outer = (k < 0) | ((us < 0.013) & (v > us))
+        under = F.log(v * inverse_alpha / (a / (us * us) + b)) <= _log_relative(k, n)
+        return F.when(inner | (~outer & under), k)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PROPOSALS)), F.lit(None).cast("double"), lambda found, i: F.when(found.isNotNull(), found).otherwise(proposal(i)))
+
+
 def poisson(n: Column, *parts: Column) -> Column:
-    """Poisson(n): the sum of n draws while n is small, a rounded normal draw (with its
-    skewness term) beyond, where the two differ less than the interval's own noise."""
+    """Poisson(n) from hashes of ``parts``: n draws of mean 1 added up while n is small, one draw by rejection beyond; both have the exact distribution."""
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.least(n, F.lit(_DRAW_EXACT_UP_TO)).cast("int")),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(SUMMED_UP_TO))).cast("int")),
         F.lit(0),
         lambda acc, i: acc + poisson1(*parts, i),
     )
-    z = F.sqrt(-2.0 * F.log(1.0 - uniform(*parts, F.lit("r")))) * F.cos(2.0 * math.pi * uniform(*parts, F.lit("a")))
-    wide = F.greatest(F.round(n + F.sqrt(n.cast("double")) * z + (z * z - 1.0) / 6.0), F.lit(0.0))
-    return F.when(n <= 0, F.lit(0)).when(n <= _DRAW_EXACT_UP_TO, drawn).otherwise(wide).cast("bigint")
+    wide = _rejected(n.cast("double"), *parts)
+    return F.when(n <= 0, F.lit(0)).when(n <= SUMMED_UP_TO, drawn).otherwise(wide).cast("bigint")
 
 
 def replicates(df: DataFrame, threshold: float, n_boot: int, seed: int, row_id: str) -> DataFrame:

@@ -38,8 +38,13 @@ def gap_counters(rows: DataFrame, ttl_us: int, keys: Sequence[str] = ("entity",
     )
 
 
-def latest_values(updates: DataFrame, order: Sequence[str] = ("us", "seq")) -> DataFrame:
-    """ST3: the newest value of every (entity, feature) in a table of updates."""
+def latest_values(updates: DataFrame, order: Sequence[str] = ("us", "seq"), ttl_us: int | None = None, as_of_us: int | None = None) -> DataFrame:
+    """ST3: the newest value of every (entity, feature) in a table of updates.
+
+    With ``ttl_us`` a value expires that long after its last update; those expired at ``as_of_us`` are not returned, nor shuffled.
+    """
+    if ttl_us is not None:
+        updates = updates.where(F.col("us") > as_of_us - ttl_us)
     return updates.groupBy("entity", "entity_id", "feature").agg(F.max_by("value", F.struct(*order)).alias("value"))
 
 

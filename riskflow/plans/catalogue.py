@@ -47,6 +47,9 @@ APPROVE_BELOW, BLOCK_FROM = 0.35, 0.8
 GRID_STEPS = 30
 DRIFT_FEATURES = ["amount", "credit_limit", "customer_tenure_days", "device_age_days", "merchant_age_days"]
 GAP_US = 3_600_000_000
+DAY_US = 86_400_000_000
+#: Amounts that write the value ``last_large``.
+LARGE = 50.0
 
 
 def query(f: Query) -> Query:
@@ -369,6 +372,15 @@ def entity_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_state.latest_values(_updates(transactions(spark, sf_dir)))
 
 
+@query
+def entity_live_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that expire a day after their last update, as of the newest transaction; the large one is written by some transactions only."""
+    rows = transactions(spark, sf_dir)
+    updates = entity_state.transaction_updates(rows, {"last_country": F.coalesce("transaction_country", F.lit("")), "last_large": F.when(F.col("amount") >= LARGE, F.col("transaction_id"))})
+    newest = rows.agg(F.max(F.unix_micros("event_timestamp"))).first()[0]
+    return entity_state.latest_values(updates.where("value IS NOT NULL"), ttl_us=DAY_US, as_of_us=newest)
+
+
 @query
 def entity_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = entity_state.feature_maps(entity_state.latest_values(_updates(transactions(spark, sf_dir))))

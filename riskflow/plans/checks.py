@@ -460,6 +460,11 @@ UNION ALL SELECT 'outlier_fraud_separation', CASE WHEN SUM(true_fraud_label) FIL
         "session_counters": f"""WITH {TXNS}, u AS ({entity_union()}), g AS (SELECT *, CASE WHEN us - LAG(us) OVER w < {GAP_US} THEN 0 ELSE 1 END AS starts FROM u WINDOW w AS (PARTITION BY entity, entity_id ORDER BY us, seq)),
 n AS (SELECT *, SUM(starts) OVER (PARTITION BY entity, entity_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT entity, entity_id, {big('session')} AS session, MIN(us) AS start_us, MAX(us) AS end_us, COUNT(*) AS txn_count, {r('SUM(amount)', 3)} AS amount_sum FROM n GROUP BY entity, entity_id, session""",
+        "entity_live_values": f"""WITH {TXNS}, u AS ({entity_union(extra=", transaction_country")}),
+f AS (SELECT entity, entity_id, us, seq, 'last_country' AS feature, COALESCE(transaction_country, '') AS value FROM u
+  UNION ALL SELECT entity, entity_id, us, seq, 'last_large', transaction_id FROM u WHERE amount >= 50)
+SELECT entity, entity_id, feature, value FROM f WHERE entity_id IS NOT NULL
+QUALIFY ROW_NUMBER() OVER (PARTITION BY entity, entity_id, feature ORDER BY us DESC, seq DESC) = 1 AND us + 86400000000 > (SELECT MAX(epoch_us(event_timestamp)) FROM t)""",
         "entity_latest": f"{LATEST} SELECT entity, entity_id, feature, value FROM l",
         "entity_feature_map": f"{LATEST} SELECT entity, entity_id, string_agg(feature || '=' || value, ';' ORDER BY feature) AS features FROM l GROUP BY entity, entity_id",
         "entity_snapshot": f"WITH {TXNS} SELECT entity, entity_id, COUNT(*) AS txn_count, {r('SUM(amount)', 3)} AS amount_sum, {r('AVG(amount)', 3)} AS mean_amount, {r('VAR_POP(amount) * COUNT(*)', 1)} AS m2_amount, MAX(us) AS last_us FROM ({entity_union()}) GROUP BY entity, entity_id",

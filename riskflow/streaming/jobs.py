@@ -126,7 +126,7 @@ def gap_counter_stream(transactions: DataFrame, ttl_us: int = 3_600_000_000, lat
 
 
 def latest_value_stream(updates: DataFrame) -> DataFrame:
-    """ST3 on a stream (update mode): the newest value of every (entity, feature)."""
+    """ST3 on a stream (update mode): the newest value of every (entity, feature), kept for good; ``streaming.state.live_values`` lets them expire."""
     return updates.groupBy("entity", "entity_id", "feature").agg(
         F.max_by("value", F.struct("us", "seq")).alias("value"), F.max("us").alias("us")
     )

@@ -1,4 +1,4 @@
-"""ST1: entity state on a stream, one keyed processor for all entities.
+"""ST1, ST3: entity state on a stream, one keyed processor for all entities.
 
 State per key: for each hour bucket of the last seven days (and the permitted lateness) its rows and their count, sum, mean, squared
 deviation and last time, and the same moments of everything before. A row reads them as of its own time: moments of whole buckets, rows of the
@@ -213,3 +213,83 @@ def stream_history(transactions: DataFrame, lateness: str = "1 hour", payload: s
         timeMode="EventTime",
         initialState=initial.groupBy("entity", "entity_id") if initial is not None else None,
     )
+
+
+LIVE = T.StructType([
+    T.StructField("entity", T.StringType()),
+    T.StructField("entity_id", T.StringType()),
+    # All values the entity has now; empty when the last has expired.
+    T.StructField("features", T.MapType(T.StringType(), T.StringType())),
+])
+_LIVE_ROW = Row(*LIVE.fieldNames())
+
+
+class LiveValues(StatefulProcessor):
+    """ST3: the newest value of each feature of an entity, which expires ``ttl_us`` after its last update.
+
+    One event-time timer a key stands at the first time a value may expire; it removes what has expired, and moves on to the next.
+    """
+
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = handle.getMapState("values", "feature string", "value string, us bigint, seq bigint")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known, _ = self._live(timerValues.getCurrentWatermarkInMs())
+        changed = set()
+        for r in rows:
+            if r.feature not in known or (r.us, r.seq) > known[r.feature][1:]:
+                known[r.feature] = (r.value, r.us, r.seq)
+                changed.add(r.feature)
+        for feature in changed:
+            self.values.updateValue((feature,), known[feature])
+        # a timer that stands is no later than the first expiry: an accepted row's is after the watermark, and values are only renewed
+        if not self.timer.exists():
+            self._stand(known)
+        yield self._row(key, known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # all that has expired by the watermark: a timer set in the past would wait for the next micro-batch
+        known, gone = self._live(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+        self.timer.clear()
+        if known:
+            self._stand(known)
+        if gone:
+            yield self._row(key, known)
+
+    def close(self) -> None:
+        pass
+
+    def _live(self, now_ms: int) -> tuple[dict[str, tuple], list[str]]:
+        """The values that have not expired, and the names of those that have, which are removed."""
+        known = {k[0]: tuple(v) for k, v in self.values.iterator()}
+        gone = [f for f, v in known.items() if self._expiry(v) <= now_ms]
+        for feature in gone:
+            del known[feature]
+            self.values.removeKey((feature,))
+        return known, gone
+
+    def _expiry(self, value: tuple) -> int:
+        return -(-(value[1] + self.ttl_us) // 1000)
+
+    def _stand(self, known: Mapping[str, tuple]) -> None:
+        at = min(map(self._expiry, known.values()))
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _row(self, key, known: Mapping[str, tuple]) -> Row:
+        return _LIVE_ROW(key[0], key[1], {f: v[0] for f, v in known.items()})
+
+
+def live_values(updates: DataFrame, ttl_us: int, lateness: str = "1 hour") -> DataFrame:
+    """ST3, ST4 on a stream (update mode): an entity's features whenever one is written or expires, from updates ``entity, entity_id, us, seq, feature, value``.
+
+    The last row of each entity equals ``latest_values`` with the same ``ttl_us`` over all updates, as of the watermark. State holds the values
+    written in the last ``ttl_us`` and lateness only. A late update cannot replace a newer one.
+    """
+    timed = updates.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", lateness)
+    return timed.groupBy("entity", "entity_id").transformWithState(statefulProcessor=LiveValues(ttl_us), outputStructType=LIVE, outputMode="Update", timeMode="EventTime")

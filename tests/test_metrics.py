@@ -123,6 +123,33 @@ def test_poisson_weights_average_one(spark):
         assert abs(got - want) < tol
 
 
+@pytest.mark.parametrize("n", [31, 47, 300, 20_000])
+def test_large_poisson_draws_have_the_exact_distribution(spark, n):
+    size = 60_000
+    drawn = [r.k for r in spark.range(size).select(B.poisson(F.lit(n), F.col("id"), F.lit(5)).alias("k")).collect()]
+    log_p = lambda k: k * math.log(n) - n - math.lgamma(k + 1)
+    width, low = max(1, int(math.sqrt(n) / 3)), max(0, int(n - 6 * math.sqrt(n)))
+    expected, seen = {}, {}
+    for k in range(low, int(n + 6 * math.sqrt(n))):
+        expected[(k - low) // width] = expected.get((k - low) // width, 0.0) + size * math.exp(log_p(k))
+    for k in drawn:
+        seen[(k - low) // width] = seen.get((k - low) // width, 0) + 1
+    cells = [c for c in expected if expected[c] >= 8]
+    squares = sum((seen.get(c, 0) - expected[c]) ** 2 / expected[c] for c in cells)
+    assert squares < len(cells) + 4 * math.sqrt(2 * len(cells)), (squares, len(cells))
+
+
+def test_poisson_draws_of_very_large_means(spark):
+    row = spark.range(20_000).select(((B.poisson(F.lit(10**12), F.col("id")) - 10**12) / 10**6).alias("z")).agg(F.avg("z"), F.stddev("z"), F.skewness("z"), F.count("z")).first()
+    assert abs(row[0]) < 0.03 and abs(row[1] - 1) < 0.03 and abs(row[2]) < 0.08 and row[3] == 20_000
+
+
+def test_log_probabilities_equal_the_definition(spark):
+    rows = spark.createDataFrame([(float(k), float(n)) for n in (31, 1000) for k in (0, 1, 9, 10, 11, 40, 1000, 1100)], "k double, n double")
+    for r in rows.select("k", "n", B._log_relative(F.col("k"), F.col("n")).alias("got")).collect():
+        assert math.isclose(r.got, r.k * math.log(r.n) - r.n - math.lgamma(r.k + 1), rel_tol=1e-11, abs_tol=1e-10)
+
+
 def test_bootstrap_surrounds_the_estimate_and_matches_resampling(spark):
     y, p, amount = random_case(11, n=600)
     rows = {r["metric"]: r for r in B.bootstrap_ci(frame(spark, y, p, amount), 0.5, n_boot=200).collect()}

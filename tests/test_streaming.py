@@ -14,7 +14,7 @@ from riskflow.sources.fixture import scored, transactions
 from riskflow.sources.kafka import messages, read_folder, route
 from riskflow.sources.sinks import append_audit, audit_rows, label_free_feed
 from riskflow.streaming import ingest, jobs
-from riskflow.streaming.state import stream_history
+from riskflow.streaming.state import live_values, stream_history
 from tests.conftest import SMALL
 
 
@@ -290,3 +290,29 @@ def test_routing_and_audit_append(spark, tmp_path):
     for day in ("2026-01-01", "2026-01-02"):  # a batch that is repeated after midnight
         append_audit(audit_rows(df, "v1").withColumn("scored_at", F.lit(day).cast("timestamp")), str(tmp_path / "by_batch"), 4)
     assert spark.read.parquet(str(tmp_path / "by_batch")).count() == 3
+
+
+def test_values_expire_on_the_stream_as_in_the_batch(spark, tmp_path):
+    """Entities that come and go for sixty days; the state holds the last day's only, and a late update replaces nothing newer."""
+    hour, schema = 3_600_000_000, "entity string, entity_id string, us long, seq long, feature string, value string"
+    start = 20_000 * 24 * hour
+    rows = [("card", f"K{(h // 30) % 7}", start + h * hour + 5, h, f, f"{f}{h}") for h in range(0, 60 * 24, 5) for f in ("a", "b") if f == "a" or h % 3 == 0]
+    late = [("card", "K0", rows[-1][2] - hour, -1, "late", "kept"), ("card", rows[-1][1], rows[-1][2] - hour, -1, "a", "too old")]
+    pieces = [rows[i : i + len(rows) // 4 + 1] for i in range(0, len(rows), len(rows) // 4 + 1)] + [late]
+    src, newest = str(tmp_path / "in"), {}
+    for piece in pieces:
+        spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").json(src)
+        time.sleep(1.05)
+
+    def put(batch, batch_id):
+        newest.update({r.entity_id: r.features for r in batch.collect()})
+
+    stream = live_values(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src), 24 * hour, "2 hours")
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    watermark = rows[-1][2] - 2 * hour
+    batch = entity_state.latest_values(spark.createDataFrame(rows + late, schema), ttl_us=24 * hour, as_of_us=watermark)
+    want = {r.entity_id: r.features for r in entity_state.feature_maps(batch).collect()}
+    assert {k: v for k, v in newest.items() if v} == want and want["K0"]["late"] == "kept" and len(newest) == 7 and 0 < len(want) < 7
+    held = spark.read.format("statestore").option("stateVarName", "values").load(str(tmp_path / "cp"))
+    assert held.where("user_map_value IS NOT NULL").count() == sum(map(len, want.values()))
