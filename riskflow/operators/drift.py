@@ -1,7 +1,8 @@
 """Distribution change between a baseline and a target population (DRF1-8).
 
-All features are unpivoted once and counted per distinct value; PSI, Jensen-Shannon
-distance and the KS statistic are all computed from those counts.
+All features are unpivoted to rows with a count of one in their population. PSI and the
+Jensen-Shannon distance add these up in a few bins as they are read. Only the KS statistic,
+which looks at every value, needs them counted per distinct value.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskflow.config import DriftLevels
 from riskflow.functions.prefix import ordered_totals, span_unit
-from riskflow.functions.quantiles import quantiles_of
+from riskflow.functions.quantiles import refined_quantiles
 from riskflow.session import freeze
 
 EPS = 1e-4
@@ -21,22 +22,22 @@ EDGE_MARGIN = 1e-5
 MIN_VALUES = 10
 
 
-def value_counts(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(feature, v, nb, nt)`` over finite values (DRF8)."""
+def feature_values(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(feature, v, nb, nt)``, a row for every finite value (DRF8); ``nb`` or ``nt`` is 1."""
 
     def side(df: DataFrame, is_base: int) -> DataFrame:
         cast = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-        return cast.unpivot([], list(features), "feature", "v").withColumn("_base", F.lit(is_base))
+        return cast.unpivot([], list(features), "feature", "v").withColumns({"nb": F.lit(is_base), "nt": F.lit(1 - is_base)})
 
     v = F.col("v")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return (
-        side(baseline, 1)
-        .unionByName(side(target, 0))
-        .where(finite)
-        .groupBy("feature", "v")
-        .agg(F.sum("_base").alias("nb"), F.sum(1 - F.col("_base")).alias("nt"))
-    )
+    return side(baseline, 1).unionByName(side(target, 0)).where(finite)
+
+
+def value_counts(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``feature_values`` with one row for each distinct value; serves wherever those do."""
+    values = feature_values(baseline, target, features)
+    return values.groupBy("feature", "v").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
 
 
 def feature_span(counts: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def ks_statistic(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("feature").agg(F.max(F.when(both, F.abs(share_base - share_target)).otherwise(0.0)).alias("ks"))
 
 
-def quantile_edges(ordered: DataFrame, num_bins: int = 10) -> DataFrame:
+def quantile_edges(values: DataFrame, num_bins: int = 10) -> DataFrame:
     """Exact linear-interpolated quantiles of the baseline, distinct, ends widened."""
     marks = [i / num_bins for i in range(num_bins + 1)]
-    quantiles = quantiles_of(ordered, ["feature"], "v", "nb", marks).withColumnRenamed("quantile", "edge")
+    quantiles = refined_quantiles(values, "feature", "v", "nb", marks).withColumnRenamed("quantile", "edge")
     widened = F.transform(
         F.col("e"),
         lambda x, i: F.when(i == 0, x - EDGE_MARGIN).when(i == F.size("e") - 1, x + EDGE_MARGIN).otherwise(x),
@@ -83,16 +84,19 @@ def quantile_edges(ordered: DataFrame, num_bins: int = 10) -> DataFrame:
     )
 
 
-def psi(counts: DataFrame, ordered: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
-    """DRF1. Target values beyond the edges leave the counts but stay in the denominator."""
-    edges = quantile_edges(ordered, num_bins)
+def psi(values: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
+    """DRF1. Target values beyond the edges leave the counts but stay in the denominator.
+
+    Reads ``values`` some five times, a handful of counts a feature being shuffled each time.
+    """
+    edges = quantile_edges(values, num_bins)
     passed: Column = F.lit(0)
     for i in range(num_bins + 1):
         passed = passed + F.coalesce(F.get("edges", F.lit(i)) <= F.col("v"), F.lit(False)).cast("int")
     bins = F.size("edges") - 1
-    spans = feature_span(counts)
+    spans = feature_span(values)
     per_bin = (
-        counts.join(F.broadcast(edges), "feature")  # at most one row per feature
+        values.join(F.broadcast(edges), "feature")  # at most one row per feature
         .withColumn("bin", F.when(F.col("v") == F.element_at("edges", -1), bins).otherwise(passed))
         .where(F.col("bin").between(1, bins))
         .groupBy("feature", "bin")
@@ -108,9 +112,9 @@ def psi(counts: DataFrame, ordered: DataFrame, num_bins: int = 10, eps: float =
     return spans.select("feature").join(summed, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def js_distance(counts: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
+def js_distance(values: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
     """DRF2: square root of the Jensen-Shannon divergence (base e) over equal-width bins."""
-    spans = feature_span(counts)
+    spans = feature_span(values)
     low = F.col("v_lo") - EDGE_MARGIN
     step = (F.col("v_hi") + EDGE_MARGIN - low) / num_bins
     guess = F.floor((F.col("v") - low) / step)
@@ -124,7 +128,7 @@ def js_distance(counts: DataFrame, num_bins: int = 10, eps: float = EPS) -> Data
     m = (p + q) / 2.0
     usable = (F.col("n_base") > 0) & (F.col("n_target") > 0) & (F.col("v_lo") < F.col("v_hi"))
     summed = (
-        counts.join(F.broadcast(spans), "feature")
+        values.join(F.broadcast(spans), "feature")
         .where(usable)
         .groupBy("feature", bin_no.alias("bin"))
         .agg(F.sum("nb").alias("b"), F.sum("nt").alias("t"), F.max("n_base").alias("n_base"), F.max("n_target").alias("n_target"))
@@ -156,20 +160,20 @@ def check_drift(
     unknown = set(metrics) - {"psi", "ks", "js"}
     if unknown:
         raise ValueError(f"unknown drift metric: {sorted(unknown)}")
-    counts = freeze(value_counts(baseline, target, features))  # read by every metric
-    ordered = ordered_counts(counts)
+    # Only KS needs every distinct value; its counts are then read by every metric.
+    values = freeze(value_counts(baseline, target, features)) if "ks" in metrics else feature_values(baseline, target, features)
     computed = {
-        "psi": lambda: psi(counts, ordered, psi_bins),
-        "ks": lambda: ks_statistic(ordered),
-        "js": lambda: js_distance(counts, js_bins),
+        "psi": lambda: psi(values, psi_bins),
+        "ks": lambda: ks_statistic(ordered_counts(values)),
+        "js": lambda: js_distance(values, js_bins),
     }
-    enough = feature_span(counts).select("feature", ((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).alias("enough"))
+    enough = feature_span(values).select("feature", ((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).alias("enough"))
     out = None
     for metric in metrics:
         rows = computed[metric]().select("feature", F.lit(metric).alias("metric"), F.col(metric).alias("value"))
         out = rows if out is None else out.unionByName(rows)
     # one row per feature and metric of the caller's lists
-    asked = counts.sparkSession.createDataFrame(
+    asked = values.sparkSession.createDataFrame(
         [(f, m, *map(float, getattr(levels, m))) for f in features for m in metrics], "feature string, metric string, warning double, critical double"
     )
     judged = F.coalesce("enough", F.lit(False))
@@ -206,9 +210,9 @@ def drift_summary(results: DataFrame) -> DataFrame:
 
 
 def population_drift(baseline: DataFrame, target: DataFrame, features: Sequence[str], num_bins: int = 10) -> DataFrame:
-    """DRF6: PSI, JS distance and a status per feature."""
-    counts = freeze(value_counts(baseline, target, features))
-    both = psi(counts, ordered_counts(counts), num_bins).join(js_distance(counts, num_bins), "feature")
+    """DRF6: PSI, JS distance and a status per feature. Both tables are read several times; write them first if they are dear to compute."""
+    values = feature_values(baseline, target, features)
+    both = psi(values, num_bins).join(js_distance(values, num_bins), "feature")
     p = F.col("psi")
     status = F.when(p >= 0.2, "SIGNIFICANT_DRIFT").when(p >= 0.1, "SLIGHT_DRIFT").otherwise("NO_DRIFT")
     return both.select("feature", "psi", F.col("js").alias("js_distance"), status.alias("status"))

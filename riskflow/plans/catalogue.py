@@ -497,14 +497,12 @@ def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query
 def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = drift.value_counts(*_populations(spark, sf_dir), DRIFT_FEATURES)
-    return _rounded(drift.psi(counts, drift.ordered_counts(counts)), 6, "psi")
+    return _rounded(drift.psi(drift.feature_values(*_populations(spark, sf_dir), DRIFT_FEATURES)), 6, "psi")
 
 
 @query
 def drift_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = drift.value_counts(*_populations(spark, sf_dir), DRIFT_FEATURES)
-    return _rounded(drift.js_distance(counts, 50), 6, "js")
+    return _rounded(drift.js_distance(drift.feature_values(*_populations(spark, sf_dir), DRIFT_FEATURES), 50), 6, "js")
 
 
 @query

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from riskflow.config import CURVE_THRESHOLDS, ENTITIES, JANUARY_2024, WINDOWS_US
 from riskflow.functions.scalar import COUNTRY_PARTIES
-from riskflow.operators.drift import EDGE_MARGIN, EPS
-from riskflow.operators.monitoring import PROBABILITY_BOUNDS, SCORE_BOUNDS
-from riskflow.operators.thresholds import linspace
 from riskflow.plans.catalogue import (
     APPROVE_BELOW,
     BLOCK_FROM,
@@ -25,6 +22,10 @@ from riskflow.sources.fixture import SCORED_SQL, TRANSACTIONS_SQL
 TXNS = f"t AS ({TRANSACTIONS_SQL.replace('{events}', 'events')})"
 SCORED = f"s AS ({SCORED_SQL.replace('{events}', 'events')})"
 B = JANUARY_2024
+# Fixed values, written out so that a wrong constant in an operator shows.
+EDGE_MARGIN, EPS = 0.00001, 0.0001
+PROBABILITY_BOUNDS = [0.01, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99]
+SCORE_BOUNDS = [100, 200, 300, 400, 500, 600, 700, 800, 900, 1000]
 
 
 def num(x: float) -> str:
@@ -36,6 +37,10 @@ def r(expr: str, digits: int = 4) -> str:
     return f"(ROUND(CAST({expr} AS DOUBLE) + {num(0.000731058578630005 * 10.0**-digits)}, {digits}) + 0e0)"
 
 
+def steps(first: float, last: float) -> list[float]:
+    return [*(first + i * ((last - first) / (GRID_STEPS - 1)) for i in range(GRID_STEPS - 1)), last]
+
+
 def big(expr: str) -> str:
     return f"CAST({expr} AS BIGINT)"
 
@@ -277,8 +282,8 @@ c_{name} AS (SELECT {confusion_counts(num(t))}, AVG((p - y) * (p - y)) AS brier
 
 
 def grid(best: bool) -> str:
-    a = ", ".join(num(x) for x in linspace(0.01, 0.5, GRID_STEPS))
-    b = ", ".join(num(x) for x in linspace(0.1, 0.95, GRID_STEPS))
+    a = ", ".join(num(x) for x in steps(0.01, 0.5))
+    b = ", ".join(num(x) for x in steps(0.1, 0.95))
     tail = " ORDER BY net DESC, lo_t, hi_t LIMIT 1" if best else ""
     return f"""WITH {SCORED}, g AS (SELECT p, SUM(y) AS pos, SUM(1 - y) AS neg, COUNT(*) AS n, SUM(CASE WHEN y = 1 THEN amount ELSE 0 END) AS amt FROM s GROUP BY p),
 pairs AS (SELECT lo_t, hi_t FROM (SELECT UNNEST([{a}]) AS lo_t), (SELECT UNNEST([{b}]) AS hi_t) WHERE hi_t > lo_t),

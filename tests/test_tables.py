@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow.config import HALF_YEAR_2026, DatasetExpectation
+from riskflow.functions import quantiles
 from riskflow.operators import drift as D
 from riskflow.operators import encode as E
 from riskflow.operators import entity_state as ES
@@ -148,6 +149,54 @@ def test_drift_against_arrays(spark):
     assert summary["overall_severity"] == "critical" and "a" in summary["critical_features"] and summary["drift_detected"]
 
 
+def test_refined_quantiles_against_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = {
+        "normal": rng.normal(0, 1, 700),
+        "ties": np.repeat([1.0, 2.0, 5.0], 100),
+        "one": np.array([7.5]),
+        "outlier": np.append(rng.uniform(1, 2, 400), [1e300, -1e300, 1.7e308]),
+        "tiny": np.append(rng.uniform(1, 2, 300) * 1e-310, [1e5, 0.0, -5e-324, 5e-324]),
+        "magnitudes": np.exp(rng.normal(0, 60, 500)) * rng.choice([-1, 1], 500),
+        "neighbours": np.array([1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 1e16]),
+    }
+    qs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.77, 0.9, 0.999, 1.0]
+    df = spark.createDataFrame([(k, float(v)) for k, a in data.items() for v in a], "feature string, v double")
+    passes, narrowed = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: passes.append(1) or narrowed(*a))
+    got = {(r.feature, r.q): r.quantile for r in quantiles.refined_quantiles(df.withColumn("n", F.lit(1)), "feature", "v", "n", qs).collect()}
+    assert len(got) == len(data) * len(qs) and len(passes) <= 10
+    for k, a in data.items():
+        x = np.sort(a)
+        for q in qs:
+            rank = (len(x) - 1) * q
+            low, high = x[math.floor(rank)], x[math.ceil(rank)]
+            assert got[k, q] == low + (high - low) * (rank - math.floor(rank)), (k, q)
+    # counts weigh like repeated rows, few cells only take more passes, and rows without weight do not exist
+    weighted = df.groupBy("feature", "v").agg((F.count(F.lit(1)) * 3).alias("n")).union(spark.createDataFrame([("ties", 99.0, 0)], "f string, v double, n long"))
+    tripled = {(r.feature, r.q): r.quantile for r in quantiles.refined_quantiles(weighted, "feature", "v", "n", [0.25, 0.5], cells=4).collect()}
+    for k, a in data.items():
+        x = np.sort(np.repeat(a, 3))
+        for q in (0.25, 0.5):
+            rank = (len(x) - 1) * q
+            low, high = x[math.floor(rank)], x[math.ceil(rank)]
+            assert tripled[k, q] == low + (high - low) * (rank - math.floor(rank)), (k, q)
+    assert quantiles.refined_quantiles(df.where("false").withColumn("n", F.lit(1)), "feature", "v", "n", qs).count() == 0
+
+
+def test_population_drift_counts_no_distinct_values(spark):
+    """What a pass shuffles does not grow with the rows."""
+    def frames(n):
+        return [spark.range(n).select((F.rand(seed) * 1000).alias("a"), F.randn(seed).alias("b")) for seed in (1, 2)]
+
+    report = {r.feature: r for r in D.population_drift(*frames(20000), ["a", "b"]).collect()}
+    base, target = [{c: np.array([r[c] for r in f.collect()]) for c in ("a", "b")} for f in frames(20000)]
+    for f in ("a", "b"):
+        assert math.isclose(report[f].psi, psi_np(base[f], target[f]), abs_tol=1e-9)
+    plan = D.psi(D.feature_values(*frames(20000), ["a", "b"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [feature#" in plan and not any(", v#" in line.split("]")[0] for line in plan.splitlines() if "Aggregate [" in line)
+
+
 def test_drift_skips_small_sides_and_non_finite(spark):
     few = spark.createDataFrame([(float(i),) for i in range(9)], "x double")
     bad = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), *[(float(i),) for i in range(12)]], "x double")
