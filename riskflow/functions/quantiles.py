@@ -113,7 +113,7 @@ def _narrowed(rows: DataFrame, spans: Sequence[_Span], cells: int, magnitudes: b
     return [_Span(*row) for row in held]
 
 
-def refined_quantiles(df: DataFrame, key: str, value: str, count: str, qs: Sequence[float], cells: int = 4096) -> DataFrame:
+def refined_quantiles(df: DataFrame, key: str, value: str, count: str, qs: Sequence[float], cells: int = 16384) -> DataFrame:
     """``(key, q, quantile)`` of finite doubles weighted by whole ``count``s, for a bounded number of text keys that are not null.
 
     Every pass reads the rows once and shuffles at most ``cells`` counts a key and task, however many different values there are. The

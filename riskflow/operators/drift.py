@@ -15,23 +15,36 @@ from pyspark.sql import functions as F
 from riskflow.config import DriftLevels
 from riskflow.functions.prefix import ordered_totals, span_unit
 from riskflow.functions.quantiles import refined_quantiles
-from riskflow.session import freeze
+from riskflow.session import freeze, stored
 
 EPS = 1e-4
 EDGE_MARGIN = 1e-5
 MIN_VALUES = 10
 
 
-def feature_values(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(feature, v, nb, nt)``, a row for every finite value (DRF8); ``nb`` or ``nt`` is 1."""
+def both_populations(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features of both tables as doubles, with the marks ``nb`` (1 in the baseline) and ``nt``."""
 
     def side(df: DataFrame, is_base: int) -> DataFrame:
-        cast = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-        return cast.unpivot([], list(features), "feature", "v").withColumns({"nb": F.lit(is_base), "nt": F.lit(1 - is_base)})
+        return df.select(F.lit(is_base).alias("nb"), F.lit(1 - is_base).alias("nt"), *[F.col(f).cast("double").alias(f) for f in features])
+
+    return side(baseline, 1).unionByName(side(target, 0))
 
+
+def as_values(both: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(nb, nt, feature, v)``, a row for every finite value (DRF8)."""
     v = F.col("v")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return side(baseline, 1).unionByName(side(target, 0)).where(finite)
+    return both.unpivot(["nb", "nt"], list(features), "feature", "v").where(finite)
+
+
+def feature_values(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    return as_values(both_populations(baseline, target, features), features)
+
+
+def stored_values(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``feature_values`` of features that are computed and written once, since every pass reads them."""
+    return as_values(stored(both_populations(baseline, target, features)), features)
 
 
 def value_counts(baseline: DataFrame, target: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -50,6 +63,12 @@ def feature_span(counts: DataFrame) -> DataFrame:
     )
 
 
+def known_span(values: DataFrame) -> DataFrame:
+    """``feature_span`` worked out now: one row for each feature of the caller's list."""
+    spans = feature_span(values)
+    return values.sparkSession.createDataFrame(spans.collect(), spans.schema)
+
+
 def with_span(counts: DataFrame) -> DataFrame:
     # One row per feature, so its size is the length of the caller's feature list.
     return counts.join(F.broadcast(feature_span(counts)), "feature")
@@ -84,17 +103,17 @@ def quantile_edges(values: DataFrame, num_bins: int = 10) -> DataFrame:
     )
 
 
-def psi(values: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
+def psi(values: DataFrame, num_bins: int = 10, eps: float = EPS, spans: DataFrame | None = None) -> DataFrame:
     """DRF1. Target values beyond the edges leave the counts but stay in the denominator.
 
-    Reads ``values`` some five times, a handful of counts a feature being shuffled each time.
+    Reads ``values`` some four times, a handful of counts a feature being shuffled each time.
     """
     edges = quantile_edges(values, num_bins)
     passed: Column = F.lit(0)
     for i in range(num_bins + 1):
         passed = passed + F.coalesce(F.get("edges", F.lit(i)) <= F.col("v"), F.lit(False)).cast("int")
     bins = F.size("edges") - 1
-    spans = feature_span(values)
+    spans = known_span(values) if spans is None else spans
     per_bin = (
         values.join(F.broadcast(edges), "feature")  # at most one row per feature
         .withColumn("bin", F.when(F.col("v") == F.element_at("edges", -1), bins).otherwise(passed))
@@ -112,9 +131,9 @@ def psi(values: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
     return spans.select("feature").join(summed, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def js_distance(values: DataFrame, num_bins: int = 10, eps: float = EPS) -> DataFrame:
+def js_distance(values: DataFrame, num_bins: int = 10, eps: float = EPS, spans: DataFrame | None = None) -> DataFrame:
     """DRF2: square root of the Jensen-Shannon divergence (base e) over equal-width bins."""
-    spans = feature_span(values)
+    spans = known_span(values) if spans is None else spans
     low = F.col("v_lo") - EDGE_MARGIN
     step = (F.col("v_hi") + EDGE_MARGIN - low) / num_bins
     guess = F.floor((F.col("v") - low) / step)
@@ -161,13 +180,14 @@ def check_drift(
     if unknown:
         raise ValueError(f"unknown drift metric: {sorted(unknown)}")
     # Only KS needs every distinct value; its counts are then read by every metric.
-    values = freeze(value_counts(baseline, target, features)) if "ks" in metrics else feature_values(baseline, target, features)
+    values = freeze(value_counts(baseline, target, features)) if "ks" in metrics else stored_values(baseline, target, features)
+    spans = known_span(values)
     computed = {
-        "psi": lambda: psi(values, psi_bins),
+        "psi": lambda: psi(values, psi_bins, spans=spans),
         "ks": lambda: ks_statistic(ordered_counts(values)),
-        "js": lambda: js_distance(values, js_bins),
+        "js": lambda: js_distance(values, js_bins, spans=spans),
     }
-    enough = feature_span(values).select("feature", ((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).alias("enough"))
+    enough = spans.select("feature", ((F.col("n_base") >= MIN_VALUES) & (F.col("n_target") >= MIN_VALUES)).alias("enough"))
     out = None
     for metric in metrics:
         rows = computed[metric]().select("feature", F.lit(metric).alias("metric"), F.col(metric).alias("value"))
@@ -210,9 +230,10 @@ def drift_summary(results: DataFrame) -> DataFrame:
 
 
 def population_drift(baseline: DataFrame, target: DataFrame, features: Sequence[str], num_bins: int = 10) -> DataFrame:
-    """DRF6: PSI, JS distance and a status per feature. Both tables are read several times; write them first if they are dear to compute."""
-    values = feature_values(baseline, target, features)
-    both = psi(values, num_bins).join(js_distance(values, num_bins), "feature")
+    """DRF6: PSI, JS distance and a status per feature."""
+    values = stored_values(baseline, target, features)
+    spans = known_span(values)
+    both = psi(values, num_bins, spans=spans).join(js_distance(values, num_bins, spans=spans), "feature")
     p = F.col("psi")
     status = F.when(p >= 0.2, "SIGNIFICANT_DRIFT").when(p >= 0.1, "SLIGHT_DRIFT").otherwise("NO_DRIFT")
     return both.select("feature", "psi", F.col("js").alias("js_distance"), status.alias("status"))

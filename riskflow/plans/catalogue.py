@@ -497,7 +497,7 @@ def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query
 def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(drift.psi(drift.feature_values(*_populations(spark, sf_dir), DRIFT_FEATURES)), 6, "psi")
+    return _rounded(drift.psi(drift.stored_values(*_populations(spark, sf_dir), DRIFT_FEATURES)), 6, "psi")
 
 
 @query
