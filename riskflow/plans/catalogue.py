@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.config import CURVE_THRESHOLDS, ENTITIES, JANUARY_2024, WINDOWS_US, DatasetExpectation
+from riskflow.config import CURVE_THRESHOLDS, ENTITIES, JANUARY_2024, WINDOWS_US, DatasetExpectation, SplitBounds
 from riskflow.functions.report import rounded
 from riskflow.functions.scalar import GEOGRAPHIC, IDENTITY, TEMPORAL, feature_columns
 from riskflow.operators import (
@@ -34,6 +35,7 @@ from riskflow.plans.features import BASIC, ENGINEERED, feature_table
 from riskflow.plans.scoring import Scorer
 from riskflow.schema import FORBIDDEN, ONLINE_COLUMNS
 from riskflow.session import STATE_STORE, checkpoint_dir, freeze
+from riskflow.sources.files import read_csv, read_parquet, write_table
 from riskflow.sources.fixture import TRANSACTIONS_SQL, scored, table, transactions
 from riskflow.sources.kafka import messages, route
 from riskflow.sources.sinks import label_free_feed
@@ -48,6 +50,8 @@ GRID_STEPS = 30
 DRIFT_FEATURES = ["amount", "credit_limit", "customer_tenure_days", "device_age_days", "merchant_age_days"]
 GAP_US = 3_600_000_000
 DAY_US = 86_400_000_000
+#: Training ends after validation begins, calibration after optimisation begins; the 24th is in no split.
+OVERLAPPING = SplitBounds("2024-01-21 23:59:59", "2024-01-21 00:00:00", "2024-01-23 23:59:59", "2024-01-22 12:00:00", "2024-01-23 23:59:59", "2024-01-25 00:00:00")
 #: Amounts that write the value ``last_large``.
 LARGE = 50.0
 
@@ -150,6 +154,25 @@ def quality_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fingerprint(transactions(spark, sf_dir))
 
 
+@query
+def csv_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: the table sent through CSV text; the fingerprint of what is read back."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    transactions(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+    return quality.fingerprint(read_csv(spark, path))
+
+
+@query
+def dated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: the table in its canonical layout, read back by day from the training period on."""
+    path = f"{checkpoint_dir(spark)}/dated-{uuid.uuid4().hex}"
+    write_table(transactions(spark, sf_dir), path)
+    days = read_parquet(spark, path, ["event_date", "transaction_id", "amount", "is_outlier"]).where("event_date > DATE '2024-01-20'")
+    return days.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_outlier").alias("n_outlier"), rounded(F.sum("amount"), 2).alias("amount"),
+        F.min("transaction_id").alias("first_id"), F.max("transaction_id").alias("last_id"))
+
+
 @query
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = DatasetExpectation(timestamp_min="2024-01-01", timestamp_max="2024-01-31")
@@ -210,6 +233,24 @@ def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(splits.split_distribution(_split(spark, sf_dir)), 4, "fraud_pct")
 
 
+@query
+def split_overlaps_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPL3 on bounds that do overlap, and leave out a day."""
+    return splits.split_overlaps(transactions(spark, sf_dir), OVERLAPPING)
+
+
+@query
+def aligned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPL7-8: two tables' common columns, with holes and values that are no numbers, in the first one's rows."""
+    seq = F.col("transaction_sequence_id")
+    amount = F.when(seq % 7 == 0, F.lit(float("nan"))).when(seq % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("amount"))
+    txns = transactions(spark, sf_dir)
+    first = txns.select("transaction_id", "device_age_days", amount.alias("amount"), F.nullif("credit_limit", F.lit(1000.0)).alias("credit_limit"), "currency")
+    second = txns.select("credit_limit", "merchant_age_days", "amount", "device_age_days")
+    names = [*splits.common_columns(first, second), "merchant_age_days"]
+    return splits.align_to(first, names, keep=["transaction_id"])
+
+
 @query
 def split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_overlaps(transactions(spark, sf_dir), JANUARY_2024)
@@ -252,6 +293,16 @@ def freq_encoded_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(encoder.transform(rows).select("transaction_id", *names), 6, *names)
 
 
+@query
+def own_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENC3: every row encoded with the frequencies of all rows."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the warning is the operator's point, and expected here
+        encoded = encode.encode_with_own_frequencies(transactions(spark, sf_dir))
+    names = [c for c in encoded.columns if c.endswith("_encoded")]
+    return _rounded(encoded.select("transaction_id", *names), 6, *names)
+
+
 # ── velocity ──────────────────────────────────────────────────────────────────
 
 
@@ -528,6 +579,14 @@ def drift_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(drift.population_drift(*_populations(spark, sf_dir), DRIFT_FEATURES), 6, "psi", "js_distance")
 
 
+@query
+def drift_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MON4: the values of a drift check as rows stamped with the time of the run."""
+    found = drift.check_drift(*_populations(spark, sf_dir), DRIFT_FEATURES, ("psi", "js"))
+    gauges = monitoring.drift_gauge(found, F.lit("2024-02-01 06:30:00").cast("timestamp"))
+    return _rounded(gauges, 6, "value").withColumn("run_at", F.unix_micros("run_at"))
+
+
 # ── scoring, gates, monitoring ────────────────────────────────────────────────
 
 
@@ -563,6 +622,15 @@ def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, 4, "value")
 
 
+@query
+def promotion_gates_from_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GAT1 with its last gates answered by results: a squared score against the raw one, a drift check, the features' names."""
+    rows = scored(spark, sf_dir)
+    briers = rows.agg(*[F.avg((F.col("y") - x) ** 2).alias(m) for m, x in (("raw", F.col("p")), ("squared", F.col("p") ** 2))]).unpivot([], ["raw", "squared"], "method", "brier")
+    evidence = gates.promotion_evidence(briers, drift.check_drift(*_populations(spark, sf_dir), DRIFT_FEATURES, ("psi", "js")), [*ENGINEERED, "fraud_scenario"])
+    return _rounded(gates.promotion_gates(metrics.fraud_metrics(rows, 0.4), **evidence), 4, "value")
+
+
 @query
 def promotion_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.promotion_decision(gates.promotion_gates(metrics.fraud_metrics(scored(spark, sf_dir), 0.4)))

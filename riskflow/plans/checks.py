@@ -197,9 +197,9 @@ def rolling_all() -> str:
     return f"WITH {TXNS}, u AS ({entity_union()}), v AS (SELECT *, {inner} FROM u) SELECT transaction_id, {cols} FROM v GROUP BY transaction_id"
 
 
-def freq_cte(columns: list[str] = CATEGORICAL) -> str:
+def freq_cte(columns: list[str] = CATEGORICAL, fitted_on: str = IN_TRAIN) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS col, {c} AS val, COUNT(*) AS n, CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS freq FROM t WHERE {IN_TRAIN} AND {c} IS NOT NULL GROUP BY {c}"
+        f"SELECT '{c}' AS col, {c} AS val, COUNT(*) AS n, CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS freq FROM t WHERE {fitted_on} AND {c} IS NOT NULL GROUP BY {c}"
         for c in columns
     )
     return f"f AS ({parts})"
@@ -341,6 +341,12 @@ SELECT feature, 'ks' AS metric, ks AS value, {severity('ks', 0.05, 0.1)} AS seve
 UNION ALL SELECT feature, 'js', js, {severity('js', 0.05, 0.1)}, {num(0.05)}, {num(0.1)} FROM js)"""
 
 
+# The same for PSI and JS.
+BINNED_DRIFT = f"""{values_cte()}, {psi_cte()}, {js_cte(50)}, found AS (
+SELECT feature, 'psi' AS metric, psi AS value, {severity('psi', 0.1, 0.2)} AS severity FROM psi
+UNION ALL SELECT feature, 'js', js, {severity('js', 0.05, 0.1)} FROM js)"""
+
+
 def names_in(level: str) -> str:
     return f"COALESCE((SELECT string_agg(DISTINCT feature, ',' ORDER BY feature) FROM found WHERE severity = '{level}'), '')"
 
@@ -382,12 +388,12 @@ _ERROR = (
     "WHEN 4 THEN 'missing_field: currency' WHEN 5 THEN 'wrong_type: installment_flag' END"
 )
 
-GATES = f"""WITH {SCORED}, {full_metrics('s', 0.4)}, gates AS (
-SELECT 'pr_auc' AS gate, pr_auc AS value, '>=' AS op, {num(0.30)} AS "limit", pr_auc >= 0.30 AS passed FROM full_
+MEASURED_GATES = f"""SELECT 'pr_auc' AS gate, pr_auc AS value, '>=' AS op, {num(0.30)} AS "limit", pr_auc >= 0.30 AS passed FROM full_
 UNION ALL SELECT 'recall', recall, '>=', {num(0.70)}, recall >= 0.70 FROM full_
 UNION ALL SELECT 'false_positive_rate', false_positive_rate, '<=', {num(0.10)}, false_positive_rate <= 0.10 FROM full_
 UNION ALL SELECT 'brier', brier, '<=', {num(0.05)}, brier <= 0.05 FROM full_
-UNION ALL SELECT 'expected_cost', total_expected_cost, '<=', {num(100000.0)}, total_expected_cost <= 100000 FROM full_
+UNION ALL SELECT 'expected_cost', total_expected_cost, '<=', {num(100000.0)}, total_expected_cost <= 100000 FROM full_"""
+GATES = f"""WITH {SCORED}, {full_metrics('s', 0.4)}, gates AS ({MEASURED_GATES}
 UNION ALL SELECT UNNEST(['calibration', 'drift', 'leakage']), 1e0, '=', 1e0, TRUE)"""
 
 
@@ -416,7 +422,27 @@ def build() -> dict[str, str]:
         values = (caught, missed, "25 * fp", f"{missed} + 25 * fp", f"{caught} - {missed} - 25 * fp")
         return f"SELECT '{basis}' AS basis, " + ", ".join(f"{r(v, 2)} AS {n}" for v, n in zip(values, money)) + " FROM c"
 
+    fingerprint = f"""WITH {TXNS}, m AS (SELECT md5({fp_text}) AS h FROM t)
+SELECT COUNT(*) AS n_rows, CAST(SUM(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) || '-' || CAST(SUM(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM m"""
+    # Half-open hours, in place of the inclusive seconds of the bounds.
+    hits = (
+        "(event_timestamp < TIMESTAMP '2024-01-22')::INT - (event_timestamp > TIMESTAMP '2024-01-21 23:59:59' AND event_timestamp < TIMESTAMP '2024-01-22')::INT"
+        " + (event_timestamp BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-23 23:59:59')::INT"
+        " + (event_timestamp BETWEEN TIMESTAMP '2024-01-22 12:00:00' AND TIMESTAMP '2024-01-23 23:59:59')::INT + (event_timestamp >= TIMESTAMP '2024-01-25')::INT"
+    )
     return {
+        "csv_transactions": fingerprint,
+        "dated_table": f"""WITH {TXNS} SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_date, COUNT(*) AS n, {big('SUM(is_outlier)')} AS n_outlier, {r('SUM(amount)', 2)} AS amount,
+  MIN(transaction_id) AS first_id, MAX(transaction_id) AS last_id FROM t WHERE event_timestamp >= TIMESTAMP '2024-01-21' GROUP BY 1""",
+        "split_overlaps_found": f"WITH {TXNS}, x AS (SELECT {hits} AS hits FROM t) SELECT COUNT(*) FILTER (hits > 1) AS n_overlap, COUNT(*) FILTER (hits = 0) AS n_gap FROM x",
+        "aligned_features": f"""WITH {TXNS} SELECT transaction_id, CASE WHEN transaction_sequence_id % 7 = 0 OR transaction_sequence_id % 11 = 0 THEN 0e0 ELSE amount END AS amount,
+  CASE WHEN credit_limit = 1000 THEN 0e0 ELSE credit_limit END AS credit_limit, CAST(device_age_days AS DOUBLE) AS device_age_days, 0e0 AS merchant_age_days FROM t""",
+        "own_frequencies": f"WITH {TXNS}, {freq_cte(fitted_on='TRUE')} {encoded()}",
+        "drift_gauges": f"WITH {BINNED_DRIFT} SELECT epoch_us(TIMESTAMP '2024-02-01 06:30:00') AS run_at, feature, metric, {r('value', 6)} AS value, severity FROM found",
+        "promotion_gates_from_evidence": f"""WITH {BINNED_DRIFT}, {SCORED}, {full_metrics('s', 0.4)}, gates AS ({MEASURED_GATES}
+UNION ALL SELECT gate, ok::INT::DOUBLE, '=', 1e0, ok FROM (SELECT 'calibration' AS gate, AVG((y - p * p) * (y - p * p)) < AVG((y - p) * (y - p)) AS ok FROM s
+  UNION ALL SELECT 'drift', COUNT(*) FILTER (severity <> 'none') = 0 FROM found UNION ALL SELECT 'leakage', COUNT(*) FILTER (fraud_scenario IS NOT NULL) = 0 FROM t))
+SELECT gate, {r('value', 4)} AS value, op, "limit", passed FROM gates""",
         "scored_decisions": f"""WITH {TXNS}, {SCORED}, x AS (SELECT t.transaction_id, t.event_timestamp, CAST(trunc(sqrt(s.p) * 1000) AS INT) AS score,
   ROW_NUMBER() OVER w - 1 AS n_prior, COALESCE((epoch_us(t.event_timestamp) - LAG(epoch_us(t.event_timestamp)) OVER w) / 1e6, -1) AS gap
   FROM t JOIN s ON t.transaction_id = s.transaction_id WINDOW w AS (PARTITION BY customer_id ORDER BY t.event_timestamp, transaction_sequence_id))
