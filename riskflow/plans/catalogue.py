@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ GRID_STEPS = 30
 DRIFT_FEATURES = ["amount", "credit_limit", "customer_tenure_days", "device_age_days", "merchant_age_days"]
 GAP_US = 3_600_000_000
 DAY_US = 86_400_000_000
+#: Features compared between the table and the messages.
+PARITY = [*TEMPORAL, *GEOGRAPHIC, *IDENTITY, "log_amount", "amount_credit_ratio", "amount_bucket"]
 #: Training ends after validation begins, calibration after optimisation begins; the 24th is in no split.
 OVERLAPPING = SplitBounds("2024-01-21 23:59:59", "2024-01-21 00:00:00", "2024-01-23 23:59:59", "2024-01-22 12:00:00", "2024-01-23 23:59:59", "2024-01-25 00:00:00")
 #: Amounts that write the value ``last_large``.
@@ -267,6 +270,23 @@ def future_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("_one")).join(changed, "_one").select("n_rows", "n_changed")
 
 
+@query
+def future_leak_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LKG6 on features that do look ahead: totals of an entity's whole history; the rows it names, for each of the six entities."""
+    txns = transactions(spark, sf_dir)
+    past = txns.where(F.col("event_timestamp") <= F.lit(JANUARY_2024.train_end).cast("timestamp"))
+
+    def ahead(rows: DataFrame, column: str) -> DataFrame:
+        totals = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n_ever"), F.max("amount").alias("max_ever"))
+        return rows.select("transaction_id", column).join(totals, column)
+
+    found = [
+        leakage.future_changes_past(ahead(txns, column), ahead(past, column)).agg(F.lit(entity).alias("entity"), F.count(F.lit(1)).alias("n_changed"))
+        for entity, column in ENTITIES.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 # ── encoding ──────────────────────────────────────────────────────────────────
 
 
@@ -688,7 +708,7 @@ def topic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REG2: features from typed rows against features from the same rows sent as messages."""
     txns = leakage.strip_labels(transactions(spark, sf_dir))
-    names = [*TEMPORAL, *GEOGRAPHIC, *IDENTITY, "log_amount", "amount_credit_ratio", "amount_bucket"]
+    names = PARITY
     table_side = txns.select("transaction_id", *feature_columns(names))
     sent = validate_messages(messages(txns)).where("error IS NULL")
     message_side = sent.select("transaction_id", *feature_columns(names))
@@ -697,6 +717,24 @@ def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("n_rows"), *differs).unpivot(["n_rows"], names, "feature", "mismatches")
 
 
+@query
+def parity_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REG2 on messages that differ from the table: doubled amounts, times five hours on, another country of the address."""
+    txns = leakage.strip_labels(transactions(spark, sf_dir))
+    seq = F.col("transaction_sequence_id")
+    changed = txns.withColumns({
+        "amount": F.when(seq % 7 == 0, F.col("amount") * 2).otherwise(F.col("amount")),
+        "event_timestamp": F.when(seq % 11 == 0, F.col("event_timestamp") + F.expr("INTERVAL 5 HOURS")).otherwise(F.col("event_timestamp")),
+        "ip_country": F.when(seq % 13 == 0, "US").otherwise(F.col("ip_country")),
+    })
+    names = PARITY
+    table_side = txns.select("transaction_id", *feature_columns(names))
+    message_side = validate_messages(messages(changed)).where("error IS NULL").select("transaction_id", *feature_columns(names))
+    joined = table_side.alias("a").join(message_side.alias("b"), "transaction_id")
+    differs = [F.count_if(~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))).alias(n) for n in names]
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), *differs).unpivot(["n_rows"], names, "feature", "mismatches")
+
+
 # ── models (no SQL equivalent) ────────────────────────────────────────────────
 
 

@@ -431,6 +431,15 @@ SELECT COUNT(*) AS n_rows, CAST(SUM(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) A
         " + (event_timestamp BETWEEN TIMESTAMP '2024-01-22 12:00:00' AND TIMESTAMP '2024-01-23 23:59:59')::INT + (event_timestamp >= TIMESTAMP '2024-01-25')::INT"
     )
     return {
+        "future_leak_found": f"WITH {TXNS} " + " UNION ALL ".join(
+            f"SELECT '{entity}' AS entity, COUNT(*) AS n_changed FROM t WHERE {IN_TRAIN} AND {column} IN (SELECT {column} FROM t WHERE NOT ({IN_TRAIN}))"
+            for entity, column in ENTITIES.items()),
+        "parity_defects": f"""WITH {TXNS}, c AS (SELECT * REPLACE (CASE WHEN transaction_sequence_id % 7 = 0 THEN amount * 2 ELSE amount END AS amount,
+  CASE WHEN transaction_sequence_id % 11 = 0 THEN event_timestamp + INTERVAL 5 HOURS ELSE event_timestamp END AS event_timestamp,
+  CASE WHEN transaction_sequence_id % 13 = 0 THEN 'US' ELSE ip_country END AS ip_country) FROM t),
+a AS (SELECT transaction_id, {", ".join(f"{F_SQL[n]} AS {n}" for n in sent)} FROM t), b AS (SELECT transaction_id, {", ".join(f"{F_SQL[n]} AS {n}" for n in sent)} FROM c),
+j AS (SELECT {", ".join(f"a.{n} IS DISTINCT FROM b.{n} AS {n}" for n in sent)} FROM a JOIN b ON a.transaction_id = b.transaction_id)
+""" + " UNION ALL ".join(f"SELECT COUNT(*) AS n_rows, '{n}' AS feature, COUNT(*) FILTER ({n}) AS mismatches FROM j" for n in sent),
         "csv_transactions": fingerprint,
         "dated_table": f"""WITH {TXNS} SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_date, COUNT(*) AS n, {big('SUM(is_outlier)')} AS n_outlier, {r('SUM(amount)', 2)} AS amount,
   MIN(transaction_id) AS first_id, MAX(transaction_id) AS last_id FROM t WHERE event_timestamp >= TIMESTAMP '2024-01-21' GROUP BY 1""",
