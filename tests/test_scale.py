@@ -24,3 +24,31 @@ def plan(df):
 @pytest.mark.parametrize("name", ["parity_check", "parity_defects", "velocity_windows_hot_keys"])
 def test_no_side_is_sent_whole_for_the_size_of_its_file(spark, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, SMALL))
+
+
+def test_windows_grow_from_the_first_row(txns):
+    df = V.velocity(txns([{}]), ENTITIES, WINDOWS_US, strategy="windows")
+    assert "specifiedwindowframe(RangeFrame, -" not in plan(df)
+
+
+def test_key_of_many_rows_takes_no_probes(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("running totals for a key that fits a task")
+
+    monkeypatch.setattr(V, "_by_totals", refused)
+    rows = spark.range(20_001).select(
+        F.lit("merchant").alias("entity"), F.lit("M").alias("entity_id"), F.col("id").cast("string").alias("transaction_id"),
+        (F.col("id") * 1_000_000).alias("us"), F.col("id").alias("seq"), F.lit(1.0).alias("amount"))
+    last = V.entity_history(rows, WINDOWS_US).where("seq = 20000").first()
+    assert (last.n_prior, last.n_5m, last.sum_1h, last.n_7d) == (20_000, 300, 3600.0, 20_000)
+
+
+def test_sums_of_far_apart_and_odd_amounts(txns):
+    amounts = [1e15, 0.01, float("nan"), 0.02, float("inf"), -0.5, float("-inf"), 0.1, 0.2, 0.3]
+    df = txns([{"event_timestamp": START + dt.timedelta(hours=2 * i), "amount": a} for i, a in enumerate(amounts)])
+    rows = V.velocity(df, {"customer": "customer_id"}, WINDOWS_US, strategy="windows").orderBy("transaction_id").collect()
+    for w, hours in (("1h", 1), ("6h", 6), ("24h", 24)):
+        for i, r in enumerate(rows):
+            want = sum(amounts[j] for j in range(i) if 2 * (i - j) <= hours)
+            got = r[f"customer_amount_sum_{w}"]
+            assert (math.isnan(got) and math.isnan(want)) or got == pytest.approx(want, rel=1e-14), (w, i)
