@@ -52,3 +52,8 @@ def test_sums_of_far_apart_and_odd_amounts(txns):
             want = sum(amounts[j] for j in range(i) if 2 * (i - j) <= hours)
             got = r[f"customer_amount_sum_{w}"]
             assert (math.isnan(got) and math.isnan(want)) or got == pytest.approx(want, rel=1e-14), (w, i)
+
+
+def test_one_row_a_key_and_one_more_without_any(txns):
+    rows = V.entity_rows(txns([{}, {"customer_id": None}]), {"customer": "customer_id"}, keyless=True)
+    assert sorted((r.entity, r.entity_id) for r in rows.collect()) == [("", "T00001"), ("customer", "C1")]
