@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from riskflow.config import ENTITIES, WINDOWS_US
 from riskflow.functions.prefix import running_totals, span_unit, unit_cells
-from riskflow.operators.velocity import entity_rows
+from riskflow.functions.spread import tasks
+from riskflow.operators.velocity import PRIOR_LIMIT, entity_rows
 
 #: Width of a bucket of rows that are added up, and how late a row may come.
 BUCKET_US = 3_600_000_000
@@ -52,6 +53,8 @@ def transaction_updates(df: DataFrame, features: Mapping[str, Column], entities:
     """Feature updates written by transactions: one row per entity and feature."""
     named = df.select("transaction_id", "event_timestamp", "transaction_sequence_id", "amount", *entities.values(),
                       *[c.cast("string").alias(f"_f_{n}") for n, c in features.items()])
+    # A transaction becomes a row per entity and feature; a small file holds so many that a task's aggregate would sort them all at once.
+    named = named.repartition(tasks(df, df.count() * len(entities) * max(1, len(features))), "transaction_id", "event_timestamp", "transaction_sequence_id")
     rows = entity_rows(named, entities, [f"_f_{n}" for n in features])
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_f_{n}").alias("value")) for n in features])
     return rows.select("entity", "entity_id", "us", "seq", F.explode(pairs).alias("u")).select(
@@ -93,26 +96,39 @@ def bucketed(df: DataFrame, entities: Mapping[str, str] = ENTITIES, bucket_us: i
     return new.unionByName(old, allowMissingColumns=True)
 
 
-def context_as_of(df: DataFrame, versions: DataFrame, features: Sequence[str], entities: Mapping[str, str] = ENTITIES) -> DataFrame:
+def context_as_of(df: DataFrame, versions: DataFrame, features: Sequence[str], entities: Mapping[str, str] = ENTITIES, limit: int = PRIOR_LIMIT) -> DataFrame:
     """ST5: each transaction with the newest version of its entities' features as of its time, ``<entity>_<feature>``.
 
     ``versions`` has one row for each time at which an entity's features were written (``entity, entity_id, us, seq`` and the features). A version of the
-    transaction's own instant counts. Versions and transactions are put into one order, and the last version is carried along it over nested
-    time cells, so a key's rows need not meet in one task. Every transaction comes back once, told apart by ``transaction_id, us, seq``
-    and the number of equal rows; entities without a key or a version give null.
+    transaction's own instant counts. Versions and transactions are put into one order, and the last version is carried along it: within a key, or over
+    nested time cells for keys above ``limit`` rows, whose rows then need not meet in one task. Every transaction comes back once, told apart by
+    ``transaction_id, us, seq`` and the number of equal rows; entities without a key or a version give null.
     """
-    asked = entity_rows(df, entities, anchor=True).groupBy("transaction_id", "us", "seq", "entity", "entity_id").agg(F.count(F.lit(1)).alias("times"))
-    written = versions.select("entity", F.col("entity_id").cast("string").alias("entity_id"), "us", F.struct("us", "seq", *features).alias("version"))
-    asks = asked.where("entity <> ''").select("entity", "entity_id", "us", "seq", "transaction_id", F.lit(1).alias("kind"))
-    both = written.select("*", F.lit(0).alias("kind")).unionByName(asks, allowMissingColumns=True)
-    ends = both.agg(F.min("us"), F.max("us")).first()
-    first, second = unit_cells(span_unit(F.col("us"), F.lit(ends[0]), F.lit(ends[1])))
-    located = both.withColumns({"_cell1": first, "_cell2": second})
-    carried = running_totals(located, ["entity", "entity_id"], ["_cell1", "_cell2"], ["us", "kind", "version"], maxes=["version"])
-    found = asked.join(carried.where("kind = 1").select("transaction_id", "us", "seq", "entity", "entity_id", "version_before").alias("c"), [
-        asked[c].eqNullSafe(F.col(f"c.{c}")) for c in ("transaction_id", "us", "seq", "entity", "entity_id")], "left")
-    own = [asked[c] for c in ("transaction_id", "us", "seq", "times")]
-    wide = found.groupBy(*own).agg(*[F.max(F.when(asked["entity"] == e, F.col(f"c.version_before.{f}"))).alias(f"{e}_{f}") for e in entities for f in features])
+    key, place = ["entity", "entity_id"], ["transaction_id", "us", "seq"]
+    rows = entity_rows(df, entities, anchor=True)
+    written = versions.select("entity", F.col("entity_id").cast("string").alias("entity_id"), "us", F.struct("us", "seq", *features).alias("version"), F.lit(0).alias("kind"))
+    per_key = rows.select(*key, "us").unionByName(written.select(*key, "us")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    sizes = per_key.agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    n_tasks = tasks(df, sizes["n"] or 0)
+    asked = rows.repartition(n_tasks, *place).groupBy(*place, *key).agg(F.count(F.lit(1)).alias("times"))
+    both = written.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    order, wanted = ["us", "kind", "version"], [*key, *place, "times", "kind", "version_before"]
+    frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def along_keys(part: DataFrame) -> DataFrame:
+        return part.repartition(n_tasks, *key).select("*", F.max("version").over(frame).alias("version_before")).select(*wanted)
+
+    if (sizes["largest"] or 0) <= limit:
+        carried = along_keys(both)
+    else:
+        # few by construction: each has more than ``limit`` rows
+        large = F.broadcast(per_key.where(F.col("n") > limit).select(*key))
+        first, second = unit_cells(span_unit(F.col("us"), F.lit(sizes["lo"]), F.lit(sizes["hi"])))
+        located = both.join(large, key, "left_semi").withColumns({"_cell1": first, "_cell2": second})
+        carried = running_totals(located, key, ["_cell1", "_cell2"], order, maxes=["version"]).select(*wanted)
+        carried = along_keys(both.join(large, key, "left_anti")).unionByName(carried)
+    found = carried.where("kind = 1").repartition(n_tasks, *place)
+    wide = found.groupBy(*place, "times").agg(*[F.max(F.when(F.col("entity") == e, F.col(f"version_before.{f}"))).alias(f"{e}_{f}") for e in entities for f in features])
     return wide.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_n")).drop("times", "_n")
 
 
@@ -120,12 +136,14 @@ def transaction_context(df: DataFrame, state: DataFrame, features: Sequence[str]
     """ST5: each transaction with the state of its six entities, ``<entity>_<feature>``.
 
     One lookup for all entities. Every key has one state row, so a frequent key only
-    lengthens the transaction side, which adaptive execution may split. Transactions that share an id stay apart by time and sequence
+    lengthens the transaction side, which adaptive execution may split; tasks are as many as the rows take. Transactions that share an id stay apart by time and sequence
     number (fully equal ones by their count), and one without any key comes back with nulls.
     """
     place = ["transaction_id", "us", "seq"]
-    asked = entity_rows(df, entities, anchor=True).groupBy(*place, "entity", "entity_id").agg(F.count(F.lit(1)).alias("times"))
-    found = asked.join(state.select("entity", "entity_id", *features), ["entity", "entity_id"], "left")
+    n_tasks = tasks(df, df.count() * (len(entities) + 1))
+    asked = entity_rows(df, entities, anchor=True).repartition(n_tasks, *place).groupBy(*place, "entity", "entity_id").agg(F.count(F.lit(1)).alias("times"))
+    known = state.select("entity", "entity_id", *features).hint("merge")  # its size, guessed from a file, says nothing
+    found = asked.join(known, ["entity", "entity_id"], "left").repartition(n_tasks, *place)
     wide = found.groupBy(*place, "times").agg(
         *[F.max(F.when(F.col("entity") == e, F.col(f))).alias(f"{e}_{f}") for e in entities for f in features]
     )

@@ -57,3 +57,28 @@ def test_sums_of_far_apart_and_odd_amounts(txns):
 def test_one_row_a_key_and_one_more_without_any(txns):
     rows = V.entity_rows(txns([{}, {"customer_id": None}]), {"customer": "customer_id"}, keyless=True)
     assert sorted((r.entity, r.entity_id) for r in rows.collect()) == [("", "T00001"), ("customer", "C1")]
+
+
+def test_tasks_follow_the_rows(txns, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 10)
+    df = txns([{} for _ in range(12)])
+    assert spread.tasks(df, 95) == 10 and spread.tasks(df, 1) == df.sparkSession.sparkContext.defaultParallelism
+    assert ES.transaction_updates(df, {"a": F.lit(1), "b": F.lit(2)}).rdd.getNumPartitions() == 15  # 12 rows, 6 entities, 2 features
+    assert V.velocity(df, windows=None).rdd.getNumPartitions() == 8  # 72 rows
+    state = ES.snapshot(df)
+    assert ES.transaction_context(df, state, ["txn_count"]).rdd.getNumPartitions() == 9  # 84 rows with the anchors
+    assert "Broadcast" not in plan(ES.transaction_context(df, state, ["txn_count"]))
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_context_by_keys_and_by_cells_agree(txns, limit):
+    df = txns([{"customer_id": f"C{i % 2}", "amount": 100.0 + i, "event_timestamp": START + dt.timedelta(minutes=7 * (i // 2)), "device_id": None} for i in range(16)])
+    versions = V.entity_rows(df.where("transaction_sequence_id % 3 = 0")).groupBy("entity", "entity_id", "us").agg(F.max("seq").alias("seq"), F.max("amount").alias("value"))
+    known = versions.collect()
+    got = ES.context_as_of(df, versions, ["value"], limit=limit)
+    assert ("Join" in plan(got)) == (limit == 3)
+    rows = got.collect()
+    assert len(rows) == 16
+    for r in rows:
+        past = [(v.us, v.value) for v in known if v.entity == "customer" and v.entity_id == f"C{r.seq % 2}" and v.us <= r.us]
+        assert r.customer_value == (max(past)[1] if past else None) and r.device_value is None
