@@ -66,6 +66,7 @@ class EntityHistory(StatefulProcessor):
         fresh = [(r.us, r.seq, r.transaction_id or "", r.amount, r.transaction_id, r.payload) for r in rows]
         older = tuple(self.older.get()) if self.older.exists() else (0, 0.0, 0.0, 0.0, None, None)
         known = {k[0]: tuple(v) for k, v in self.moments.iterator()}
+        stored = set(known)
         seen = max([m[4] for m in known.values()], default=older[4])
         us, seq, ids, amount, new = self._with_stored(fresh, known)
         bucket = us // self.bucket_us
@@ -79,11 +80,17 @@ class EntityHistory(StatefulProcessor):
             row_us, row_seq, _, row_amount, row_id, payload = fresh[i]
             late = seen is not None and row_us < seen
             yield _ROW(key[0], key[1], row_id, row_us, row_seq, row_amount, *values, late, payload)
+        before_us = max(m[4] for m in known.values()) - self.keep_us
         for b in touched.tolist():
+            if self._ended(b, before_us):
+                continue  # merged at once, never written: each write is a call to the state store
             lo, hi = np.searchsorted(bucket, [b, b + 1])
             self.moments.updateValue((b,), known[b])
             self.rows.updateValue((b,), (us[lo:hi].tobytes(), seq[lo:hi].tobytes(), amount[lo:hi].tobytes(), json.dumps(ids[lo:hi])))
-        self._expire(older, known, max(m[4] for m in known.values()) - self.keep_us)
+        self._expire(older, known, before_us, stored)
+
+    def _ended(self, bucket: int, before_us: int | None) -> bool:
+        return before_us is None or (bucket + 1) * self.bucket_us <= before_us
 
     def _with_stored(self, fresh: list[tuple], known: Mapping[int, tuple]):
         """Times, sequence numbers, ids and amounts of the new rows and of the stored rows in their buckets and at their windows' edges, in the total order;
@@ -133,14 +140,15 @@ class EntityHistory(StatefulProcessor):
             out += [count.tolist(), np.where(count > 0, value, 0).astype(np.float64).tolist()]
         return out
 
-    def _expire(self, older: tuple, known: dict[int, tuple], before_us: int | None) -> None:
-        """Merge buckets that end before ``before_us`` (all, if None) into the older moments."""
-        gone = sorted(b for b in known if before_us is None or (b + 1) * self.bucket_us <= before_us)
+    def _expire(self, older: tuple, known: dict[int, tuple], before_us: int | None, stored: set[int] | None = None) -> None:
+        """Merge buckets that end before ``before_us`` (all, if None) into the older moments; those not ``stored`` (left out: all are) were never written."""
+        gone = sorted(b for b in known if self._ended(b, before_us))
         moments, timer = older[:5], older[5]
         for b in gone:
             moments = _merged(moments, known.pop(b))
-            self.moments.removeKey((b,))
-            self.rows.removeKey((b,))
+            if stored is None or b in stored:
+                self.moments.removeKey((b,))
+                self.rows.removeKey((b,))
         if known and timer is None:
             timer = (max(m[4] for m in known.values()) + self.keep_us) // 1000
             self.handle.registerTimer(timer)

@@ -82,3 +82,65 @@ def test_context_by_keys_and_by_cells_agree(txns, limit):
     for r in rows:
         past = [(v.us, v.value) for v in known if v.entity == "customer" and v.entity_id == f"C{r.seq % 2}" and v.us <= r.us]
         assert r.customer_value == (max(past)[1] if past else None) and r.device_value is None
+
+
+class _Handle:
+    """A state store that counts its writes and removals."""
+
+    def __init__(self):
+        self.calls, self.value, self.maps, self.timers = 0, None, {}, []
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class State:
+            def exists(self):
+                return outer.value is not None
+
+            def get(self):
+                return outer.value
+
+            def update(self, v):
+                outer.value = v
+
+        return State()
+
+    def getMapState(self, name, key, schema):
+        outer, data = self, self.maps.setdefault(name, {})
+
+        class State:
+            def iterator(self):
+                return iter(list(data.items()))
+
+            def getValue(self, k):
+                return data[k]
+
+            def updateValue(self, k, v):
+                outer.calls += 1
+                data[k] = v
+
+            def removeKey(self, k):
+                outer.calls += 1
+                del data[k]
+
+        return State()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_buckets_that_no_window_reaches_are_never_written(txns):
+    hour = 3_600_000_000
+    processor, handle = EntityHistory(), _Handle()
+    processor.init(handle)
+
+    class R:
+        def __init__(self, h):
+            self.us, self.seq, self.transaction_id, self.amount, self.payload = h * hour, h, f"T{h}", 1.0, None
+    first = list(processor.handleInputRows(("card", "K"), iter([R(h) for h in range(30 * 24)]), None))
+    assert [r.n_prior for r in first] == list(range(720)) and first[-1].n_7d == 168 and first[-1].sum_7d == 168.0
+    # the last seven days, the lateness and the newest row's bucket
+    assert sorted(k[0] for k in handle.maps["rows"]) == list(range(550, 720))
+    assert handle.calls == 2 * 170 and handle.value[0] == 550
+    (later,) = processor.handleInputRows(("card", "K"), iter([R(800)]), None)
+    assert (later.n_prior, later.n_7d) == (720, 168 - 81 + 1) and min(k[0] for k in handle.maps["rows"]) == 631
