@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from riskflow.config import ENTITIES, WINDOWS_US
-from riskflow.functions import spread
+from riskflow.functions import report, spread
 from riskflow.operators import entity_state as ES
 from riskflow.operators import velocity as V
 from riskflow.streaming.state import EntityHistory
@@ -70,6 +70,30 @@ def test_tasks_follow_the_rows(txns, monkeypatch):
     assert "Broadcast" not in plan(ES.transaction_context(df, state, ["txn_count"]))
 
 
+@pytest.mark.parametrize(("cells", "limit", "counts", "probes"), [(1 << 16, 100, 1, False), (1, 100, 2, False), (1 << 16, 9, 2, True)])
+def test_keys_are_counted_only_where_a_cell_is_large(spark, monkeypatch, cells, limit, counts, probes):
+    calls, real = [], V._most
+    monkeypatch.setattr(V, "_SIZE_CELLS", cells)
+    monkeypatch.setattr(V, "_most", lambda *a: calls.append(a) or real(*a))
+    rows = spark.range(200).select(
+        F.lit("card").alias("entity"), F.when(F.col("id") < 20, "hot").otherwise(F.col("id").cast("string")).alias("entity_id"), F.col("id").cast("string").alias("transaction_id"),
+        (F.col("id") * 1_000_000).alias("us"), F.col("id").alias("seq"), F.lit(1.0).alias("amount"))
+    got = V.entity_history(rows, WINDOWS_US, limit=limit)
+    assert len(calls) == counts and ("explode(" in got._jdf.queryExecution().analyzed().toString()) == probes
+    assert {r.seq: r.n_prior for r in got.collect()} == {i: i if i < 20 else 0 for i in range(200)}
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3, 6])
+def test_rounding_without_decimal_text_gives_the_same(spark, digits):
+    at = 10.0**-digits
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, -0.4 * at, 0.5 * at - report.guard(digits), -0.5 * at - report.guard(digits), 1e300, -3e15, 2.0**40 * at]
+    rows = spark.createDataFrame([(v,) for v in [*odd, *[(i - 500) * 1.2345678 * at for i in range(1000)]]], "v double")
+    moved = F.col("v") + F.lit(report.guard(digits))
+    clear = rows.select(report.rounded("v", digits).alias("got"), F.round(moved, digits).alias("want"))
+    assert "floor" in plan(clear).lower()
+    assert clear.where("not (got <=> want) or string(got) <> string(want)").count() == 0
+
+
 @pytest.mark.parametrize("limit", [3, 1000])
 def test_context_by_keys_and_by_cells_agree(txns, limit):
     df = txns([{"customer_id": f"C{i % 2}", "amount": 100.0 + i, "event_timestamp": START + dt.timedelta(minutes=7 * (i // 2)), "device_id": None} for i in range(16)])
