@@ -11,6 +11,7 @@ from riskflow.config import ENTITIES, WINDOWS_US
 from riskflow.functions import report, spread
 from riskflow.operators import entity_state as ES
 from riskflow.operators import velocity as V
+from riskflow.session import COMPILED_BYTES, prepare
 from riskflow.streaming.state import EntityHistory
 from tests.conftest import SMALL
 
@@ -94,6 +95,17 @@ def test_rounding_without_decimal_text_gives_the_same(spark, digits):
     assert clear.where("not (got <=> want) or string(got) <> string(want)").count() == 0
 
 
+def test_long_methods_are_not_left_to_the_interpreter(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        for given, want in ((65535, COMPILED_BYTES), (4000, 4000)):
+            spark.conf.set(limit, str(given))
+            assert prepare(spark).conf.get(limit) == str(want)
+    finally:
+        spark.conf.set(limit, before)
+
+
 @pytest.mark.parametrize("limit", [3, 1000])
 def test_context_by_keys_and_by_cells_agree(txns, limit):
     df = txns([{"customer_id": f"C{i % 2}", "amount": 100.0 + i, "event_timestamp": START + dt.timedelta(minutes=7 * (i // 2)), "device_id": None} for i in range(16)])
