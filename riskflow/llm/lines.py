@@ -19,14 +19,25 @@ SEGMENTS = 4
 #: So many suspected lines (24 bytes each) are sent to the scan; more are joined with a shuffle.
 BROADCAST_LINES = 1_000_000
 #: Words of a line scanned at once when its variants are hashed.
-BLOCK = 256
+BLOCK = 32
+#: What a variant stands for: a line that differs in this word, the longer line of a pair, the shorter one.
+REPLACED, LONGER, SHORTER = range(3)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, norm``: each line of each text in lower case, one space between words, none at the ends."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, line``: each line of each text as it stands."""
     parts = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
     cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
-    low = cut.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lower("line").alias("low"))
+    return cut.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, norm``: each line of each text in lower case, one space between words, none at the ends."""
+    return _normed(_cut(docs))
+
+
+def _normed(cut: DataFrame) -> DataFrame:
+    low = cut.select("doc_id", "line_no", F.lower("line").alias("low"))
     # most lines are so already; looking for bytes is much cheaper than matching a pattern
     found = F.col("low").startswith(" ") | F.col("low").endswith(" ") | F.contains("low", F.lit("  "))
     for space in "\t\u000b\f\r":
@@ -44,23 +55,17 @@ def _named(found: DataFrame) -> DataFrame:
 def _with_coarse_keys(found: DataFrame) -> DataFrame:
     """``keys``: hashes of a line without one quarter, as itself and as the longer line of a pair: its last words then stand one place on.
 
-    A word that differs, or is one too many, lies in some quarter of the shorter line, and the words before and after it are the same.
+    A word that differs, or is one too many, lies in some quarter of the shorter line, and the words before and after it are the same. These
+    are the line's own text up to one space and from another on: no word is cut out. Keys a line does not have are null.
     """
-    at = lambda m, q: f"cast({m} * {q} div {SEGMENTS} as int)"
-    ranges = [(at("n", q), at("n", q + 1), 0) for q in range(SEGMENTS)]
-    ranges += [(at("(n - 1)", q), at("(n - 1)", q + 1), 0) for q in range(SEGMENTS - 1)]
-    ranges += [(at("(n - 1)", q), at("(n - 1)", q + 1), 1) for q in range(1, SEGMENTS)]
-    cuts = ", ".join(f"named_struct('s', {a} + {shift} + 1, 'c', {b} - {a})" for a, b, shift in ranges)
-    # one small function over the parts: written out, they would make a method too long to be compiled
-    hashed = found.withColumn("words", F.split("norm", " ", -1))
-    # the second use of the words keeps them a column of their own: put into the function, the line would be split for each part
-    hashed = hashed.withColumn("h", F.expr(f"case when size(words) >= {MIN_WORDS - 1} then transform(array({cuts}), r -> xxhash64(slice(words, r.s, r.c))) end"))
-    others = lambda q: [k for k in range(SEGMENTS) if k != q]
-    own, front, back = lambda k: f"h[{k}]", lambda k: f"h[{SEGMENTS + k}]", lambda k: f"h[{2 * SEGMENTS - 2 + k}]"
-    same = [f"xxhash64(n, {q}, {', '.join(own(k) for k in others(q))})" for q in range(SEGMENTS)]
-    longer = [f"xxhash64(n - 1, {q}, {', '.join(front(k) if k < q else back(k) for k in others(q))})" for q in range(SEGMENTS)]
-    keys = F.expr(f"case when n < {MIN_WORDS - 1} then array() when n < {MIN_WORDS} then array({', '.join(same)}) else array({', '.join(same + longer)}) end")
-    return hashed.select("n", "a", "b", "doc_id", "line_no", keys.alias("keys"))
+    def key(m: str, q: int) -> str:
+        front = f"substring_index(norm, ' ', cast({m} * {q} div {SEGMENTS} as int))" if q else "''"
+        back = f"substring_index(norm, ' ', cast({m} * {q + 1} div {SEGMENTS} as int) - {m})" if q < SEGMENTS - 1 else "''"
+        return f"xxhash64({m}, {q}, {front}, {back})"
+
+    same = [f"case when n >= {MIN_WORDS - 1} then {key('n', q)} end" for q in range(SEGMENTS)]
+    longer = [f"case when n >= {MIN_WORDS} then {key('(n - 1)', q)} end" for q in range(SEGMENTS)]
+    return found.select("n", "a", "b", "doc_id", "line_no", F.expr(f"array({', '.join(same + longer)})").alias("keys"))
 
 
 def _place() -> Column:
@@ -68,7 +73,7 @@ def _place() -> Column:
 
 
 def _variants(suspected: DataFrame) -> DataFrame:
-    """``key, role, uid, place``: every word left out in turn, hashed with its position (role r) and without (t), and the whole line (s).
+    """``key, role, uid``: every word left out in turn, hashed with its position (REPLACED) and without (LONGER), and the whole line (SHORTER).
 
     A word's hash depends on its position, a line's is their exclusive or; leaving out word i moves the later ones down by one. Running
     totals over blocks give all variants of a line in little more than one pass.
@@ -76,20 +81,21 @@ def _variants(suspected: DataFrame) -> DataFrame:
     own = suspected.withColumn("low", F.expr("transform(words, (w, j) -> xxhash64(w, j - 1))"))
     own = own.withColumn("high", F.expr("transform(words, (w, j) -> xxhash64(w, j))"))
     own = own.withColumn("e", F.expr("zip_with(high, low, (h, l) -> h ^ l)"))
-    own = own.withColumn("blocks", F.expr(f"transform(sequence(0, (n - 1) div {BLOCK}), k -> slice(e, cast(k * {BLOCK} + 1 as int), {BLOCK}))"))
-    # of each block the running totals up to each of its words; then the totals of the blocks before it
-    running = "aggregate({x}, array(0L), (s, v) -> concat(s, array(element_at(s, -1) ^ v)))"
-    own = own.withColumn("inner", F.expr(f"transform(blocks, x -> {running.format(x='x')})"))
-    own = own.withColumn("offsets", F.expr(running.format(x="transform(inner, x -> element_at(x, -1))")))
-    own = own.withColumn("before", F.expr("flatten(transform(inner, (x, k) -> transform(slice(x, 1, size(x) - 1), v -> v ^ offsets[k])))"))
-    own = own.withColumn("all_low", F.expr("aggregate(low, 0L, (s, v) -> s ^ v)"))
-    own = own.withColumn("v", F.expr("zip_with(before, low, (p, l) -> p ^ l ^ all_low)"))
-    replaced = "transform(v, (x, i) -> named_struct('key', xxhash64('r', n, i, x), 'role', 'r'))"
+    # a column that stands once inside a function of elements is put into it and worked out for each of them: those here are used twice or outside
+    own = own.withColumn("blocks", F.expr(f"transform(sequence(0, (size(e) - 1) div {BLOCK}), k -> slice(e, cast(k * {BLOCK} + 1 as int), {BLOCK}))"))
+    # of each block the running totals up to each of its words; then the totals of the blocks before it, and of the whole line moved down
+    running = "aggregate({x}, array({first}), (s, v) -> concat(s, array(element_at(s, -1) ^ v)))"
+    total = "aggregate({x}, 0L, (s, v) -> s ^ v)"
+    own = own.withColumn("inner", F.expr(f"transform(blocks, x -> {running.format(x='x', first='0L')})"))
+    own = own.withColumn("offsets", F.expr(running.format(x="transform(inner, x -> element_at(x, -1))", first=total.format(x="low"))))
+    before = "flatten(zip_with(inner, slice(offsets, 1, size(inner)), (x, o) -> transform(slice(x, 1, size(x) - 1), v -> v ^ o)))"
+    own = own.withColumn("v", F.expr(f"zip_with({before}, low, (p, l) -> p ^ l)"))
+    replaced = f"transform(v, (x, i) -> named_struct('key', xxhash64('r', n, i, x), 'role', {REPLACED}))"
     # the same variant from neighbouring equal words is one
-    longer = "transform(array_distinct(v), x -> named_struct('key', xxhash64('d', n - 1, x), 'role', 't'))"
-    shorter = "array(named_struct('key', xxhash64('d', n, aggregate(high, 0L, (s, v) -> s ^ v)), 'role', 's'))"
+    longer = f"transform(array_distinct(v), x -> named_struct('key', xxhash64('d', n - 1, x), 'role', {LONGER}))"
+    shorter = f"array(named_struct('key', xxhash64('d', n, {total.format(x='high')}), 'role', {SHORTER}))"
     made = F.expr(f"case when n < {MIN_WORDS} then {shorter} else concat({replaced}, {longer}, {shorter}) end")
-    return own.select("uid", "place", F.explode(made).alias("x")).select("x.key", "x.role", "uid", "place")
+    return own.select("uid", F.explode(made).alias("x")).select("x.key", "x.role", "uid")
 
 
 def _within_one(x: str, y: str) -> Column:
@@ -101,26 +107,34 @@ def _within_one(x: str, y: str) -> Column:
 
 
 def _earliest_partners(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """``uid, near``: for distinct lines, the earliest place of another line within the edit bound, if that is earlier."""
-    coarse = distinct.select("uid", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
+    """``a, b, n, near``: for distinct lines, the earliest place of another line within the edit bound, if that is earlier."""
+    coarse = distinct.select("uid", F.explode("keys").alias("key")).where("key is not null").repartition("key")
     shared = coarse.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi").select("key")
-    suspected = freeze(coarse.join(shared, "key").select("uid").distinct().join(distinct.select("uid", "n", "a", "b", "place"), "uid"))
-    named = suspected.select("n", "a", "b", "uid", "place")
-    if suspected.count() <= BROADCAST_LINES:
+    # keys of one line only are most: none is sorted to find the others
+    suspected = coarse.join(shared.hint("shuffle_hash"), "key").select("uid").distinct()
+    # numbered in the order of their places, so that the earliest of a group is its smallest number
+    named = freeze(distinct.select("uid", "a", "b", "n", "place").join(suspected.hint("shuffle_hash"), "uid", "left_semi").drop("uid").orderBy("place"))
+    named = named.withColumn("uid", F.monotonically_increasing_id())
+    cut = _cut(docs)
+    if named.count() <= BROADCAST_LINES:
+        # a line is looked up where it stands first; rows that repeat an id may have others there
+        where = named.select(F.col("place.doc_id").alias("_id"), F.col("place.line_no").alias("_no")).distinct()
+        # stored, as what the next join asks of the hashes would be asked of every line
+        cut = freeze(cut.join(F.broadcast(where), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line_no") == F.col("_no")), "left_semi"))
         named = F.broadcast(named)
-    texts = freeze(_named(lines(docs)).select("n", "a", "b", "norm").join(named, ["n", "a", "b"]).groupBy("uid").agg(
-        F.first("place").alias("place"), F.first("n").alias("n"), F.split(F.first("norm"), " ", -1).alias("words")))
+    texts = freeze(_named(_normed(cut)).select("a", "b", "n", "norm").join(named, ["a", "b", "n"]).groupBy("uid").agg(
+        *[F.first(c).alias(c) for c in ("place", "a", "b", "n")], F.split(F.first("norm"), " ", -1).alias("words")))
     members = freeze(_variants(texts))
-    first = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.struct("place", "uid")))
-    groups = members.groupBy("key").agg(first("r").alias("r"), first("t").alias("t"), first("s").alias("s"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
-    best = F.when(F.col("role") == "r", F.col("r")).when(F.col("role") == "t", F.col("s")).otherwise(F.col("t"))
-    pairs = members.join(groups, "key").select("uid", "place", best.alias("best")).where("best.place < place")
-    pairs = pairs.select("uid", F.col("best.uid").alias("other"), F.col("best.place").alias("near")).distinct()
-    left = texts.select("uid", F.col("words").alias("x"))
-    right = texts.select(F.col("uid").alias("other"), F.col("words").alias("y"))
-    both = pairs.join(left, "uid").join(right, "other")
+    first = lambda role: F.min(F.when(F.col("role") == role, F.col("uid")))
+    groups = members.groupBy("key").agg(first(REPLACED).alias("r"), first(LONGER).alias("t"), first(SHORTER).alias("s"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
+    best = F.when(F.col("role") == REPLACED, F.col("r")).when(F.col("role") == LONGER, F.col("s")).otherwise(F.col("t"))
+    pairs = members.join(groups.hint("shuffle_hash"), "key").select("uid", best.alias("other")).where("other < uid").distinct()
+    left = texts.select("uid", "a", "b", "n", "place", F.col("words").alias("x"))
+    right = texts.select(F.col("uid").alias("other"), F.col("place").alias("near"), F.col("words").alias("y"))
+    # lines of rows that repeat an id may share a place
+    both = pairs.join(left, "uid").join(right, "other").where("near < place")
     near = F.when(F.size("x") >= F.size("y"), _within_one("x", "y")).otherwise(_within_one("y", "x"))
-    return both.where(near).groupBy("uid").agg(F.min("near").alias("near"))
+    return both.where(near).groupBy("a", "b", "n").agg(F.min("near").alias("near"))
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
@@ -131,13 +145,15 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     a word stay. Null and empty texts are one line without a word. Rows that repeat an id stand at the same place: of equal
     lines at one place all stay. An empty table gives an empty result.
     """
-    own = _with_coarse_keys(_named(lines(docs)).where("n > 0")).withColumn("place", _place())
-    own = own.groupBy("n", "a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("keys").alias("keys"))
-    distinct = freeze(own.withColumn("uid", F.monotonically_increasing_id()))
+    own = _with_coarse_keys(_named(lines(docs))).withColumn("place", _place())
+    # hashes first: what is sorted by them is told apart by the first word compared
+    own = own.groupBy("a", "b", "n").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("keys").alias("keys"))
+    # asked of a stored column: asked of the texts, they would be brought into the form of lines once more for it
+    distinct = freeze(own.withColumn("uid", F.monotonically_increasing_id())).where("n > 0")
     near = _earliest_partners(distinct, docs)
-    known = distinct.select("uid", "n", "a", "b", "place", "times").join(near, "uid", "left").where("times > 1 or near is not null")
-    known = known.select("n", "a", "b", F.least("place", F.coalesce("near", "place")).alias("first"))
-    found = _named(lines(docs)).select("doc_id", "line_no", "n", "a", "b").join(known, ["n", "a", "b"], "left")
+    known = distinct.select("a", "b", "n", "place", "times").join(near.hint("shuffle_hash"), ["a", "b", "n"], "left").where("times > 1 or near is not null")
+    known = known.select("a", "b", "n", F.least("place", F.coalesce("near", "place")).alias("first"))
+    found = _named(lines(docs)).select("doc_id", "line_no", "a", "b", "n").join(known.hint("shuffle_hash"), ["a", "b", "n"], "left")
     place = F.coalesce(F.when(F.col("n") > 0, F.col("first")), _place())
     return found.select("doc_id", "line_no", F.col("n").cast("long").alias("n_words"), (place == _place()).alias("kept"),
                         place["doc_id"].alias("first_doc_id"), place["line_no"].alias("first_line_no"))

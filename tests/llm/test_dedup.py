@@ -169,3 +169,22 @@ def test_line_duplicates_equal_brute_force(docs_of):
     stripped = lines.without_repeats(df)
     assert stripped.columns == df.columns and stripped.count() == df.count()
     assert lines.line_duplicates(docs_of([])).count() == 0
+
+
+def test_every_single_word_edit_is_found_and_lines_are_read_once(docs_of, monkeypatch):
+    rows, frozen = [], []
+    for n in range(4, 14):
+        for at in range(n + 1):
+            for put, left_out in ((["x"], 1), (["x"], 0), ([], 1)):
+                if left_out and at == n:
+                    continue
+                w = [f"w{len(rows)}_{i}" for i in range(n)]
+                rows.append((len(rows), " ".join(w) + "\n" + " ".join(w[:at] + put + w[at + left_out:])))
+    kept = lines.freeze
+    monkeypatch.setattr(lines, "freeze", lambda df: frozen.append(df) or kept(df))
+    dropped = {r.doc_id for r in lines.line_duplicates(docs_of(rows)).where("line_no = 1 and not kept and first_line_no = 0").collect()}
+    longest = {i: max(len(line.split()) for line in text.split("\n")) for i, text in rows}
+    assert dropped == {i for i, n in longest.items() if n >= lines.MIN_WORDS}
+    # the scan brings a line into its form once, also to tell lines without words, and takes no words apart for its keys
+    scan = frozen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert scan.count("regexp_replace(") == 1 and "transform(" not in scan
