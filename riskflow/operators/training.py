@@ -123,7 +123,7 @@ def fit_boosted(
     return FittedModel(name, Pipeline(stages=stages).fit(rows), list(features))
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], label: str = "true_fraud_label", trees: int = 100, depth: int = 7, seed: int = 42, name: str = "forest_engineered") -> FittedModel:
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "true_fraud_label", trees: int = 500, depth: int = 7, seed: int = 42, name: str = "forest_engineered") -> FittedModel:
     """TRN5: a second tree family, with balanced class weights."""
     neg, pos = class_counts(train, label)
     weight = F.when(F.col(label) == 1, neg / max(pos, 1)).otherwise(1.0)

@@ -10,6 +10,7 @@ from riskflow.operators import leakage as L
 from riskflow.operators import metrics as M
 from riskflow.operators import splits as S
 from riskflow.operators import training as T
+from riskflow.plans import catalogue
 from riskflow.plans.experiment import TrainingPlan, labelled, run_experiments, split_features
 from riskflow.plans.features import BASIC, ENGINEERED
 from riskflow.plans.scoring import Scorer
@@ -183,3 +184,22 @@ def test_whole_experiment(spark):
     assert out.calibration.count() == 3 and out.intervals.count() == 8
     assert out.drift.count() == len(out.scorer.model.features)
     assert out.test_cost.first()["fraud_caught"] >= 0 and out.importance.first()["rank"] == 1
+
+
+class Asked(Exception):
+    """Raised in place of a fit, with what was asked for."""
+
+
+def asked(spark, monkeypatch, learner, query):
+    def fit(self, rows):
+        raise Asked({p.name: v for p, v in self.extractParamMap().items()})
+
+    monkeypatch.setattr(learner, "_fit", fit)
+    with pytest.raises(Asked) as found:
+        catalogue.QUERIES[query](spark, SMALL)
+    return found.value.args[0]
+
+
+def test_registered_forest_has_the_full_size(spark, monkeypatch):
+    size = asked(spark, monkeypatch, T.RandomForestClassifier, "forest_scores")
+    assert (size["numTrees"], size["maxDepth"]) == (500, 7)
