@@ -2,8 +2,12 @@
 
 import datetime as dt
 import math
+import random
+import statistics
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -12,6 +16,7 @@ from riskflow.functions import report, spread
 from riskflow.operators import entity_state as ES
 from riskflow.operators import velocity as V
 from riskflow.session import COMPILED_BYTES, prepare
+from riskflow.streaming import state
 from riskflow.streaming.state import EntityHistory
 from tests.conftest import SMALL
 
@@ -180,3 +185,44 @@ def test_buckets_that_no_window_reaches_are_never_written(txns):
     assert handle.calls == 2 * 170 and handle.value[0] == 550
     (later,) = processor.handleInputRows(("card", "K"), iter([R(800)]), None)
     assert (later.n_prior, later.n_7d) == (720, 168 - 81 + 1) and min(k[0] for k in handle.maps["rows"]) == 631
+
+
+def test_keys_of_a_cell_are_answered_and_written_together():
+    """Three deliveries for 60 keys, the last of them late: each row as a walk over its own key's rows says, and no more calls to the state store than buckets need."""
+    hour, draw = 3_600_000_000, random.Random(5)
+    processor, handle = state.CellHistory(), _Handle()
+    processor.init(handle)
+    start = 19_000 * 24 * hour
+    span = {0: (0, 9 * 24), 1: (9 * 24, 12 * 24), 2: (12 * 24 - 1, 12 * 24 + 5)}
+    deliveries = [[(f"card:K{draw.randrange(60)}", start + draw.randrange(lo * 4, hi * 4) * hour // 4, draw.randrange(3), draw.choice([0.01, 3.5, 250.25]), f"T{d}{i}") for i in range(2000)]
+                  for d, (lo, hi) in span.items()]
+    odd, large = "card:K7", "card:K3"  # no other key feels that their values are no numbers, or huge
+    deliveries = [[(k, us, seq, float("nan") if k == odd else a * 1e9 if k == large else a, i) for k, us, seq, a, i in rows] for rows in deliveries]
+    came = []
+    for d, rows in enumerate(deliveries):
+        columns = [*map(list, zip(*rows)), [None] * len(rows)]
+        packed = [state._pack(state._FRESH, [pa.array(c[i::3], f.type) for c, f in zip(columns, state._FRESH)]) for i in range(3)]
+        calls = handle.calls
+        answers = [state._unpack(a.packed, state._ANSWER).to_pylist() for a in processor.handleInputRows((1,), iter([Row(packed=p) for p in packed]), None)]
+        if d == 0:
+            live = {us // hour for _, us, *_ in rows if (us // hour + 1) * hour > max(r[1] for r in rows) - 169 * hour}
+            assert handle.calls - calls == 2 * len(live) and {k[0] for k in handle.maps["rows"]} == live
+        newest = {k: max(r[1] for r in came if r[0] == k) for k in {r[0] for r in came}}
+        came += rows
+        got = {r["transaction_id"]: r for batch in answers for r in batch}
+        assert len(got) == len(rows)
+        for key, us, seq, amount, name in rows:
+            r = got[name]
+            past = sorted((o[1:] for o in came if o[0] == key and (o[1], o[2], o[4]) < (us, seq, name)), key=lambda o: (o[0], o[1], o[3]))
+            assert (r["entity"], r["entity_id"], r["us"], r["seq"]) == ("card", key[5:], us, seq)
+            assert (r["n_prior"], r["prev_us"], r["out_of_order"]) == (len(past), past[-1][0] if past else None, us < newest.get(key, us))
+            for w, width in WINDOWS_US.items():
+                inside = [o[2] for o in past if o[0] >= us - width]
+                assert r[f"n_{w}"] == len(inside)
+                if key != odd:
+                    assert r[f"sum_{w}"] == pytest.approx(math.fsum(inside), rel=1e-12, abs=1e-6)
+            if key != odd and len(past) > 1:
+                amounts = [o[2] for o in past]
+                assert r["avg_prior"] == pytest.approx(math.fsum(amounts) / len(amounts), rel=1e-12)
+                assert r["std_prior"] == pytest.approx(statistics.stdev(amounts), rel=1e-9, abs=1e-6)
+    assert handle.value[0] + sum(len(state._unpack(v[0], state._STORED)) for v in handle.maps["rows"].values()) == 6000
