@@ -204,7 +204,8 @@ class EntityHistory(StatefulProcessor):
             # a key and a time, or a key and a bucket, as one number
             low = (int(us.min()) - max(self.windows.values())) // self.bucket_us
             span = int(us.max()) // self.bucket_us - low + 2
-            joint_us, joint_row, joint_bucket = code * (span * self.bucket_us) + (us - low * self.bucket_us), code * span + (bucket - low), known.code * span + np.maximum(known.bucket - low, -1)
+            joint_us, joint_row = code * (span * self.bucket_us) + (us - low * self.bucket_us), code * span + (bucket - low)
+            joint_bucket = known.code * span + np.clip(known.bucket - low, -1, span - 1)  # buckets before and after all loaded rows stay beside their key
             key, when, own_bucket = code[at], us[at], bucket[at]
             own = np.searchsorted(joint_bucket, key * span + (own_bucket - low))  # the row's bucket among all buckets
             begin = np.searchsorted(joint_row, key * span + (own_bucket - low))  # and its first row among the loaded rows

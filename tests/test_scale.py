@@ -188,12 +188,12 @@ def test_buckets_that_no_window_reaches_are_never_written(txns):
 
 
 def test_keys_of_a_cell_are_answered_and_written_together():
-    """Three deliveries for 60 keys, the last of them late: each row as a walk over its own key's rows says, and no more calls to the state store than buckets need."""
+    """Four deliveries for 60 keys, the third of them late: each row as a walk over its own key's rows says, and no more calls to the state store than buckets need."""
     hour, draw = 3_600_000_000, random.Random(5)
-    processor, handle = state.CellHistory(), _Handle()
+    processor, handle = state.CellHistory(lateness_us=12 * 3_600_000_000), _Handle()
     processor.init(handle)
     start = 19_000 * 24 * hour
-    span = {0: (0, 9 * 24), 1: (9 * 24, 12 * 24), 2: (12 * 24 - 1, 12 * 24 + 5)}
+    span = {0: (0, 9 * 24), 1: (9 * 24, 12 * 24), 2: (12 * 24 - 12, 12 * 24 - 6), 3: (12 * 24, 12 * 24 + 5)}
     deliveries = [[(f"card:K{draw.randrange(60)}", start + draw.randrange(lo * 4, hi * 4) * hour // 4, draw.randrange(3), draw.choice([0.01, 3.5, 250.25]), f"T{d}{i}") for i in range(2000)]
                   for d, (lo, hi) in span.items()]
     odd, large = "card:K7", "card:K3"  # no other key feels that their values are no numbers, or huge
@@ -205,7 +205,7 @@ def test_keys_of_a_cell_are_answered_and_written_together():
         calls = handle.calls
         answers = [state._unpack(a.packed, state._ANSWER).to_pylist() for a in processor.handleInputRows((1,), iter([Row(packed=p) for p in packed]), None)]
         if d == 0:
-            live = {us // hour for _, us, *_ in rows if (us // hour + 1) * hour > max(r[1] for r in rows) - 169 * hour}
+            live = {us // hour for _, us, *_ in rows if (us // hour + 1) * hour > max(r[1] for r in rows) - 180 * hour}
             assert handle.calls - calls == 2 * len(live) and {k[0] for k in handle.maps["rows"]} == live
         newest = {k: max(r[1] for r in came if r[0] == k) for k in {r[0] for r in came}}
         came += rows
@@ -225,4 +225,4 @@ def test_keys_of_a_cell_are_answered_and_written_together():
                 amounts = [o[2] for o in past]
                 assert r["avg_prior"] == pytest.approx(math.fsum(amounts) / len(amounts), rel=1e-12)
                 assert r["std_prior"] == pytest.approx(statistics.stdev(amounts), rel=1e-9, abs=1e-6)
-    assert handle.value[0] + sum(len(state._unpack(v[0], state._STORED)) for v in handle.maps["rows"].values()) == 6000
+    assert handle.value[0] + sum(len(state._unpack(v[0], state._STORED)) for v in handle.maps["rows"].values()) == 8000
