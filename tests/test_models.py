@@ -203,3 +203,9 @@ def asked(spark, monkeypatch, learner, query):
 def test_registered_forest_has_the_full_size(spark, monkeypatch):
     size = asked(spark, monkeypatch, T.RandomForestClassifier, "forest_scores")
     assert (size["numTrees"], size["maxDepth"]) == (500, 7)
+
+
+@pytest.mark.parametrize("query", ["gbt_scores", "tree_contributors"])
+def test_registered_boosted_trees_have_the_full_size(spark, monkeypatch, query):
+    size = asked(spark, monkeypatch, T.GBTClassifier, query)
+    assert (size["maxIter"], size["maxDepth"], size["stepSize"], size["featureSubsetStrategy"]) == (500, 7, 0.03, "0.7")
